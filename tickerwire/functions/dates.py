@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerwire.functions.rows import compute_once
+
 # English month names and their three-letter abbreviations.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July",
           "August", "September", "October", "November", "December"]
@@ -66,6 +68,7 @@ def publish_date(text) -> Column:
 def with_publish_date(df: DataFrame, text, out: str = "publish_date") -> DataFrame:
     """adds ``out``, the first date found in ``text`` (DATE, null if
     none). The date-shaped substring is its own projection; the optimizer
-    keeps it un-inlined because the parse reads it several times."""
-    return (df.withColumn("_date_text", find_date_text(text))
-            .withColumn(out, parse_date_text("_date_text")).drop("_date_text"))
+    keeps it un-inlined because the parse reads it several times, and the
+    date itself is computed once (``compute_once``)."""
+    staged = df.withColumn("_date_text", find_date_text(text))
+    return compute_once(staged, **{out: parse_date_text("_date_text")}).drop("_date_text")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerwire.functions.html import select_first, text_of
+from tickerwire.functions.rows import compute_once
 from tickerwire.functions.text import word_count
 from tickerwire.functions.urls import is_homepage, is_of_source, is_valid_url
 from tickerwire.operators.company import with_company
@@ -98,7 +99,7 @@ def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
         body = text_of(select_first("_clean", "article"))
         reason = reason.when(F.coalesce(word_count(body), F.lit(0)) < opts.min_length,
                              F.lit("short"))
-    j = j.withColumn("reject_reason", reason).drop("_html", "_clean")
+    j = compute_once(j, reject_reason=reason).drop("_html", "_clean")
     j = with_company(j, companies)
     return j if keep_rejected else j.filter(F.col("reject_reason").isNull())
 

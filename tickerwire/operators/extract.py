@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tickerwire.functions.dates import with_publish_date
 from tickerwire.functions.html import (anchor_hrefs, decode_entities, open_tag_regex,
                                        select_first, strip_hidden, strip_tags, text_of)
+from tickerwire.functions.rows import compute_once
 from tickerwire.functions.text import WHITESPACE_CLASS, strip_all_ws
 from tickerwire.functions.urls import symbol_from_href, unwrap_link
 from tickerwire.sources.registry import selectors
@@ -59,8 +60,8 @@ def with_title(df: DataFrame, clean: str = "_clean", source: str = "source",
                out: str = "title") -> DataFrame:
     """H2: title text (tags removed, entities decoded, whitespace
     collapsed)."""
-    return (df.withColumn("_title_html", title_html(F.col(clean), source))
-            .withColumn(out, text_of("_title_html")).drop("_title_html"))
+    staged = df.withColumn("_title_html", title_html(F.col(clean), source))
+    return compute_once(staged, **{out: text_of("_title_html")}).drop("_title_html")
 
 
 def with_date(df: DataFrame, clean: str = "_clean", html: str = "html", source: str = "source",

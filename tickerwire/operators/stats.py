@@ -57,15 +57,17 @@ def class_histogram(df: DataFrame, col: str = "classification", bins: int = 3) -
     min and max come from one scalar subquery (a global partial aggregate),
     so the data is never gathered into one partition."""
     x = F.col(col).cast("double")
-    mm = df.select(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()
-    # numpy widens an empty range to [v - 0.5, v + 0.5]
-    same = mm["lo"] == mm["hi"]
-    lo = F.when(same, mm["lo"] - 0.5).otherwise(mm["lo"])
-    hi = F.when(same, mm["hi"] + 0.5).otherwise(mm["hi"])
+    lo0, hi0 = F.min(x), F.max(x)
+    # one scalar subquery for both edges; numpy widens an empty range to
+    # [v - 0.5, v + 0.5]
+    edges = df.select(F.struct(
+        F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0).alias("lo"),
+        F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0).alias("hi"))).scalar()
+    vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).withColumn("_e", edges)
+    lo, hi = F.col("_e.lo"), F.col("_e.hi")
     width = (hi - lo) / F.lit(float(bins))
-    b = F.least(F.floor((x - lo) / width).cast("int") + 1, F.lit(bins))
-    hist = (df.filter(x.isNotNull()).groupBy(b.alias("bin"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    b = F.least(F.floor((F.col("_x") - lo) / width).cast("int") + 1, F.lit(bins))
+    hist = vals.groupBy(b.alias("bin"), "_e").agg(F.count(F.lit(1)).alias("n"))
     return hist.select("bin", (lo + (F.col("bin") - 1) * width).alias("lower"),
                        F.when(F.col("bin") == bins, hi)
                        .otherwise(lo + F.col("bin") * width).alias("upper"),

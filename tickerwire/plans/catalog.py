@@ -16,7 +16,7 @@ from tickerwire.operators import articles, asof, company, extract, frontier, sta
 from tickerwire.options import Options
 from tickerwire.plans import derived as dv
 from tickerwire.sources import files, registry
-from tickerwire.session import table
+from tickerwire.session import per_session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -40,6 +40,7 @@ def queries() -> dict[str, Query]:
 
 # ---- shared pipelines -------------------------------------------------------
 
+@per_session
 def _queries_depth2(spark, d):
     names = company.with_name(dv.companies(spark, d).select("ticker"), dv.symbols(spark, d))
     return frontier.build_queries(dv.companies(spark, d).select("ticker", "ticker_pos"),
@@ -51,6 +52,7 @@ def _news_queries(spark, d):
                                   dv.NEWS_SOURCES, depth=1)
 
 
+@per_session
 def _batch(spark, d, opts: Options = Options()):
     c = dv.companies(spark, d)
     return articles.run_batch(c.select("ticker", "ticker_pos"), dv.NEWS_SOURCES,
@@ -58,11 +60,13 @@ def _batch(spark, d, opts: Options = Options()):
                               c, dv.parsed_before(spark, d), opts)
 
 
+@per_session
 def _labels(spark, d):
     return asof.label_articles(dv.publications(spark, d), dv.price_ticks(spark, d),
                                interval=LABEL_INTERVAL, tick_order="tick_id")
 
 
+@per_session
 def _horizon(spark, d):
     lab = _labels(spark, d)
     return lab.select("event_id", "ticker", "t0", F.col("t1").alias("t6"),
@@ -509,3 +513,43 @@ def c4_labels(spark, d):
 def c5_summary(spark, d):
     arts = _documents_labelled(spark, d)
     return stats.corpus_summary(arts, stats.source_stats(dv.runs(spark, d)))
+
+
+# ---- T: streaming (run to completion with availableNow, result read back) -----
+
+def _stream_dir(spark, name: str) -> str:
+    import uuid
+    from tickerwire.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/tickerwire-{name}-{uuid.uuid4().hex}"
+
+
+def _event_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet")
+
+
+@register("t2_stats_stream")
+def t2_stats_stream(spark, d):
+    """Per-source totals kept as streaming state over the runs stream."""
+    from tickerwire.streaming import ingest
+    e = _event_stream(spark, d)
+    runs = e.select(F.col("event_type").alias("source"),
+                    F.floor("value").cast("bigint").alias("num_urls"),
+                    F.floor(F.col("value") / 3).cast("bigint").alias("num_nodes"))
+    base = _stream_dir(spark, "stats")
+    q = ingest.write_versions(ingest.stats_stream(runs), f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return ingest.read_latest_version(spark, f"{base}/out")
+
+
+@register("t3_dedupe_stream")
+def t3_dedupe_stream(spark, d):
+    """(user, event type) repeats dropped within a one-day watermark."""
+    from tickerwire.streaming import ingest
+    e = _event_stream(spark, d).select("user_id", "event_type", "ts")
+    dd = ingest.dedupe_stream(e, ["user_id", "event_type"], "ts", "1 day").drop("ts")
+    base = _stream_dir(spark, "dedupe")
+    q = (dd.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")

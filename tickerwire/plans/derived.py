@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerwire.functions.text import query_string
-from tickerwire.session import table
+from tickerwire.session import per_session, table
 
 # Fixed values of the derivation (mirrored in plans.oracle).
 NEWS_SOURCES = ["bloomberg", "seekingalpha", "reuters", "thestreet", "investopedia", "wsj",
@@ -58,6 +58,7 @@ def _case(key: Column, mapping: dict[str, Column | str]) -> Column:
     return expr
 
 
+@per_session
 def companies(spark: SparkSession, d: str) -> DataFrame:
     """(ticker, ticker_pos, name, industry, sector) from customer x nation."""
     c = table(spark, d, "customer")
@@ -68,6 +69,7 @@ def companies(spark: SparkSession, d: str) -> DataFrame:
                     F.col("n_name").alias("industry"), F.col("c_mktsegment").alias("sector"))
 
 
+@per_session
 def symbols(spark: SparkSession, d: str) -> DataFrame:
     """(symbol, name, position) listings from part: several parts share a
     symbol, the lowest part key is the first listing."""
@@ -78,6 +80,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
                     F.col("p_partkey").alias("position"))
 
 
+@per_session
 def news_pages(spark: SparkSession, d: str) -> DataFrame:
     """Stored news pages: each driver page re-hosted on a news site, with
     that site's title markup and a publish-date container injected.
@@ -106,6 +109,7 @@ def news_pages(spark: SparkSession, d: str) -> DataFrame:
                     pub.alias("pub_date"), has_date.alias("has_date"), html.alias("html"))
 
 
+@per_session
 def search_results(spark: SparkSession, d: str) -> DataFrame:
     """Stored search-result page per news page, attached to the query
     (ticker, source, string) that found it: three div.g blocks — the page's
@@ -126,6 +130,7 @@ def search_results(spark: SparkSession, d: str) -> DataFrame:
                     html.alias("html"))
 
 
+@per_session
 def parsed_before(spark: SparkSession, d: str) -> DataFrame:
     """URLs parsed by an earlier run: news pages published before a cut-off
     date. (ticker, source, url)."""
@@ -134,6 +139,7 @@ def parsed_before(spark: SparkSession, d: str) -> DataFrame:
             .select(F.lower("ticker").alias("ticker"), "source", "url"))
 
 
+@per_session
 def price_ticks(spark: SparkSession, d: str) -> DataFrame:
     """Price ticks: purchase events (ticker = user, price = value)."""
     e = table(spark, d, "events").filter(F.col("event_type") == "purchase")
@@ -141,12 +147,14 @@ def price_ticks(spark: SparkSession, d: str) -> DataFrame:
                     F.col("event_id").alias("tick_id"))
 
 
+@per_session
 def publications(spark: SparkSession, d: str) -> DataFrame:
     """Article publications: view events (ticker = user)."""
     e = table(spark, d, "events").filter(F.col("event_type") == "view")
     return e.select("event_id", F.col("user_id").alias("ticker"), "ts")
 
 
+@per_session
 def runs(spark: SparkSession, d: str) -> DataFrame:
     """Crawl runs from events: source = event type, run = day; each event
     contributes floor(value) URLs and floor(value / 3) nodes."""
@@ -156,6 +164,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
                     F.floor(F.col("value") / 3).cast("bigint").alias("num_nodes"))
 
 
+@per_session
 def order_date_pages(spark: SparkSession, d: str) -> DataFrame:
     """(o_orderkey, html): order dates rendered in the supported formats
     inside a short HTML snippet."""
@@ -169,6 +178,7 @@ def order_date_pages(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", html.alias("html"))
 
 
+@per_session
 def customer_docs(spark: SparkSession, d: str) -> DataFrame:
     """Per customer, small finance pages: constituent tables in the three
     layouts, an earnings-calendar anchor list and a company profile block.
@@ -210,6 +220,7 @@ def customer_docs(spark: SparkSession, d: str) -> DataFrame:
                     calendar.alias("calendar"), profile.alias("profile"))
 
 
+@per_session
 def mover_docs(spark: SparkSession, d: str) -> DataFrame:
     """(p_partkey, html): movers table cells whose anchor text carries the
     symbol in parentheses."""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,6 +53,27 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_MEMO: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def per_session(fn):
+    """Memoise a (spark, *hashable args) -> DataFrame builder per session.
+
+    DataFrames are immutable plan descriptions, so handing the same object
+    to several queries is safe; it saves rebuilding large expression trees
+    (thousands of driver->JVM calls) for every query that shares an input.
+    """
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, *args):
+        memo = _MEMO.setdefault(spark, {})
+        key = (fn.__module__, fn.__qualname__) + args
+        if key not in memo:
+            memo[key] = fn(spark, *args)
+        return memo[key]
+    return wrapper
+
+
+@per_session
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables."""
+    """One of the driver's parquet tables (read-only inputs)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
