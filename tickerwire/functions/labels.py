@@ -14,8 +14,8 @@ def _c(x) -> Column:
 
 def price_class(p0, p1) -> Column:
     """+1 if the price rose from p0 to p1, -1 if it fell, 0 if flat;
-    the not-found class when either price is missing."""
-    return F.coalesce(F.signum(_c(p1) - _c(p0)).cast("int"), F.lit(PRICE_NOT_FOUND))
+    the not-found class when either price is missing (or not a number)."""
+    return F.coalesce(F.signum(_c(p1) - _c(p0)).try_cast("int"), F.lit(PRICE_NOT_FOUND))
 
 
 def horizon_class(p_t, p0) -> Column:

@@ -379,14 +379,14 @@ def f4_unwrap(spark, d):
 
 @register("f5_collapse_ws")
 def f5_collapse_ws(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents", True).select("doc_id", "text")
     c = text.collapse_ws("text")
     return docs.select("doc_id", F.length(c).cast("bigint").alias("n_chars"), F.md5(c).alias("md5"))
 
 
 @register("f6_strip_ws")
 def f6_strip_ws(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = table(spark, d, "documents", True).select("doc_id", "text")
     c = text.strip_all_ws("text")
     return docs.select("doc_id", F.length(c).cast("bigint").alias("n_chars"), F.md5(c).alias("md5"))
 
@@ -418,7 +418,7 @@ def f11_horizon_class(spark, d):
 
 @register("h1_select_first")
 def h1_select_first(spark, d):
-    p = table(spark, d, "pages").select("page_id", html.strip_hidden("html").alias("html"))
+    p = table(spark, d, "pages", True).select("page_id", html.strip_hidden("html").alias("html"))
     return p.select(
         "page_id",
         html.text_of(html.select_first("html", "title")).alias("title"),

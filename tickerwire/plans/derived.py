@@ -86,7 +86,7 @@ def news_pages(spark: SparkSession, d: str) -> DataFrame:
     that site's title markup and a publish-date container injected.
 
     (page_id, ticker, source, url, pub_date, has_date, html)."""
-    p = table(spark, d, "pages")
+    p = table(spark, d, "pages", True)
     pid = F.col("page_id")
     src = F.element_at(F.array(*[F.lit(s) for s in NEWS_SOURCES]),
                        (F.pmod(pid, F.lit(len(NEWS_SOURCES))) + 1).cast("int"))
@@ -168,7 +168,7 @@ def runs(spark: SparkSession, d: str) -> DataFrame:
 def order_date_pages(spark: SparkSession, d: str) -> DataFrame:
     """(o_orderkey, html): order dates rendered in the supported formats
     inside a short HTML snippet."""
-    o = table(spark, d, "orders")
+    o = table(spark, d, "orders", True)
     dt = F.to_date("o_orderdate")
     idx = (F.pmod(F.col("o_orderkey"), F.lit(len(DATE_FORMATS))) + 1).cast("int")
     shown = F.element_at(F.array(*[F.date_format(dt, f) for f in DATE_FORMATS]), idx)

@@ -18,6 +18,7 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -73,7 +74,41 @@ def per_session(fn):
     return wrapper
 
 
+# inputs smaller than this are never fanned out
+FANOUT_MIN_BYTES = 1 << 20
+
+
+def _path_bytes(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength()
+
+
+def fan_out(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Spread an input held in fewer files than task slots over all slots.
+
+    A parquet file with one row group is read by one task however large it
+    is, so per-row work (regex extraction over pages and documents) would run
+    on a single core. Such inputs (fewer files than slots, more than
+    FANOUT_MIN_BYTES) get a round-robin repartition; filters and column
+    pruning still reach the scan below it. Inputs made of many files — any
+    table at cluster scale — are left as they are."""
+    spark = df.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= slots:
+        return df
+    size = _path_bytes(spark, path) if path else sum(_path_bytes(spark, f) for f in files)
+    return df.repartition(slots) if size > FANOUT_MIN_BYTES else df
+
+
 @per_session
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables (read-only inputs)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the driver's parquet tables (read-only inputs). ``spread``
+    fans an under-partitioned input out over all task slots (``fan_out``);
+    worth it before heavy per-row work (regex over whole pages or texts),
+    not before light work where the extra exchange costs more."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    return fan_out(df, path) if spread else df
