@@ -525,7 +525,9 @@ def _stream_dir(spark, name: str) -> str:
 
 def _event_stream(spark, d):
     schema = table(spark, d, "events").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet")
+    # the stream source takes directories: watch the table folder, pick the file
+    return (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+            .option("pathGlobFilter", "events.parquet").parquet(d))
 
 
 @register("t2_stats_stream")

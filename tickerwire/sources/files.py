@@ -6,18 +6,14 @@ write is distributed and appends add files instead of rewriting a document.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerwire.functions.text import store_key
 
-EXAMPLES_SCHEMA = T.StructType([
-    T.StructField("url", T.StringType()), T.StructField("source", T.StringType()),
-    T.StructField("article", T.StringType()), T.StructField("t0", T.DoubleType()),
-    T.StructField("t6", T.DoubleType()),
-])
-
 STATS_VALUE = T.StructType([T.StructField("num_urls", T.LongType()),
                             T.StructField("num_nodes", T.LongType())])
 STATS_DOC = T.MapType(T.StringType(), STATS_VALUE)
@@ -25,13 +21,14 @@ STATS_DOC = T.MapType(T.StringType(), STATS_VALUE)
 PARSED_SCHEMA = "ticker STRING, source STRING, url STRING"
 
 
-def read_articles_csv(spark: SparkSession, path: str,
-                      schema: T.StructType = EXAMPLES_SCHEMA) -> DataFrame:
-    """S3: labelled examples CSV with a header, Latin-1 encoded; columns
-    are matched by header name (extra columns are ignored)."""
-    return (spark.read.option("header", True).option("encoding", "ISO-8859-1")
-            .option("enforceSchema", False).option("multiLine", True)
-            .schema(schema).csv(path))
+def read_articles_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S3: labelled examples CSV with a header, Latin-1 encoded. Columns are
+    taken by header name (no schema inference pass): price columns t0, t1,
+    ... become DOUBLE, everything else stays STRING."""
+    raw = (spark.read.option("header", True).option("encoding", "ISO-8859-1")
+           .option("multiLine", True).csv(path))
+    return raw.select(*[F.col(c).try_cast("double").alias(c) if re.fullmatch(r"t[0-9]+", c)
+                        else F.col(c) for c in raw.columns])
 
 
 def parse_stats_docs(docs: DataFrame, col: str = "value") -> DataFrame:
@@ -46,7 +43,7 @@ def parse_stats_docs(docs: DataFrame, col: str = "value") -> DataFrame:
 
 def read_stats_json(spark: SparkSession, path: str) -> DataFrame:
     """Stats documents (one JSON object per file) flattened to rows."""
-    return parse_stats_docs(spark.read.option("wholetext", True).text(path), "value")
+    return parse_stats_docs(spark.read.text(path, wholetext=True), "value")
 
 
 def stats_document(stats: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
