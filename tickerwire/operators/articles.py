@@ -13,7 +13,7 @@ from tickerwire.operators.company import with_company
 from tickerwire.operators.extract import (has_title_selector, result_links, with_clean_html,
                                           with_date, with_title)
 from tickerwire.operators.frontier import drop_parsed, first_query_only
-from tickerwire.operators.stats import per_query_yield, source_stats
+from tickerwire.operators.stats import source_stats
 from tickerwire.options import Options
 
 # Node attributes in alphabetical order (the export order).
@@ -62,10 +62,12 @@ def candidate_urls(queries: DataFrame, results: DataFrame, parsed: DataFrame | N
     ``queries``: (ticker, source, string, *order_cols); ``results``:
     (ticker, source, string, html) — the stored result page of a query.
     Output: query columns + (link_pos, url)."""
-    q = queries.select("ticker", "source", "string", *order_cols)
+    # links come out of the (wide) result pages first, in the scan stage;
+    # only the narrow link rows meet the query list in the shuffle join
     res = results.select("ticker", "source", "string", "html")
-    links = result_links(res.join(q, ["ticker", "source", "string"]), "html")
-    links = links.filter(is_of_source("url", "source")).drop("href")
+    links = result_links(res, "html").filter(is_of_source("url", "source")).drop("href")
+    q = queries.select("ticker", "source", "string", *order_cols)
+    links = links.join(q, ["ticker", "source", "string"])
     if parsed is not None:
         links = drop_parsed(links, parsed)
     return first_query_only(links, list(order_cols))
@@ -80,18 +82,25 @@ def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
     ``candidates``: (ticker, source, url, ...); ``pages``: (url, html);
     ``companies``: (ticker, industry, sector).
     Output: candidate columns + title, publish_date, industry, sector,
-    reject_reason (null for accepted rows; only accepted rows unless
-    ``keep_rejected``)."""
-    c = candidates.filter(~F.coalesce(is_homepage("url", "source"), F.lit(False)))
-    if opts.validate_url:
-        c = c.filter(is_valid_url("url", "source", opts.curious))
-    # narrow the wide side to the two columns the lookup needs
+    reject_reason. Only accepted rows (null reason) unless ``keep_rejected``,
+    which keeps one row per candidate, homepages included."""
+    home = F.coalesce(is_homepage("url", "source"), F.lit(False))
+    c = candidates.withColumn("_home", home)
+    if not keep_rejected:
+        c = c.filter(~F.col("_home"))
+    bad_url = ~is_valid_url("url", "source", opts.curious) if opts.validate_url else F.lit(False)
+    c = c.withColumn("_bad_url", bad_url)
+    # narrow the wide side to the two columns the lookup needs; homepages and
+    # invalid URLs carry a null key, so they fetch nothing
     p = pages.select(F.col("url").alias("_purl"), F.col("html").alias("_html"))
-    j = c.join(p, c["url"] == p["_purl"], "left").drop("_purl")
+    key = F.when(~F.col("_home") & ~F.col("_bad_url"), F.col("url"))
+    j = c.join(p, key == p["_purl"], "left").drop("_purl")
     j = with_clean_html(j, "_html", "_clean")
     j = with_title(j, "_clean", "source", "title")
     j = with_date(j, "_clean", "_html", "source", "publish_date")
-    reason = (F.when(F.col("_html").isNull(), F.lit("fetch"))
+    reason = (F.when(F.col("_home"), F.lit("homepage"))
+              .when(F.col("_bad_url"), F.lit("invalid_url"))
+              .when(F.col("_html").isNull(), F.lit("fetch"))
               .when(~has_title_selector("source"), F.lit("no_selector")))
     if opts.date_checker:
         reason = reason.when(F.col("publish_date").isNull(), F.lit("no_date"))
@@ -99,28 +108,39 @@ def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
         body = text_of(select_first("_clean", "article"))
         reason = reason.when(F.coalesce(word_count(body), F.lit(0)) < opts.min_length,
                              F.lit("short"))
-    j = compute_once(j, reject_reason=reason).drop("_html", "_clean")
+    j = compute_once(j, reject_reason=reason).drop("_html", "_clean", "_home", "_bad_url")
     j = with_company(j, companies)
     return j if keep_rejected else j.filter(F.col("reject_reason").isNull())
 
 
+def query_outcomes(outcomes: DataFrame,
+                   keys: tuple[str, ...] = ("ticker", "source", "string")) -> DataFrame:
+    """A8 in one pass over ``build_nodes(..., keep_rejected=True)``: URLs
+    found (every candidate) and nodes built (accepted) per query."""
+    return (outcomes.groupBy(*keys)
+            .agg(F.count(F.lit(1)).alias("urls_found"),
+                 F.count_if(F.col("reject_reason").isNull()).alias("nodes_built")))
+
+
 def run_batch(tickers: DataFrame, sources: list[str], results: DataFrame, pages: DataFrame,
               companies: DataFrame, parsed: DataFrame | None = None,
               opts: Options = Options(), names: DataFrame | None = None) -> dict[str, DataFrame]:
-    """One run over all queries. Returns the DataFrames the three sinks
-    take — nodes, parsed URLs of productive queries (P10/D7), per-query
-    yield (A8) and per-source stats of productive queries (A1/D8). Nothing
-    is executed here; persist ``nodes`` when writing several sinks."""
+    """One run over all queries, as lazy DataFrames for the sinks:
+    nodes (S5), URLs to mark parsed — every candidate of a productive query
+    (P10, D7), per-query yield (A8) and per-source stats of productive
+    queries (A1, D8). All derive from one row-per-candidate ``outcomes``
+    frame; persist it when several sinks are written."""
     from tickerwire.operators.frontier import build_queries
     keys = ("ticker", "source", "string")
     queries = build_queries(tickers, sources, opts.depth, names)
     cands = candidate_urls(queries, results, parsed)
-    nodes = build_nodes(cands, pages, companies, opts)
-    yld = per_query_yield(cands, nodes, keys)
+    outcomes = build_nodes(cands, pages, companies, opts, keep_rejected=True)
+    nodes = outcomes.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    yld = query_outcomes(outcomes, keys)
     productive = yld.filter(F.col("nodes_built") > 0)
     stats = source_stats(productive.select("source", F.col("urls_found").alias("num_urls"),
                                            F.col("nodes_built").alias("num_nodes")))
-    parsed_new = productive_only(cands, nodes, keys).select(
+    parsed_new = outcomes.join(productive.select(*keys), list(keys), "left_semi").select(
         F.upper("ticker").alias("ticker"), F.lower("source").alias("source"), "url")
-    return {"queries": queries, "candidates": cands, "nodes": nodes, "yield": yld,
-            "stats": stats, "parsed": parsed_new}
+    return {"queries": queries, "candidates": cands, "outcomes": outcomes, "nodes": nodes,
+            "yield": yld, "stats": stats, "parsed": parsed_new}
