@@ -26,6 +26,11 @@ def normalise_keys(df: DataFrame) -> DataFrame:
     return df.withColumn("ticker", F.upper("ticker")).withColumn("source", F.lower("source"))
 
 
+def sorted_columns(df: DataFrame) -> DataFrame:
+    """Attributes in alphabetical order (the export header order)."""
+    return df.select(sorted(df.columns))
+
+
 def to_nodes(df: DataFrame) -> DataFrame:
     """The seven node attributes, alphabetically ordered."""
     return df.select(
@@ -77,7 +82,8 @@ def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
                 opts: Options = Options(), keep_rejected: bool = False) -> DataFrame:
     """For each non-homepage candidate URL (not P5), look the page up
     (S10), extract title (H2) and date (H3), attach company fields (J3) and
-    apply the optional checks (P6/P7, P8, P9).
+    apply the optional checks (P6/P7, P8, P9). Title and date are
+    extracted once per distinct (url, source).
 
     ``candidates``: (ticker, source, url, ...); ``pages``: (url, html);
     ``companies``: (ticker, industry, sector).
@@ -89,26 +95,33 @@ def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
     if not keep_rejected:
         c = c.filter(~F.col("_home"))
     bad_url = ~is_valid_url("url", "source", opts.curious) if opts.validate_url else F.lit(False)
-    c = c.withColumn("_bad_url", bad_url)
-    # narrow the wide side to the two columns the lookup needs; homepages and
-    # invalid URLs carry a null key, so they fetch nothing
+    c = c.withColumn("_fetch", ~F.col("_home") & ~bad_url)
+
+    # Extraction runs once per distinct (url, source): a URL found by many
+    # queries (a hot copy) is fetched and parsed once, and only the narrow
+    # extracted fields travel back to the candidate rows.
+    wanted = c.filter("_fetch").select("url", "source").distinct()
     p = pages.select(F.col("url").alias("_purl"), F.col("html").alias("_html"))
-    key = F.when(~F.col("_home") & ~F.col("_bad_url"), F.col("url"))
-    j = c.join(p, key == p["_purl"], "left").drop("_purl")
-    j = with_clean_html(j, "_html", "_clean")
-    j = with_title(j, "_clean", "source", "title")
-    j = with_date(j, "_clean", "_html", "source", "publish_date")
+    got = wanted.join(p, wanted["url"] == p["_purl"]).drop("_purl")
+    got = with_clean_html(got, "_html", "_clean")
+    got = with_title(got, "_clean", "source", "title")
+    got = with_date(got, "_clean", "_html", "source", "publish_date")
+    fields = ["url", "source", "title", "publish_date", F.lit(True).alias("_found")]
+    if opts.length_check:
+        body = text_of(select_first("_clean", "article"))
+        fields.append(F.coalesce(word_count(body), F.lit(0)).alias("_words"))
+    got = got.select(*fields)
+
+    j = c.join(got, ["url", "source"], "left")
     reason = (F.when(F.col("_home"), F.lit("homepage"))
-              .when(F.col("_bad_url"), F.lit("invalid_url"))
-              .when(F.col("_html").isNull(), F.lit("fetch"))
+              .when(~F.col("_fetch"), F.lit("invalid_url"))
+              .when(F.col("_found").isNull(), F.lit("fetch"))
               .when(~has_title_selector("source"), F.lit("no_selector")))
     if opts.date_checker:
         reason = reason.when(F.col("publish_date").isNull(), F.lit("no_date"))
     if opts.length_check:
-        body = text_of(select_first("_clean", "article"))
-        reason = reason.when(F.coalesce(word_count(body), F.lit(0)) < opts.min_length,
-                             F.lit("short"))
-    j = compute_once(j, reject_reason=reason).drop("_html", "_clean", "_home", "_bad_url")
+        reason = reason.when(F.col("_words") < opts.min_length, F.lit("short"))
+    j = compute_once(j, reject_reason=reason).drop("_home", "_fetch", "_found", "_words")
     j = with_company(j, companies)
     return j if keep_rejected else j.filter(F.col("reject_reason").isNull())
 

@@ -28,15 +28,16 @@ def source_accuracy(stats: DataFrame) -> DataFrame:
 
 
 def class_counts(df: DataFrame, col: str = "classification") -> DataFrame:
-    """A3: rows per class (rows with a null class form no group, as in a
-    pandas groupby)."""
+    """A3 (+L2): rows per class in ascending class order (rows with a null
+    class form no group, as in a pandas groupby)."""
     return (df.filter(F.col(col).isNotNull()).groupBy(col)
-            .agg(F.count(F.lit(1)).alias("n")))
+            .agg(F.count(F.lit(1)).alias("n")).orderBy(col))
 
 
 def source_counts(df: DataFrame, col: str = "classification", by: str = "source") -> DataFrame:
-    """A4: non-null classes per source (count of the column, not of rows)."""
-    return df.groupBy(by).agg(F.count(col).alias("n_classified"))
+    """A4 (+L2): non-null classes per source (count of the column, not of
+    rows), sources ascending."""
+    return df.groupBy(by).agg(F.count(col).alias("n_classified")).orderBy(by)
 
 
 def mean_article_len(df: DataFrame, text: str = "article") -> DataFrame:
@@ -45,8 +46,8 @@ def mean_article_len(df: DataFrame, text: str = "article") -> DataFrame:
 
 
 def mean_len_by_source(df: DataFrame, text: str = "article", by: str = "source") -> DataFrame:
-    """A6 (+F8): mean word count per source."""
-    return df.groupBy(by).agg(F.avg(word_count(text)).alias("mean_len"))
+    """A6 (+F8, L2): mean word count per source, sources ascending."""
+    return df.groupBy(by).agg(F.avg(word_count(text)).alias("mean_len")).orderBy(by)
 
 
 def class_histogram(df: DataFrame, col: str = "classification", bins: int = 3) -> DataFrame:
@@ -57,17 +58,20 @@ def class_histogram(df: DataFrame, col: str = "classification", bins: int = 3) -
     min and max come from one scalar subquery (a global partial aggregate),
     so the data is never gathered into one partition."""
     x = F.col(col).cast("double")
-    lo0, hi0 = F.min(x), F.max(x)
-    # one scalar subquery for both edges; numpy widens an empty range to
-    # [v - 0.5, v + 0.5]
-    edges = df.select(F.struct(
+    # one partial aggregate per distinct value feeds both the edges (scalar
+    # subquery) and the bins; the two share its shuffle stage
+    per_value = (df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+                 .groupBy("_x").agg(F.count(F.lit(1)).alias("_n")))
+    lo0, hi0 = F.min("_x"), F.max("_x")
+    # numpy widens an empty range to [v - 0.5, v + 0.5]
+    edges = per_value.select(F.struct(
         F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0).alias("lo"),
         F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0).alias("hi"))).scalar()
-    vals = df.select(x.alias("_x")).filter(F.col("_x").isNotNull()).withColumn("_e", edges)
+    vals = per_value.withColumn("_e", edges)
     lo, hi = F.col("_e.lo"), F.col("_e.hi")
     width = (hi - lo) / F.lit(float(bins))
     b = F.least(F.floor((F.col("_x") - lo) / width).cast("int") + 1, F.lit(bins))
-    hist = vals.groupBy(b.alias("bin"), "_e").agg(F.count(F.lit(1)).alias("n"))
+    hist = vals.groupBy(b.alias("bin"), "_e").agg(F.sum("_n").cast("bigint").alias("n"))
     return hist.select("bin", (lo + (F.col("bin") - 1) * width).alias("lower"),
                        F.when(F.col("bin") == bins, hi)
                        .otherwise(lo + F.col("bin") * width).alias("upper"),
@@ -130,25 +134,31 @@ def running_stats(runs: DataFrame, run_order: str = "run") -> DataFrame:
 def corpus_summary(articles: DataFrame, stats: DataFrame | None = None, *,
                    text: str = "article", by: str = "source",
                    classification: str = "classification") -> DataFrame:
-    """The notebook's summary as one long table
-    (metric, key, value): class counts (A3), classified rows per source (A4),
-    mean length overall (A5) and per source (A6), and accuracy per source
-    (A2) when ``stats`` is given."""
+    """The notebook's summary as one long table (metric, key, value):
+    class counts (A3), classified rows per source (A4), mean length overall
+    (A5) and per source (A6), and accuracy per source (A2) when ``stats`` is
+    given.
+
+    Two scans of the articles: one grouped by class, one grouped by source
+    that yields A4, A6 and — from its per-source sums — the exact global
+    mean A5 (both readers share the per-source shuffle stage)."""
     s = F.col(by).cast("string")
+    per_source = articles.groupBy(by).agg(
+        F.count(classification).alias("_classified"),
+        F.sum(word_count(text)).alias("_words"),
+        F.count(text).alias("_texts"))
     parts = [
         class_counts(articles, classification)
         .select(F.lit("class_count").alias("metric"),
                 F.col(classification).cast("string").alias("key"),
                 F.col("n").cast("double").alias("value")),
-        source_counts(articles, classification, by)
-        .select(F.lit("source_count").alias("metric"), s.alias("key"),
-                F.col("n_classified").cast("double").alias("value")),
-        mean_article_len(articles, text)
+        per_source.select(F.lit("source_count").alias("metric"), s.alias("key"),
+                          F.col("_classified").cast("double").alias("value")),
+        per_source.agg((F.sum("_words") / F.sum("_texts")).alias("value"))
         .select(F.lit("mean_len").alias("metric"), F.lit(None).cast("string").alias("key"),
-                F.col("mean_len").alias("value")),
-        mean_len_by_source(articles, text, by)
-        .select(F.lit("mean_len_by_source").alias("metric"), s.alias("key"),
-                F.col("mean_len").alias("value")),
+                "value"),
+        per_source.select(F.lit("mean_len_by_source").alias("metric"), s.alias("key"),
+                          (F.col("_words") / F.col("_texts")).alias("value")),
     ]
     if stats is not None:
         parts.append(source_accuracy(stats)
