@@ -93,7 +93,7 @@ def test_page_scan(spark):
 
 def test_nested_forms_round_trip(spark):
     n = _nodes(spark)
-    nested = files.nested_articles(n, salt_buckets=4)
+    nested = files.nested_articles(n, max_per_part=1)
     sizes = {r.store_key: r.n for r in nested.groupBy("store_key").agg(F.sum(F.size("nodes")).alias("n")).collect()}
     assert sizes == {"AAPL+reuters": 1, "AAPL+wsj": 1, "XOM+reuters": 1}
     back = nested.select(F.explode("nodes").alias("n")).select("n.*")
@@ -101,7 +101,8 @@ def test_nested_forms_round_trip(spark):
 
     u = spark.createDataFrame([("aapl", "reuters", f"u{i}") for i in range(20)] + [("MSFT", "wsj", "x")],
                               "ticker STRING, source STRING, url STRING")
-    nu = files.nested_urls(u, salt_buckets=4)
+    nu = files.nested_urls(u, max_per_part=5)
     assert nu.filter("ticker = 'AAPL'").count() > 1                   # a hot ticker is split
+    assert nu.filter("ticker = 'MSFT'").count() == 1
     flat = sorted(tuple(r) for r in files.flatten_nested_urls(nu).collect())
     assert flat == sorted([("AAPL", "reuters", f"u{i}") for i in range(20)] + [("MSFT", "wsj", "x")])

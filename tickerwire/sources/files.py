@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,29 +124,37 @@ def page_scan(urls: DataFrame, pages: DataFrame) -> DataFrame:
     return j.withColumn("reject_reason", F.when(F.col("html").isNull(), F.lit("fetch")))
 
 
-def nested_articles(nodes: DataFrame, salt_buckets: int = 16) -> DataFrame:
-    """The nested ``{ticker+source: [node, ...]}`` export form.
+def _bounded_parts(df: DataFrame, key: str, salt: Column, max_per_part: int) -> DataFrame:
+    """Adds ``part``: rows of one key spread over ceil(rows / max_per_part)
+    hash parts, so no collected list exceeds ~max_per_part elements however
+    hot the key. The per-key counts are a partial aggregate (one row per
+    key); joining them back is left to AQE (broadcast when small, skew
+    split otherwise)."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(max_per_part)))
+    return (df.join(counts, key)
+            .withColumn("part", F.pmod(salt, parts).cast("int")).drop("_rows"))
 
-    A hot store key could hold a third of all nodes, so its list is split
-    into ``salt_buckets`` parts by a hash of the node; readers concatenate
-    the parts of a key. Output: (store_key, part, nodes array<struct>)."""
+
+def nested_articles(nodes: DataFrame, max_per_part: int = 10_000) -> DataFrame:
+    """The nested ``{ticker+source: [node, ...]}`` export form, one row
+    per (store_key, part): a key's list is cut into parts of at most about
+    ``max_per_part`` nodes (readers concatenate the parts of a key).
+    Output: (store_key, part, nodes array<struct>)."""
     cols = sorted(nodes.columns)
-    key = store_key(F.col("Ticker"), F.col("NewsSource"))
-    part = F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt_buckets)).cast("int")
-    return (nodes.select(key.alias("store_key"), part.alias("part"),
+    keyed = nodes.select(store_key(F.col("Ticker"), F.col("NewsSource")).alias("store_key"),
                          F.struct(*[F.col(c) for c in cols]).alias("node"))
-            .groupBy("store_key", "part").agg(F.collect_list("node").alias("nodes")))
+    keyed = _bounded_parts(keyed, "store_key", F.xxhash64("node"), max_per_part)
+    return keyed.groupBy("store_key", "part").agg(F.collect_list("node").alias("nodes"))
 
 
-def nested_urls(parsed: DataFrame, salt_buckets: int = 16) -> DataFrame:
-    """The nested ``{TICKER: {source: [url, ...]}}`` form, in
-    ``salt_buckets`` parts per ticker (see S11).
+def nested_urls(parsed: DataFrame, max_per_part: int = 10_000) -> DataFrame:
+    """The nested ``{TICKER: {source: [url, ...]}}`` form, one row per
+    (ticker, part) with parts of at most about ``max_per_part`` URLs.
     Output: (ticker, part, urls map<string, array<string>>)."""
-    t = F.upper("ticker")
-    part = F.pmod(F.xxhash64("url"), F.lit(salt_buckets)).cast("int")
-    per_source = (parsed.select(t.alias("ticker"), F.lower("source").alias("source"), "url",
-                                part.alias("part"))
-                  .groupBy("ticker", "part", "source").agg(F.collect_list("url").alias("urls")))
+    flat = parsed.select(F.upper("ticker").alias("ticker"), F.lower("source").alias("source"), "url")
+    flat = _bounded_parts(flat, "ticker", F.xxhash64("url"), max_per_part)
+    per_source = flat.groupBy("ticker", "part", "source").agg(F.collect_list("url").alias("urls"))
     return (per_source.groupBy("ticker", "part")
             .agg(F.map_from_entries(F.collect_list(F.struct("source", "urls"))).alias("urls")))
 
