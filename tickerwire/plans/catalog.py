@@ -563,3 +563,25 @@ def t3_dedupe_stream(spark, d):
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@register("t1_ingest_stream")
+def t1_ingest_stream(spark, d):
+    """The run's candidate URLs land as three files; the ingest stream
+    processes one file per micro-batch (dedupe against earlier batches,
+    build, write). Once all files are in, the store equals the batch nodes."""
+    from tickerwire.streaming import ingest
+    base = _stream_dir(spark, "ingest")
+    cands = _batch(spark, d)["candidates"].select("ticker", "source", "string", "url")
+    schema = "ticker STRING, source STRING, string STRING, url STRING"
+    for i in range(3):
+        (cands.filter(F.pmod(F.xxhash64("url"), F.lit(3)) == i)
+         .write.mode("overwrite").parquet(f"{base}/landing/part={i}"))
+    comp = dv.companies(spark, d)
+    q = ingest.ingest_stream(spark, f"{base}/landing/*", schema,
+                             dv.news_pages(spark, d).select("url", "html"), comp,
+                             f"{base}/store", f"{base}/parsed", f"{base}/ckpt",
+                             max_files_per_trigger=1)
+    q.awaitTermination()
+    nodes = articles.to_nodes(spark.read.parquet(f"{base}/store"))
+    return nodes.withColumn("PublishDate", F.date_format("PublishDate", "yyyy-MM-dd"))
