@@ -106,3 +106,19 @@ def test_nested_forms_round_trip(spark):
     assert nu.filter("ticker = 'MSFT'").count() == 1
     flat = sorted(tuple(r) for r in files.flatten_nested_urls(nu).collect())
     assert flat == sorted([("AAPL", "reuters", f"u{i}") for i in range(20)] + [("MSFT", "wsj", "x")])
+
+
+def test_write_run_accumulates(spark, tmpdir_path):
+    import __spark_entry__  # noqa: F401
+    from conftest import SMALL
+    from tickerwire.operators import articles
+    from tickerwire.plans import catalog, derived as dv
+    run = catalog._batch(spark, SMALL)
+    paths = [os.path.join(tmpdir_path, x) for x in ("store", "parsed", "stats")]
+    s0 = {r.source: (r.num_urls, r.num_nodes) for r in articles.write_run(run, *paths, 0).collect()}
+    expected = {r.source: (r.num_urls, r.num_nodes) for r in run["stats"].collect()}
+    assert s0 == expected
+    s1 = {r.source: (r.num_urls, r.num_nodes) for r in articles.write_run(run, *paths, 1).collect()}
+    assert s1 == {k: (2 * u, 2 * n) for k, (u, n) in expected.items()}
+    assert spark.read.parquet(paths[0]).count() == 2 * run["nodes"].count()
+    assert spark.read.parquet(paths[1]).count() == 2 * run["parsed"].count()

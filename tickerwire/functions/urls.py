@@ -21,7 +21,7 @@ def host_labels(url) -> Column:
 def is_of_source(url, source) -> Column:
     """Some host label equals the source (case-sensitive). A URL without
     '://' has no labels and is not of any source."""
-    return F.array_contains(host_labels(url), _c(source))
+    return _c(url).contains("://") & F.array_contains(host_labels(url), _c(source))
 
 
 def is_homepage(url, source, patterns: dict[str, list[str]] | None = None) -> Column:

@@ -157,3 +157,32 @@ def run_batch(tickers: DataFrame, sources: list[str], results: DataFrame, pages:
         F.upper("ticker").alias("ticker"), F.lower("source").alias("source"), "url")
     return {"queries": queries, "candidates": cands, "outcomes": outcomes, "nodes": nodes,
             "yield": yld, "stats": stats, "parsed": parsed_new}
+
+
+def write_run(run: dict[str, DataFrame], store_path: str, parsed_path: str, stats_path: str,
+              version: int) -> DataFrame:
+    """C3 sinks: S5 (append nodes), S6 (append parsed URLs), S7 (stats of
+    this run added to the previous version, written as ``version``).
+
+    The per-candidate outcomes feed all three, so they are checkpointed once
+    into the shared ``spark.checkpoint.dir`` (reliable: it survives executor
+    loss and cuts the lineage back to the page scans); every sink reads the
+    checkpointed rows. Returns the new accumulated stats."""
+    from tickerwire.session import checkpoint_dir
+    from tickerwire.sources import files
+    keys = ["ticker", "source", "string"]
+    spark = run["outcomes"].sparkSession
+    checkpoint_dir(spark)
+    outcomes = run["outcomes"].checkpoint(eager=True)
+    nodes = to_nodes(outcomes.filter(F.col("reject_reason").isNull()))
+    files.append_articles(nodes, store_path)
+    yld = query_outcomes(outcomes, tuple(keys)).filter(F.col("nodes_built") > 0)
+    parsed = outcomes.join(yld.select(*keys), keys, "left_semi")
+    files.append_parsed(parsed.select("ticker", "source", "url"), parsed_path)
+    run_stats = source_stats(yld.select("source", F.col("urls_found").alias("num_urls"),
+                                        F.col("nodes_built").alias("num_nodes")))
+    if version > 0:
+        prev = spark.read.parquet(f"{stats_path.rstrip('/')}/v={version - 1}")
+        run_stats = source_stats(prev.unionByName(run_stats))
+    files.write_stats(run_stats, stats_path, version)
+    return spark.read.parquet(f"{stats_path.rstrip('/')}/v={version}")
