@@ -122,3 +122,20 @@ def test_write_run_accumulates(spark, tmpdir_path):
     assert s1 == {k: (2 * u, 2 * n) for k, (u, n) in expected.items()}
     assert spark.read.parquet(paths[0]).count() == 2 * run["nodes"].count()
     assert spark.read.parquet(paths[1]).count() == 2 * run["parsed"].count()
+
+
+def test_registries_and_exports(spark, tmpdir_path):
+    from tickerwire.operators.articles import sorted_columns
+    from tickerwire.sources import registry
+    assert registry.watchlist_df(spark).count() == 13
+    assert registry.hosts_df(spark).count() == 16
+    assert registry.homepage_df(spark).filter("source = 'reuters'").count() == 5
+    sel = registry.selectors_df(spark)
+    assert sel.filter("field = 'date'").count() == 6 and sel.filter("field = 'title'").count() == 6
+    assert [r.source for r in registry.sources_df(spark).orderBy("position").collect()] == registry.VALID_SOURCES
+    n = _nodes(spark)
+    assert sorted_columns(n.select("Url", "Ticker", "ArticleName")).columns == ["ArticleName", "Ticker", "Url"]
+    out = os.path.join(tmpdir_path, "payloads")
+    files.export_survey_json(n, out)
+    lines = [json.loads(r.value) for r in spark.read.text(out).collect()]
+    assert len(lines) == 3 and all(set(x) == {"values"} for x in lines)

@@ -47,11 +47,6 @@ def _queries_depth2(spark, d):
                                   dv.NEWS_SOURCES, depth=2, names=names)
 
 
-def _news_queries(spark, d):
-    return frontier.build_queries(dv.companies(spark, d).select("ticker", "ticker_pos"),
-                                  dv.NEWS_SOURCES, depth=1)
-
-
 @per_session
 def _batch(spark, d, opts: Options = Options()):
     c = dv.companies(spark, d)
@@ -343,10 +338,13 @@ def l3_head(spark, d):
 
 
 def _ticker_lists(spark, d):
+    """The default watchlist followed by three table-derived lists (the
+    reference concatenates its watchlist with three exchange lists)."""
+    w = registry.watchlist_df(spark).select("ticker")
     a = dv.companies(spark, d).select("ticker")
     b = table(spark, d, "supplier").select(dv.letters(F.col("s_suppkey")).alias("ticker"))
     c = dv.symbols(spark, d).select(F.col("symbol").alias("ticker"))
-    return a, b, c
+    return w, a, b, c
 
 
 @register("u1_union_all")
