@@ -113,3 +113,10 @@ def test_anchors_profile_movers(spark):
     df = spark.createDataFrame([(1, mv)], "k INT, html STRING")
     got = [(r.cell_pos, r.symbol) for r in extract.movers(df).orderBy("cell_pos").collect()]
     assert got == [(0, "AAPL"), (2, None)]
+
+
+def test_full_entity_decoding_is_optional(spark):
+    h = '<h1 class="wsj-article-headline">It&#8217;s &eacute;t&#xE9; &amp; more</h1>'
+    df = spark.createDataFrame([(1, "wsj", h)], "page_id INT, source STRING, html STRING")
+    assert extract.extract_title(df).first().title == "It&#8217;s &eacute;t&#xE9; & more"
+    assert extract.extract_title(df, full_entities=True).first().title == "It’s été & more"

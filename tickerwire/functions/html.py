@@ -9,6 +9,9 @@ inner closing tag, and unquoted attribute values are not recognised.
 
 from __future__ import annotations
 
+import html as _html
+
+import pandas as pd  # noqa: F401  (resolves the pandas UDF's annotations)
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,10 +100,34 @@ def decode_entities(s) -> Column:
     return out
 
 
-def text_of(fragment) -> Column:
+def unescape_all(s) -> Column:
+    """Every HTML character reference (named, decimal, hex) decoded, via an
+    Arrow-batched pandas UDF around ``html.unescape``. Optional slow path for
+    text outside the built-in named subset of ``decode_entities``."""
+    return _unescape_udf()(_c(s))
+
+
+_UNESCAPE = None
+
+
+def _unescape_udf():
+    global _UNESCAPE
+    if _UNESCAPE is None:
+        @F.pandas_udf("string")
+        def _unescape(col: pd.Series) -> pd.Series:
+            return col.map(lambda v: _html.unescape(v) if isinstance(v, str) else v)
+
+        _UNESCAPE = _unescape
+    return _UNESCAPE
+
+
+def text_of(fragment, full_entities: bool = False) -> Column:
     """Text content of an HTML fragment with whitespace collapsed; null when
-    the text is empty."""
-    return F.nullif(collapse_ws(decode_entities(strip_tags(fragment))), F.lit(""))
+    the text is empty. ``full_entities`` decodes every character reference
+    (Python UDF); the default decodes the named subset JVM-side."""
+    stripped = strip_tags(fragment)
+    decoded = unescape_all(stripped) if full_entities else decode_entities(stripped)
+    return F.nullif(collapse_ws(decoded), F.lit(""))
 
 
 def anchor_hrefs(html) -> Column:

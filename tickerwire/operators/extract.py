@@ -57,11 +57,11 @@ def with_clean_html(df: DataFrame, html: str = "html", out: str = "_clean") -> D
 
 
 def with_title(df: DataFrame, clean: str = "_clean", source: str = "source",
-               out: str = "title") -> DataFrame:
+               out: str = "title", full_entities: bool = False) -> DataFrame:
     """H2: title text (tags removed, entities decoded, whitespace
-    collapsed)."""
+    collapsed); ``full_entities`` see ``html.text_of``."""
     staged = df.withColumn("_title_html", title_html(F.col(clean), source))
-    return compute_once(staged, **{out: text_of("_title_html")}).drop("_title_html")
+    return compute_once(staged, **{out: text_of("_title_html", full_entities)}).drop("_title_html")
 
 
 def with_date(df: DataFrame, clean: str = "_clean", html: str = "html", source: str = "source",
@@ -72,10 +72,10 @@ def with_date(df: DataFrame, clean: str = "_clean", html: str = "html", source:
 
 
 def extract_title(pages: DataFrame, html: str = "html", source: str = "source",
-                  out: str = "title") -> DataFrame:
+                  out: str = "title", full_entities: bool = False) -> DataFrame:
     """H2 over a table: adds ``out`` and a ``reject_reason`` ('no_selector')
     for sources without a title selector."""
-    df = with_title(with_clean_html(pages, html), "_clean", source, out).drop("_clean")
+    df = with_title(with_clean_html(pages, html), "_clean", source, out, full_entities).drop("_clean")
     return df.withColumn("reject_reason",
                          F.when(~has_title_selector(source), F.lit("no_selector")))
 
