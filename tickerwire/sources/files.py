@@ -58,8 +58,11 @@ def stats_document(stats: DataFrame, group_cols: list[str] | None = None) -> Dat
 
 def append_articles(nodes: DataFrame, path: str) -> None:
     """Append nodes to the article store, partitioned by
-    (Ticker, NewsSource); earlier files are kept."""
-    nodes.write.mode("append").partitionBy("Ticker", "NewsSource").parquet(path)
+    (Ticker, NewsSource); earlier files are kept. The ``rebalance`` hint
+    groups rows by directory before the write (few files per directory) and
+    lets AQE split a hot ticker over several tasks and merge small ones."""
+    (nodes.hint("rebalance", "Ticker", "NewsSource")
+     .write.mode("append").partitionBy("Ticker", "NewsSource").parquet(path))
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +72,7 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 def append_parsed(urls: DataFrame, path: str) -> None:
     """Append (ticker upper, source lower, url); duplicates kept."""
     (urls.select(F.upper("ticker").alias("ticker"), F.lower("source").alias("source"), "url")
-     .write.mode("append").parquet(path))
+     .hint("rebalance").write.mode("append").parquet(path))
 
 
 def read_parsed(spark: SparkSession, path: str) -> DataFrame:
