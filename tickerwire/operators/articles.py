@@ -1,4 +1,4 @@
-"""Article pipeline: P1, P2, P8-P10 and the composite jobs C1-C3."""
+"""Article jobs: P1-P3, P8-P10 and the composite jobs C1-C3."""
 
 from __future__ import annotations
 

@@ -38,7 +38,7 @@ def queries() -> dict[str, Query]:
     return dict(_REGISTRY)
 
 
-# ---- shared pipelines -------------------------------------------------------
+# ---- shared inputs and runs ------------------------------------------------
 
 @per_session
 def _queries_depth2(spark, d):
