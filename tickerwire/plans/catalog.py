@@ -523,7 +523,7 @@ def c5_summary(spark, d):
 
 # ---- T: streaming (run to completion with availableNow, result read back) -----
 
-def _stream_dir(spark, name: str) -> str:
+def _scratch_dir(spark, name: str) -> str:
     import uuid
     from tickerwire.session import checkpoint_dir
     return f"{checkpoint_dir(spark).rstrip('/')}/tickerwire-{name}-{uuid.uuid4().hex}"
@@ -544,7 +544,7 @@ def t2_stats_stream(spark, d):
     runs = e.select(F.col("event_type").alias("source"),
                     F.floor("value").cast("bigint").alias("num_urls"),
                     F.floor(F.col("value") / 3).cast("bigint").alias("num_nodes"))
-    base = _stream_dir(spark, "stats")
+    base = _scratch_dir(spark, "stats")
     q = ingest.write_versions(ingest.stats_stream(runs), f"{base}/out", f"{base}/ckpt")
     q.awaitTermination()
     return ingest.read_latest_version(spark, f"{base}/out")
@@ -556,7 +556,7 @@ def t3_dedupe_stream(spark, d):
     from tickerwire.streaming import ingest
     e = _event_stream(spark, d).select("user_id", "event_type", "ts")
     dd = ingest.dedupe_stream(e, ["user_id", "event_type"], "ts", "1 day").drop("ts")
-    base = _stream_dir(spark, "dedupe")
+    base = _scratch_dir(spark, "dedupe")
     q = (dd.writeStream.format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -569,7 +569,7 @@ def t1_ingest_stream(spark, d):
     processes one file per micro-batch (dedupe against earlier batches,
     build, write). Once all files are in, the store equals the batch nodes."""
     from tickerwire.streaming import ingest
-    base = _stream_dir(spark, "ingest")
+    base = _scratch_dir(spark, "ingest")
     cands = _batch(spark, d)["candidates"].select("ticker", "source", "string", "url")
     schema = "ticker STRING, source STRING, string STRING, url STRING"
     for i in range(3):
@@ -583,3 +583,64 @@ def t1_ingest_stream(spark, d):
     q.awaitTermination()
     nodes = articles.to_nodes(spark.read.parquet(f"{base}/store"))
     return nodes.withColumn("PublishDate", F.date_format("PublishDate", "yyyy-MM-dd"))
+
+
+
+# ---- S: stores written and read back (under the shared checkpoint folder) ----
+
+@register("s3_articles_csv")
+def s3_articles_csv(spark, d):
+    """S3: the labelled-examples CSV (Latin-1, header) written from
+    documents x labels and read back by header name."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "text", "n_chars")
+    lab = table(spark, d, "labels").select("doc_id", "quality")
+    ex = docs.join(lab, "doc_id", "left").select(
+        F.concat(F.lit("http://"), F.col("source"), F.lit(".example.com/"),
+                 F.col("doc_id").cast("string")).alias("url"),
+        "source", F.col("text").alias("article"), F.col("quality").cast("double").alias("t0"),
+        (F.col("n_chars") / 100.0).alias("t6"))
+    path = _scratch_dir(spark, "examples") + "/examples.csv"
+    files.write_articles_csv(ex, path)
+    back = files.read_articles_csv(spark, path)
+    return back.select("url", "source", F.length("article").cast("bigint").alias("article_len"),
+                       F.md5("article").alias("article_md5"), "t0", "t6")
+
+
+@register("s5_append_articles")
+def s5_append_articles(spark, d):
+    """The run's nodes appended twice to a partitioned store; both
+    appends are kept."""
+    path = _scratch_dir(spark, "articles")
+    nodes = articles.to_nodes(_batch(spark, d)["nodes"])
+    files.append_articles(nodes, path)
+    files.append_articles(nodes, path)
+    back = files.read_articles(spark, path)
+    return back.withColumn("PublishDate", F.date_format("PublishDate", "yyyy-MM-dd"))
+
+
+@register("s6_parsed_store")
+def s6_parsed_store(spark, d):
+    """Parsed URLs appended twice (list concatenation keeps repeats)."""
+    path = _scratch_dir(spark, "parsed")
+    files.append_parsed(_batch(spark, d)["parsed"], path)
+    files.append_parsed(_batch(spark, d)["parsed"], path)
+    return files.read_parsed(spark, path)
+
+
+@register("s7_write_stats")
+def s7_write_stats(spark, d):
+    """S7 (with S5, S6 through the checkpointed run sinks): two runs
+    accumulate into stats version 1."""
+    base = _scratch_dir(spark, "run")
+    run = _batch(spark, d)
+    paths = (f"{base}/store", f"{base}/parsed", f"{base}/stats")
+    articles.write_run(run, *paths, 0)
+    return articles.write_run(run, *paths, 1)
+
+
+@register("s8_export_csv")
+def s8_export_csv(spark, d):
+    """Nodes exported as CSV with the attribute header, read back."""
+    path = _scratch_dir(spark, "export")
+    files.export_csv(articles.to_nodes(_batch(spark, d)["nodes"]), path)
+    return spark.read.option("header", True).option("multiLine", True).csv(path)

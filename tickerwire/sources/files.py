@@ -65,8 +65,20 @@ def append_articles(nodes: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy("Ticker", "NewsSource").parquet(path))
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+NODE_SCHEMA = ("ArticleName STRING, Industry STRING, NewsSource STRING, PublishDate DATE, "
+               "Sector STRING, Ticker STRING, Url STRING")
+
+
+def read_articles(spark: SparkSession, path: str, schema: str = NODE_SCHEMA) -> DataFrame:
+    """The article store; partition columns keep their declared types
+    (a ticker that looks numeric stays a string)."""
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_articles_csv(df: DataFrame, path: str) -> None:
+    """S3 writer: header, Latin-1 (the examples-file convention)."""
+    (df.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1")
+     .csv(path))
 
 
 def append_parsed(urls: DataFrame, path: str) -> None:
