@@ -96,6 +96,8 @@ def fan_out(df: DataFrame, path: str | None = None) -> DataFrame:
     table at cluster scale — are left as they are."""
     spark = df.sparkSession
     slots = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= 4 * slots:   # cluster-scale input: nothing to do
+        return df
     files = df.inputFiles()
     if len(files) >= slots:
         return df
