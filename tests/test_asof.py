@@ -56,3 +56,12 @@ def test_label_articles(spark):
         a, b = t0[r.pid], t1[r.pid]
         exp = -1000 if a is None or b is None else (b > a) - (b < a)
         assert (r.t0, r.t1, r.classification) == (a, b, exp)
+
+
+def test_null_keys_match_nothing(spark):
+    t0 = dt.datetime(2024, 1, 1, 12)
+    p = spark.createDataFrame([(1, None, t0), (2, "A", t0), (3, "A", None)], "pid INT, ticker STRING, ts TIMESTAMP")
+    t = spark.createDataFrame([(None, t0, 5.0, 1), ("A", t0 - dt.timedelta(days=3), 7.0, 2)],
+                              "ticker STRING, ts TIMESTAMP, price DOUBLE, tick_id INT")
+    got = {r.pid: r.asof_price for r in asof.asof_price(p, t, tick_order="tick_id").collect()}
+    assert got == {1: None, 2: 7.0, 3: None}

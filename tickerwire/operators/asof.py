@@ -50,7 +50,9 @@ def asof_price(left: DataFrame, prices: DataFrame, *, by: str = "ticker", ts: st
                           F.lit(0).alias("_kind"), order.alias("_ord"),
                           F.col(price).cast("double").alias("_price"),
                           F.lit(None).cast(probes.schema["_row"].dataType).alias("_row"))
-    ticks = ticks.filter(F.col("_price").isNotNull() & F.col("_ts").isNotNull())
+    # a null key or time matches nothing (as in an SQL as-of join)
+    ticks = ticks.filter(F.col("_by").isNotNull() & F.col("_price").isNotNull()
+                         & F.col("_ts").isNotNull())
     ticks = ticks.withColumn("_b", _bucket(F.col("_ts"), bucket))
 
     # 1. inside each (key, bucket): last tick at or before the probe
