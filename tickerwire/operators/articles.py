@@ -74,7 +74,7 @@ def candidate_urls(queries: DataFrame, results: DataFrame, parsed: DataFrame | N
     q = queries.select("ticker", "source", "string", *order_cols)
     links = links.join(q, ["ticker", "source", "string"])
     if parsed is not None:
-        links = drop_parsed(links, parsed)
+        links = drop_parsed(links, parsed, keep_key=True)
     return first_query_only(links, list(order_cols))
 
 

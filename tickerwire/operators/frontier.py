@@ -48,23 +48,29 @@ def build_queries(tickers: DataFrame, sources: list[str] | None = None, depth: i
                     F.col("q.sub").alias("sub"))
 
 
-def drop_parsed(candidates: DataFrame, parsed: DataFrame) -> DataFrame:
+def drop_parsed(candidates: DataFrame, parsed: DataFrame, keep_key: bool = False) -> DataFrame:
     """Remove candidate URLs already parsed for the (upper-cased)
-    ticker; repeats inside the candidate list stay (bag semantics)."""
-    seen = parsed.select(F.upper("ticker").alias("_t"), F.col("url").alias("_u")).distinct()
-    keyed = candidates.withColumn("_t", F.upper("ticker")).withColumn("_u", F.col("url"))
-    return keyed.join(seen, ["_t", "_u"], "left_anti").drop("_t", "_u")
+    ticker; repeats inside the candidate list stay (bag semantics). The
+    parsed side is reduced to distinct keys with a partial aggregate first.
+    ``keep_key`` keeps the join key column ``_t`` (upper ticker) so a later
+    step keyed by (``_t``, url) reuses this join's partitioning."""
+    seen = parsed.select(F.upper("ticker").alias("_t"), "url").distinct()
+    out = candidates.withColumn("_t", F.upper("ticker")).join(seen, ["_t", "url"], "left_anti")
+    return out if keep_key else out.drop("_t")
 
 
 def first_query_only(candidates: DataFrame, order_cols: list[str]) -> DataFrame:
     """A URL met by several queries of one ticker is kept only under
     the first of them (repeats inside that query stay). The window is keyed
-    by (ticker, url), so a hot ticker spreads over its distinct URLs."""
-    w = Window.partitionBy(F.upper("ticker"), "url")
+    by (upper ticker, url) — the ``_t`` column of ``drop_parsed`` when
+    present — so a hot ticker spreads over its distinct URLs."""
+    key = "_t" if "_t" in candidates.columns else None
+    w = Window.partitionBy(key or F.upper("ticker"), "url")
     first = F.min(F.struct(*[F.col(c) for c in order_cols])).over(w)
-    return (candidates.withColumn("_first", first)
-            .filter(F.struct(*[F.col(c) for c in order_cols]) == F.col("_first"))
-            .drop("_first"))
+    out = (candidates.withColumn("_first", first)
+           .filter(F.struct(*[F.col(c) for c in order_cols]) == F.col("_first"))
+           .drop("_first"))
+    return out.drop("_t") if key else out
 
 
 def ticker_universe(*lists: DataFrame, distinct: bool = False) -> DataFrame:
