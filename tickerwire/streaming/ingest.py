@@ -5,7 +5,8 @@ deduplicated against everything parsed by *earlier* batches, built into
 nodes and written. foreachBatch is at-least-once, so every output is written
 with ``overwrite`` into a ``batch_id=N`` directory and the anti-join reads
 only ``batch_id < N``: a replayed batch rewrites the same rows instead of
-removing or duplicating them.
+removing or duplicating them. The parsed store is further partitioned by a
+hash bucket of the ticker so that a batch probes only the buckets it needs.
 
 T2 keeps per-source totals as streaming aggregation state (checkpointed),
 T3 bounds the dedupe state with a watermark.
@@ -13,40 +14,60 @@ T3 bounds the dedupe state with a watermark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickerwire.operators.articles import build_nodes, productive_only
-from tickerwire.operators.frontier import drop_parsed
 from tickerwire.operators.stats import source_stats
 from tickerwire.options import Options
 from tickerwire.sources.files import PARSED_SCHEMA
 
 
-def _read_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
+# the parsed store is laid out by a hash bucket of the upper-cased ticker
+PARSED_BUCKETS = 64
+
+
+def _bucket(ticker_col: Column) -> Column:
+    return F.pmod(F.xxhash64(F.upper(ticker_col)), F.lit(PARSED_BUCKETS)).cast("int")
+
+
+def _read_store(spark: SparkSession, path: str) -> DataFrame:
     try:
         return spark.read.parquet(path)
     except Exception as exc:  # a store that does not exist yet is empty
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) \
                 or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return spark.createDataFrame([], schema + ", batch_id BIGINT")
+            return spark.createDataFrame([], PARSED_SCHEMA + ", batch_id INT, bucket INT")
         raise
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, pages: DataFrame, companies: DataFrame,
                  store_path: str, parsed_path: str, opts: Options = Options(),
                  keys: tuple[str, ...] = ("ticker", "source", "string")) -> None:
-    """One T1 micro-batch (also usable on its own as a batch step)."""
+    """One T1 micro-batch (also usable on its own as a batch step).
+
+    The parsed store (``parsed_path/batch_id=N/bucket=B``) is read only in
+    the buckets the batch's tickers fall into: their ids (at most
+    PARSED_BUCKETS small integers, a planning input) become a partition
+    filter, so a batch scans the slice of the store it can hit, not all of
+    it. The probe is a semi-join on (bucket, ticker, url)."""
     spark = batch.sparkSession
-    earlier = _read_store(spark, parsed_path, PARSED_SCHEMA).filter(F.col("batch_id") < batch_id)
-    fresh = drop_parsed(batch, earlier.select("ticker", "source", "url"))
+    key_cols = ["bucket", "_t", "url"]
+    b = batch.withColumn("_t", F.upper("ticker")).withColumn("bucket", _bucket(F.col("ticker")))
+    touched = [r[0] for r in b.select("bucket").distinct().collect()]   # <= PARSED_BUCKETS ints
+    earlier = (_read_store(spark, parsed_path)
+               .filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched)))
+    hits = (earlier.select("bucket", F.upper("ticker").alias("_t"), "url")
+            .join(b.select(*key_cols).distinct(), key_cols, "left_semi"))
+    fresh = b.join(hits.distinct(), key_cols, "left_anti").drop("_t", "bucket")
     nodes = build_nodes(fresh, pages, companies, opts).persist()
     try:
         nodes.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
         parsed = productive_only(fresh, nodes, keys).select(
             F.upper("ticker").alias("ticker"), F.lower("source").alias("source"), "url")
-        parsed.write.mode("overwrite").parquet(f"{parsed_path}/batch_id={batch_id}")
+        (parsed.withColumn("bucket", _bucket(F.col("ticker"))).write.mode("overwrite")
+         .partitionBy("bucket").parquet(f"{parsed_path}/batch_id={batch_id}"))
     finally:
         nodes.unpersist()
 
