@@ -3,8 +3,6 @@ per selector, plus the documented limits of regex selection."""
 
 import datetime as dt
 
-import pytest
-from pyspark.sql import functions as F
 
 from tickerwire.functions import html
 from tickerwire.operators import extract

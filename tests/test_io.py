@@ -109,10 +109,9 @@ def test_nested_forms_round_trip(spark):
 
 
 def test_write_run_accumulates(spark, tmpdir_path):
-    import __spark_entry__  # noqa: F401
     from conftest import SMALL
     from tickerwire.operators import articles
-    from tickerwire.plans import catalog, derived as dv
+    from tickerwire.plans import catalog
     run = catalog._batch(spark, SMALL)
     paths = [os.path.join(tmpdir_path, x) for x in ("store", "parsed", "stats")]
     s0 = {r.source: (r.num_urls, r.num_nodes) for r in articles.write_run(run, *paths, 0).collect()}
