@@ -138,3 +138,17 @@ def test_registries_and_exports(spark, tmpdir_path):
     files.export_survey_json(n, out)
     lines = [json.loads(r.value) for r in spark.read.text(out).collect()]
     assert len(lines) == 3 and all(set(x) == {"values"} for x in lines)
+
+
+def test_nested_parts_are_bounded_for_a_hot_key(spark):
+    from pyspark.sql import functions as F
+    hot = [("HOT", "reuters", f"u{i}") for i in range(3000)]
+    cold = [(f"C{i}", "wsj", f"v{i}") for i in range(30)]
+    u = spark.createDataFrame(hot + cold, "ticker STRING, source STRING, url STRING")
+    nu = files.nested_urls(u, max_per_part=200)
+    sizes = nu.select("ticker", F.aggregate(F.map_values("urls"), F.lit(0),
+                                            lambda acc, a: acc + F.size(a)).alias("n")).collect()
+    hot_sizes = [r.n for r in sizes if r.ticker == "HOT"]
+    assert len(hot_sizes) >= 15 and sum(hot_sizes) == 3000
+    assert max(hot_sizes) <= 2 * 200                      # hash parts stay near the bound
+    assert all(r.n == 1 for r in sizes if r.ticker != "HOT")
