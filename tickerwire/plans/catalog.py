@@ -572,11 +572,12 @@ def t1_ingest_stream(spark, d):
     base = _scratch_dir(spark, "ingest")
     cands = _batch(spark, d)["candidates"].select("ticker", "source", "string", "url")
     schema = "ticker STRING, source STRING, string STRING, url STRING"
-    for i in range(3):
-        (cands.filter(F.pmod(F.xxhash64("url"), F.lit(3)) == i)
-         .write.mode("overwrite").parquet(f"{base}/landing/part={i}"))
+    # one job writes the three landing files (one file per part directory)
+    part = F.pmod(F.xxhash64("url"), F.lit(3))
+    (cands.withColumn("part", part).repartition(3, "part")
+     .write.mode("overwrite").partitionBy("part").parquet(f"{base}/landing"))
     comp = dv.companies(spark, d)
-    q = ingest.ingest_stream(spark, f"{base}/landing/*", schema,
+    q = ingest.ingest_stream(spark, f"{base}/landing/part=*", schema,
                              dv.news_pages(spark, d).select("url", "html"), comp,
                              f"{base}/store", f"{base}/parsed", f"{base}/ckpt",
                              max_files_per_trigger=1)
