@@ -90,7 +90,7 @@ def news_pages(spark: SparkSession, d: str) -> DataFrame:
     pid = F.col("page_id")
     src = F.element_at(F.array(*[F.lit(s) for s in NEWS_SOURCES]),
                        (F.pmod(pid, F.lit(len(NEWS_SOURCES))) + 1).cast("int"))
-    p = p.withColumn("source", src).withColumn("ticker", letters(F.pmod(pid * 37, F.lit(2003))))
+    p = p.withColumn("source", src).withColumn("ticker", letters(F.pmod(pid * 37, F.lit(149))))
     host = _case(F.col("source"), NEWS_HOSTS)
     home = _case(F.col("source"), {s: F.replace(F.lit(path), F.lit("{t}"), F.col("ticker"))
                                    for s, path in HOMEPAGE_PATH.items()})
