@@ -49,3 +49,26 @@ def test_no_python_udfs(spark):
             continue
         plan = _physical(fn(spark, SMALL))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, key
+
+
+def test_bounded_broadcast_hint_only_under_the_bound(spark):
+    from tickerwire.operators.articles import bounded_broadcast
+    df = spark.range(10)
+    hinted = bounded_broadcast(df, 100)._jdf.queryExecution().logical().toString()
+    plain = bounded_broadcast(df, 5)._jdf.queryExecution().logical().toString()
+    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
+
+
+def test_fan_out_only_for_large_inputs_in_few_files(spark, tmpdir_path):
+    import os
+    from pyspark.sql import functions as F
+    from tickerwire.session import fan_out
+    big = os.path.join(tmpdir_path, "big")
+    (spark.range(200_000).select(F.sha2(F.col("id").cast("string"), 512).alias("s"))
+     .coalesce(1).write.parquet(big))
+    small = os.path.join(tmpdir_path, "small")
+    spark.range(10).coalesce(1).write.parquet(small)
+    slots = spark.sparkContext.defaultParallelism
+    assert fan_out(spark.read.parquet(big), big).rdd.getNumPartitions() == slots
+    s = spark.read.parquet(small)
+    assert fan_out(s, small) is s
