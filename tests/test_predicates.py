@@ -78,6 +78,7 @@ def test_is_valid_url(spark):
         ("not a url", "bloomberg", False, False),
         ("https://seekingalpha.com/a", "seekingalpha", True, True),
         ("https://www.bloomberg.com/a", "Bloomberg", False, True),         # registry lookup is exact-case
+        ("http://[::1]:8080/a", "bloomberg", False, True),                 # IPv6 literal host
     ]
     df = spark.createDataFrame(cases, "url STRING, source STRING, strict BOOLEAN, curious BOOLEAN")
     out = df.select("url", "strict", "curious",
@@ -87,6 +88,11 @@ def test_is_valid_url(spark):
         assert (r.s, r.c) == (r.strict, r.curious), r.url
 
 
+def test_hostname(spark):
+    df = spark.createDataFrame([("http://[::1]:80/x",), ("https://u:p@Www.X.com:443/",), ("x",)], "u STRING")
+    assert [r[0] for r in df.select(urls.url_hostname("u")).collect()] == ["::1", "www.x.com", ""]
+
+
 def test_unwrap_link(spark):
     cases = [
         ("/url?q=https://www.reuters.com/a&sa=U", "https://www.reuters.com/a&sa=U"),

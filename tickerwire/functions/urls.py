@@ -50,10 +50,17 @@ def url_scheme(url) -> Column:
     return F.lower(F.regexp_extract(_c(url), _SCHEME_AUTHORITY, 1))
 
 
+# host part of an authority: after any userinfo, a bracketed IPv6 literal or
+# everything up to the port
+_HOST = r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)"
+
+
 def url_hostname(url) -> Column:
-    """Lower-cased host: userinfo and port removed; '' when absent."""
+    """Lower-cased host: userinfo, port and IPv6 brackets removed; '' when
+    absent."""
     authority = F.regexp_extract(_c(url), _SCHEME_AUTHORITY, 2)
-    return F.lower(F.regexp_extract(authority, r"^(?:[^@]*@)?([^:]*)", 1))
+    host = F.regexp_extract(authority, _HOST, 1)
+    return F.lower(F.regexp_replace(host, r"^\[|\]$", ""))
 
 
 def registry_host(source) -> Column:
