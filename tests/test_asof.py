@@ -65,3 +65,15 @@ def test_null_keys_match_nothing(spark):
                               "ticker STRING, ts TIMESTAMP, price DOUBLE, tick_id INT")
     got = {r.pid: r.asof_price for r in asof.asof_price(p, t, tick_order="tick_id").collect()}
     assert got == {1: None, 2: 7.0, 3: None}
+
+
+def test_one_pass_labels_equal_two_pass(spark):
+    probes, ticks = _data(3)
+    p = spark.createDataFrame(probes, "pid INT, ticker STRING, ts TIMESTAMP")
+    t = spark.createDataFrame(ticks, "ticker STRING, ts TIMESTAMP, price DOUBLE, tick_id INT")
+    two = {r.pid: tuple(r) for r in asof.label_articles(p, t, interval="3 hours", tick_order="tick_id").collect()}
+    one = {r.pid: tuple(r) for r in asof.label_articles(p, t, interval="3 hours", tick_order="tick_id",
+                                                        key="pid").collect()}
+    assert one == two and len(one) == len(probes)
+    t0 = brute(probes, ticks)
+    assert all(one[k][3] == t0[k] for k in one)

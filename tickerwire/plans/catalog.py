@@ -58,7 +58,7 @@ def _batch(spark, d, opts: Options = Options()):
 @per_session
 def _labels(spark, d):
     return asof.label_articles(dv.publications(spark, d), dv.price_ticks(spark, d),
-                               interval=LABEL_INTERVAL, tick_order="tick_id")
+                               interval=LABEL_INTERVAL, tick_order="tick_id", key="event_id")
 
 
 @per_session
