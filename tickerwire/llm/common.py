@@ -61,7 +61,9 @@ def words_of(text: Column) -> Column:
 def gram_hashes(df: DataFrame, words: str, out: str) -> DataFrame:
     """``df`` with ``out``: the 64-bit hash of each run of five words of the
     array column ``words``; an array of fewer words gives an empty one. The
-    words' hashes are a column of their own, so they are evaluated once."""
+    words' hashes are a column of their own, so they are evaluated once. (A
+    filter on ``out``, or the one that ``explode`` implies, would be pushed
+    below that column and evaluate them per element: use ``explode_outer``.)"""
     g = f"{out}_1"
     runs = F.transform(g, lambda x, i: F.xxhash64(x, *[F.get(g, i + k) for k in range(1, 5)]))
     return (df.withColumn(g, F.transform(words, lambda w: F.xxhash64(w)))

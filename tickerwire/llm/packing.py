@@ -107,11 +107,11 @@ def _pack(tokenizer: str, end_id: int, window: int):
             deficit = dict.fromkeys(queues, 0.0)
             rows, position = [], 0
             for source, (_, _, doc_id, ids) in round_robin(queues, weight, deficit, window):
-                tokens, at = len(ids) // 4, 0
-                while at < tokens:
+                total, at = len(ids) // 4, 0
+                while at < total:
                     room = window - position % window
-                    n = min(room, tokens - at)
-                    rows.append((doc_id, at, n, zlib.crc32(ids[4 * at:4 * (at + n)]), tokens,
+                    n = min(room, total - at)
+                    rows.append((doc_id, at, n, zlib.crc32(ids[4 * at:4 * (at + n)]), total,
                                  (bucket << 32) + position // window, position % window, source[1:] or None))
                     at, position = at + n, position + n
             yield pa.RecordBatch.from_arrays(

@@ -108,18 +108,18 @@ def disclosing(found: DataFrame, text: str = "text", support: int = SUPPORT, gen
     texts = found.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
                          F.array_distinct(_entities()).alias("entities"))
     holders = texts.where("size(entities) > 0").dropDuplicates(["key"])
-    of_entity = cut(holders.select("key", F.explode("entities").alias("entity")), "pii-entities")
+    of_entity = cut(holders.select("key", F.explode_outer("entities").alias("entity")), "pii-entities")
     known = of_entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     held = of_entity.join(known, "entity").select("key", "entity", "n_e")
     inside = cut(holders.select("key", "text").join(held.select("key").distinct(), "key", "left_semi")
-                 .select("key", F.explode(F.array_distinct(F.transform(_tokens(F.col("text")), _term))).alias("term")).where("term <> ''"), "pii-terms")
+                 .select("key", F.explode_outer(F.array_distinct(F.transform(_tokens(F.col("text")), _term))).alias("term")).where("term <> ''"), "pii-terms")
     pairs = cut(held.join(inside, "key").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "pii-pairs")
     terms = pairs.select("term").distinct()
     # how often the terms in question occur in the whole corpus
     if terms.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     n_texts = texts.select("key").distinct().count()
-    spread = (texts.select("key", F.explode(F.array_distinct(F.transform(F.array_distinct(_tokens(F.col("text"))), _term))).alias("term"))
+    spread = (texts.select("key", F.explode_outer(F.array_distinct(F.transform(F.array_distinct(_tokens(F.col("text"))), _term))).alias("term"))
               .join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t")))
     n = F.lit(float(n_texts))
     share = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
@@ -135,7 +135,7 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
     found = find(packed)
     shown = cut(disclosing(found, "text", support, generalise_at), "pii-disclosing")
     # the few texts that hold an entity with such terms get their lists
-    holders = (found.select(text_key(F.col("text")).alias("key"), F.explode(F.array_distinct(_entities())).alias("entity")).distinct()
+    holders = (found.select(text_key(F.col("text")).alias("key"), F.explode_outer(F.array_distinct(_entities())).alias("entity")).distinct()
                .join(shown, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
                .groupBy("key").agg(F.collect_list(F.struct("term", "disclosure")).alias("bad")))
     rows = found.withColumn("key", text_key(F.col("text"))).join(holders, "key", "left")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerwire.llm import chat, packing, pii, quality, url_filters, warc
+from tickerwire.llm import chat, decontaminate, minhash, packing, pii, quality, suffixes, toxicity, url_filters, warc
+from tickerwire.llm.common import text_key
 
 # Rules of the URL query: (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -35,6 +36,18 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.classes(docs).select("key", "class_id", "n_docs")
+    return docs.select("doc_id", text_key(F.col("text")).alias("key")).join(found, "key").select("doc_id", "class_id", "n_docs")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.find(docs.select("doc_id", "text"), items).select(
+        "doc_id", "item_id", F.col("begin").cast("long").alias("begin"), "similarity")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.archive_folder(spark)
     index = warc.write(_table(spark, sf_dir, "pages"), folder)
@@ -51,6 +64,24 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.concat_ws(",", F.nullif(base, F.lit("")), F.nullif(terms, F.lit(""))).alias("spans"))
 
 
+def categories() -> dict[str, Column]:
+    """The chain over the labels table: a low-quality text first, its
+    probability being an input of the toxicity model."""
+    return {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    models = toxicity.train(docs, _table(spark, sf_dir, "labels"), categories())
+    return toxicity.score(docs, models).select(
+        "row.doc_id", F.round(F.col("p")[0], 6).alias("p_low_quality"), F.round(F.col("p")[1], 6).alias("p_toxic"),
+        (F.col("p")[1] >= toxicity.THRESHOLD).alias("toxic"))
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return quality.judge(docs, carry=["doc_id"]).select(
@@ -62,4 +93,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_chat_format, op5_warc, op6_pii, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (
+        op1_url_filters, op2_chat_format, op3_dart_minhash, op4_decontamination, op5_warc, op6_pii, op7_toxicity,
+        op8_suffix_dedup, op9_quality_rules, op10_packing)}

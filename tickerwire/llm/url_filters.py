@@ -72,7 +72,7 @@ def judge(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     labels = keys.select("host", "path", F.slice(F.reverse(F.split("host", r"\.", -1)), 1, max(deepest, 1)).alias("labels"))
     probes = labels.select(
         "host", "path", F.pmod(F.xxhash64("host", "path"), F.lit(salts)).cast("int").alias("salt"),
-        F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")),
+        F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("labels")),
                               lambda n: F.array_join(F.slice("labels", 1, n), "."))).alias("suffix"))
     begins = stacks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     both = (probes.select("suffix", "salt", "path", F.lit(1).alias("kind"), "host", F.lit(None).cast(stacks.schema["stack"].dataType).alias("stack"))
