@@ -12,11 +12,14 @@ text however many elements it has; texts left with an empty coordinate look
 further up.
 
 Bands of ``ROWS`` coordinates give bucket keys. In each bucket every text is
-compared with the smallest one (no pairs of one group are multiplied out); what
-is then still unconnected inside a bucket is compared across the components,
-so that every candidate pair is either verified or already in one class. The
-verification is exact, on the whole texts. At similarity 0.8 a pair shares no
-band with probability (1 - 0.8**6)**40 < 1e-5.
+compared with the smallest one (no pairs of one group are multiplied out); texts of
+buckets that then still hold several components meet once more, where they
+agree in two bands at most ``NEAR`` apart, and are compared across components:
+texts that only share a passage seldom do, similar ones share ten bands of
+forty. The verification is exact, on the whole texts. At similarity 0.8 a pair
+shares no band with probability (1 - 0.8**6)**40 < 1e-5, and no two near bands
+with less than 1e-3; the latter matters only where no chain of smallest texts
+links the pair already.
 
 Defined results: equal texts are one node and always of one class; null counts
 as the empty text; texts without words are alike only if equal; a text of
@@ -40,6 +43,7 @@ from tickerwire.llm.wordhash import grams, mix, slices, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
+NEAR = 8
 # Expected darts of a text: leaves a coordinate empty for 2 % of the texts.
 DARTS = COORDINATES * (np.log(COORDINATES) + 4)
 _LOWEST = 1 / 64   # rank strips: [0, 1/64), then fourfold steps
@@ -184,9 +188,16 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     placed = (buckets.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
               .select("bucket", "key", F.coalesce("root", "key").alias("root")))
     apart = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    open_ = cut(placed.join(apart, "bucket", "left_semi"), "minhash-open")
-    left = open_.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"))
-    right = open_.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
+    # texts of such buckets meet again where they agree in two bands
+    open_ = cut(placed.join(apart, "bucket", "left_semi").select("key", "root").distinct(), "minhash-open")
+    band = lambda k: F.get("bands", k % BANDS)
+    doubles = F.transform(F.sequence(F.lit(0), F.lit(NEAR * BANDS - 1)),
+                          lambda k: F.xxhash64(k, band(k), band(k + F.floor(k / BANDS).cast("int") + 1)))
+    again = nodes.join(open_, "key").select("key", "root", F.explode_outer(doubles).alias("bucket"))
+    mixed = again.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
+    again = cut(again.join(mixed, "bucket"), "minhash-doubles")
+    left = again.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"))
+    right = again.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
     pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = left.join(right, "bucket").where("ra < rb").select(pair.alias("p")).select("p.a", "p.b").distinct().join(stars, ["a", "b"], "left_anti")
     roots = components(edges.unionByName(verified(cut(across, "minhash-across"), "minhash-links")))
