@@ -30,12 +30,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each near-duplicate class stays: that with the smallest
     doc_id (a null one last) of the class."""
     found = minhash.classes(docs).select("key", "class_key")
-    rows = docs.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("key"), F.col("doc_id").alias("id"),
-                       F.monotonically_increasing_id().alias("at"))
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("at"))
-    # the ids alone pick the document; texts are not shuffled for it
-    stay = rows.select("key", "id", "at").join(found, "key").groupBy("class_key").agg(F.min(order).alias("first")).select("first.at")
-    return rows.join(cut(stay, "stay"), "at", "left_semi").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), text_key(F.col("text")).alias("key"), F.col("doc_id").alias("id"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("key"))
+    # ids and text keys alone pick the document; a row given twice stays once
+    stay = cut(rows.select("key", "id").join(found, "key").groupBy("class_key").agg(F.min(order).alias("first"))
+               .select(F.col("first.key").alias("k"), F.col("first.id").alias("i")), "stay")
+    chosen = rows.join(stay, (F.col("key") == F.col("k")) & F.col("id").eqNullSafe(F.col("i")), "left_semi")
+    return chosen.dropDuplicates(["key", "id"]).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

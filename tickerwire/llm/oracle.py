@@ -1,5 +1,39 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from __future__ import annotations
+
+from tickerwire.llm import chat
+from tickerwire.llm.queries import URL_RULES
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+_FITS = "(host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)"
+
+OP1 = f"""
+WITH r(rhost, rpath, rverdict) AS (VALUES {_RULES}),
+q AS (SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM q),
+f AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)
+SELECT page_id, host, path,
+       (SELECT arg_max(rhost || rpath, length(rhost || rpath)) FROM r WHERE {_FITS}) AS rule,
+       coalesce((SELECT arg_max(rverdict, length(rhost || rpath)) FROM r WHERE {_FITS}), 'allow') AS verdict
+FROM f"""
+
+_ESCAPED = "regexp_replace({}, '" + chat.ESCAPE + r"', '\1\\\2\3', 'g')"
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+
+OP2 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (
+             SELECT conv_id, turn, role, text FROM conversations
+             UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('{chat.START}') + length({_ESCAPED.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")}) + 1
+                + length({_ESCAPED.format('text')}) + length('{chat.END}') + 1) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": OP1, "op2_chat_format": OP2}

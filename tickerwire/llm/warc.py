@@ -114,8 +114,9 @@ def _archive(folder: str):
 def write(pages: DataFrame, folder: str, rid: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
     """Archives of ``pages`` under ``folder``; returns the written index."""
     ship(pages.sparkSession)
-    rows = pages.select(F.col(rid).cast("long").alias("id"), F.col(url).alias("url"), F.col(payload).alias("text"),
-                        F.unhex(F.sha1(F.coalesce(F.col(payload), F.lit("")))).alias("sha"), F.monotonically_increasing_id().alias("row"))
+    # rows get a number once: evaluated anew, a shuffle above could order them otherwise
+    rows = cut(pages.select(F.col(rid).cast("long").alias("id"), F.col(url).alias("url"), F.col(payload).alias("text"),
+                        F.unhex(F.sha1(F.coalesce(F.col(payload), F.lit("")))).alias("sha"), F.monotonically_increasing_id().alias("row")), "warc-rows")
     # the smallest id of each payload; ids equal to it are told apart by row
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
     firsts = rows.groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
