@@ -118,3 +118,9 @@ def test_full_entity_decoding_is_optional(spark):
     df = spark.createDataFrame([(1, "wsj", h)], "page_id INT, source STRING, html STRING")
     assert extract.extract_title(df).first().title == "It&#8217;s &eacute;t&#xE9; & more"
     assert extract.extract_title(df, full_entities=True).first().title == "It’s été & more"
+
+
+def test_hidden_blocks_match_any_case(spark):
+    df = spark.createDataFrame([("<SCRIPT>var t='<title>bad</title>'</SCRIPT><title>good</title>",)], "html string")
+    from tickerwire.functions.html import select_first, strip_hidden
+    assert df.select(select_first(strip_hidden("html"), "title").alias("t")).first().t == "good"

@@ -27,7 +27,7 @@ ENTITIES = [
 ]
 
 # comments, scripts and styles hide markup-like text that must not match
-_HIDDEN = (r"(?s)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>"
+_HIDDEN = (r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>"
            r"|<style(?:\s[^>]*)?>.*?</style\s*>")
 
 _SPECIAL = set("\\.^$|?*+()[]{}")
