@@ -139,8 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
               .where(F.col("id").isNotNull()).groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))]).dropna())
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(most)
     # at most ``most`` rows of a few integers: safe to send to every task
-    sample = (docs.select(F.col(doc_id).alias("id"), features(F.col(text)).alias("x"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
-              .join(F.broadcast(chosen), "id").orderBy("h", "id").limit(most))
+    sample = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id")
+              .select("id", *[f"y{i}" for i in range(len(names))], features(F.col("t")).alias("x"),
+                      F.xxhash64(F.coalesce(F.col("t"), F.lit(""))).alias("h")).orderBy("h", "id").limit(most))
     data = sample.toPandas()
     if not len(data):
         return [Linear(np.zeros(1 << BITS, np.float32), np.zeros(i), 0.0) for i in range(len(names))]
