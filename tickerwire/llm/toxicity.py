@@ -22,6 +22,7 @@ table gives no rows; input columns are kept.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,7 @@ from tickerwire.llm.common import ship
 BITS, KEPT, FOLDS, TRAIN_ROWS = 20, 2000, 5, 20_000
 THRESHOLD = 0.5
 _PENALTY, _STEPS, _SUPPORT, _SIGNIFICANT = 0.2, 150, 3, 3.5
+_BLOCK = 1 << 18   # words worked on at a time
 
 
 def features(text: Column) -> Column:
@@ -59,11 +61,24 @@ class Rows:
     def take(self, index: np.ndarray) -> Rows:
         sizes = np.diff(self.start)[index]
         start = np.concatenate([[0], np.cumsum(sizes)])
-        at = np.repeat(self.start[index] - start[:-1], sizes) + np.arange(start[-1])
-        return Rows(self.words[at], start)
+        out = np.empty(start[-1], self.words.dtype)
+        for i, a, b in zip(index, start[:-1], start[1:]):
+            out[a:b] = self.words[self.start[i]:self.start[i + 1]]
+        return Rows(out, start)
 
     def owner(self) -> np.ndarray:
-        return np.repeat(np.arange(len(self)), np.diff(self.start))
+        return np.repeat(np.arange(len(self), dtype=np.int32), np.diff(self.start))
+
+    def blocks(self) -> Iterator[tuple[int, int]]:
+        """Runs of rows with about ``_BLOCK`` words each."""
+        at = 0
+        while at < len(self):
+            end = max(at + 1, int(np.searchsorted(self.start, self.start[at] + _BLOCK, "right")) - 1)
+            yield at, end
+            at = end
+
+    def slice(self, a: int, b: int) -> Rows:
+        return Rows(self.words[self.start[a]:self.start[b]], self.start[a:b + 1] - self.start[a])
 
 
 @dataclass
@@ -73,7 +88,10 @@ class Linear:
     bias: float
 
     def score(self, rows: Rows, earlier: np.ndarray) -> np.ndarray:
-        z = np.bincount(rows.owner(), self.weights[rows.words], len(rows))
+        z = np.zeros(len(rows))
+        for a, b in rows.blocks():
+            part = rows.slice(a, b)
+            z[a:b] = np.bincount(part.owner(), self.weights[part.words], b - a)
         return _sigmoid(z + earlier @ self.before + self.bias)
 
 
@@ -83,17 +101,25 @@ def fit_linear(rows: Rows, earlier: np.ndarray, y: np.ndarray) -> Linear:
     if not 0 < positive < n:
         return model
     # words whose share of positives departs most from the overall share
-    seen = np.bincount(rows.words, minlength=1 << BITS)
-    hit = np.bincount(rows.words, y[rows.owner()], 1 << BITS)
+    seen, hit = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for a, b in rows.blocks():
+        part = rows.slice(a, b)
+        seen += np.bincount(part.words, minlength=1 << BITS)
+        hit += np.bincount(part.words, y[a:b][part.owner()], 1 << BITS)
     rate = positive / n
     z = np.abs(hit - seen * rate) / np.sqrt(np.maximum(seen, 1) * rate * (1 - rate))
     z[seen < _SUPPORT] = 0
     kept = np.argsort(-z, kind="stable")[:KEPT]
     kept = kept[z[kept] > _SIGNIFICANT]
-    column = np.full(1 << BITS, -1)
+    column = np.full(1 << BITS, -1, np.int32)
     column[kept] = np.arange(len(kept))
-    col = column[rows.words]
-    own, col = rows.owner()[col >= 0], col[col >= 0]
+    own, col = [], []
+    for a, b in rows.blocks():
+        part = rows.slice(a, b)
+        c = column[part.words]
+        own.append(part.owner()[c >= 0].astype(np.int64) + a)
+        col.append(c[c >= 0].astype(np.int64))
+    own, col = np.concatenate(own), np.concatenate(col)
     # Newton steps per coordinate of the curvature's diagonal, with momentum
     w, b, v = np.zeros(len(kept)), model.before.copy(), model.bias
     dw, db, dv = np.zeros_like(w), np.zeros_like(b), 0.0
@@ -119,15 +145,16 @@ def fit_chain(rows: Rows, labels: np.ndarray, folds: np.ndarray) -> list[Linear]
         out = np.zeros(len(rows))
         for f in np.unique(folds):   # out-of-fold inputs of the next model
             inside, rest = np.flatnonzero(folds == f), np.flatnonzero(folds != f)
-            out[inside] = fit_linear(rows.take(rest), earlier[rest], y[rest]).score(rows.take(inside), earlier[inside])
+            model = fit_linear(rows.take(rest), earlier[rest], y[rest])
+            out[inside] = model.score(rows.take(inside), earlier[inside])
         earlier = np.column_stack([earlier, out])
     return models
 
 
 def _rows(lists) -> Rows:
     sizes = [len(x) for x in lists]
-    words = np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(sizes) else np.zeros(0, np.int64)
-    return Rows(words.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
+    words = np.concatenate([np.asarray(x, np.int32) for x in lists]) if len(sizes) else np.zeros(0, np.int32)
+    return Rows(words, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text",
@@ -142,10 +169,15 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
     sample = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id")
               .select("id", *[f"y{i}" for i in range(len(names))], features(F.col("t")).alias("x"),
                       F.xxhash64(F.coalesce(F.col("t"), F.lit(""))).alias("h")).orderBy("h", "id").limit(most))
-    data = sample.toPandas()
-    if not len(data):
+    data = sample.toArrow()
+    if not data.num_rows:
         return [Linear(np.zeros(1 << BITS, np.float32), np.zeros(i), 0.0) for i in range(len(names))]
-    return fit_chain(_rows(data["x"].tolist()), data[[f"y{i}" for i in range(len(names))]].to_numpy(float), (data["h"].to_numpy() % FOLDS))
+    lists = data.column("x").combine_chunks()
+    # the rows' words as one array, without an object per row
+    rows = Rows(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32),
+                np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64))
+    y = np.column_stack([data.column(f"y{i}").to_numpy().astype(float) for i in range(len(names))])
+    return fit_chain(rows, y, data.column("h").to_numpy() % FOLDS)
 
 
 def score(docs: DataFrame, models: list[Linear], text: str = "text") -> DataFrame:
