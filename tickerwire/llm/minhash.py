@@ -200,8 +200,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     right = again.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
     pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     across = left.join(right, "bucket").where("ra < rb").select(pair.alias("p")).select("p.a", "p.b").distinct().join(stars, ["a", "b"], "left_anti")
-    roots = components(edges.unionByName(verified(cut(across, "minhash-across"), "minhash-links")))
+    # links across components join their roots; what hangs below a root follows it
+    bridges = verified(cut(across, "minhash-across"), "minhash-links")
+    at = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
+    bridges = (bridges.join(at("a", "ra"), "a", "left").join(at("b", "rb"), "b", "left")
+               .select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
+               .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    upper = components(bridges).select(F.col("node").alias("r"), F.col("root").alias("upper"))
     placed = (nodes.select("key", "doc_id", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
-              .select("key", "doc_id", "n", F.coalesce("root", "key").alias("class_key")))
+              .withColumn("r", F.coalesce("root", "key")).join(upper, "r", "left")
+              .select("key", "doc_id", "n", F.coalesce("upper", "r").alias("class_key")))
     named = placed.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_docs"))
     return cut(placed.select("key", "class_key").join(named, "class_key").select("key", "class_key", "class_id", "n_docs"), "minhash-classes")
