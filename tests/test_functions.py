@@ -44,6 +44,14 @@ def test_word_count(spark, value, expected):
     ("5 June 2020", dt.date(2020, 6, 5)),
     ("6/5/2020", dt.date(2020, 6, 5)),
     ("first 1/2/2003 then 2004-05-06", dt.date(2003, 1, 2)),   # earliest position wins
+    ("13/45/2019 then July 5, 2020", dt.date(2020, 7, 5)),          # a false match is passed over
+    ("JULY 5, 2020", dt.date(2020, 7, 5)),
+    ("Sept. 5, 2020", dt.date(2020, 9, 5)),
+    ("5 Jul 2020", dt.date(2020, 7, 5)),
+    ("July 5 2020", dt.date(2020, 7, 5)),
+    ("July 5th, 2020", dt.date(2020, 7, 5)),
+    ("5 July, 2020", dt.date(2020, 7, 5)),
+    ("/news/2020/07/05/x", dt.date(2020, 7, 5)),
     ("2021-02-30", None),                                       # not a calendar date
     ("no date here", None),
     (None, None),

@@ -57,10 +57,21 @@ def test_dates(spark):
         assert out[i] == expected, (source, h)
 
 
-def test_select_first_nested_limit(spark):
-    # documented limit: a nested element of the same tag ends the match early
-    df = spark.createDataFrame([("<div class='a'>x<div>y</div>z</div>",)], "h STRING")
-    assert df.select(html.select_first("h", "div", "class", "a")).first()[0] == "x<div>y"
+def test_select_first_nested(spark):
+    h = "<p>0</p><div class='a'>x<div>y<div>1</div></div>z</div><div>after</div>"
+    df = spark.createDataFrame([(h,)], "h STRING")
+    assert df.select(html.select_first("h", "div", "class", "a")).first()[0] == "x<div>y<div>1</div></div>z"
+    assert df.select(html.select_first("h", "div", "class", "a", outer=True)).first()[0] == "<div class='a'>x<div>y<div>1</div></div>z</div>"
+    # an inner element without its closing tag: all that follows
+    df = spark.createDataFrame([("<div class='a'>x<div>y</div>z",)], "h STRING")
+    assert df.select(html.select_first("h", "div", "class", "a")).first()[0] == "x<div>y</div>z"
+
+
+def test_table_with_a_table_in_a_cell(spark):
+    t = ('<table id="constituents"><tr><td>A<table><tr><td>x</td></tr></table></td></tr>'
+         '<tr><td>B</td></tr></table>')
+    df = spark.createDataFrame([(1, t)], "k INT, html STRING")
+    assert [r.ticker for r in extract.constituents(df, "id_constituents").orderBy("row_pos").collect()][-1] == "B"
 
 
 def test_result_links(spark):
@@ -73,6 +84,23 @@ def test_result_links(spark):
     assert got == [(0, "https://a.com/1"), (1, "http://c.com/3")]
 
 
+def test_links_as_a_parser_reads_them(spark):
+    h = ('<div class="g"><a href="/url?q=https://a.com/1&amp;sa=U&amp;ved=1">1</a></div>'
+         "<div class='g'><div><a data-href='no' href='/url?q=https://b.com/2'>2</a></div></div>"
+         '<div class="g"><span>no anchor</span></div><div><a href="/url?q=https://footer.com/">f</a></div>'
+         '<div class="g"><a href=/url?q=https://c.com/3>3</a></div>')
+    df = spark.createDataFrame([(1, h)], "page_id INT, html STRING")
+    assert [r.url for r in extract.result_links(df).orderBy("link_pos").collect()] == [
+        "https://a.com/1&sa=U&ved=1", "https://b.com/2", "https://c.com/3"]
+
+
+def test_profile_stays_inside_its_container(spark):
+    h = ('<div class="asset-profile-container"><div><p>only one</p></div></div>'
+         '<div><p><span>a</span><span>b</span><span>c</span><span>d</span></p></div>')
+    df = spark.createDataFrame([(1, h)], "k INT, html STRING")
+    assert [tuple(r) for r in extract.profile_fields(df).select("sector", "industry").collect()] == [(None, None)]
+
+
 def test_table_cells_and_constituents(spark):
     t = ('<table id="constituents"><tr><th>S</th></tr><tr><td> MMM </td><td>3M</td></tr>'
          '<tr><td>ABT\n</td><td>Abbott</td></tr></table>')
@@ -113,11 +141,12 @@ def test_anchors_profile_movers(spark):
     assert got == [(0, "AAPL"), (2, None)]
 
 
-def test_full_entity_decoding_is_optional(spark):
-    h = '<h1 class="wsj-article-headline">It&#8217;s &eacute;t&#xE9; &amp; more</h1>'
-    df = spark.createDataFrame([(1, "wsj", h)], "page_id INT, source STRING, html STRING")
-    assert extract.extract_title(df).first().title == "It&#8217;s &eacute;t&#xE9; & more"
-    assert extract.extract_title(df, full_entities=True).first().title == "It’s été & more"
+def test_character_references(spark):
+    texts = {"It&#8217;s &eacute;t&#xE9; &amp; more": "It’s été & more", "Apple&rsquo;s &#8220;big&#8221; day&hellip; AT&#38;T": "Apple’s “big” day… AT&T",
+             "&amp;lt; &unknown; &#x1F600; &#146; &#0; &#55296; a & b": "&lt; &unknown; \U0001F600 ’ \ufffd \ufffd a & b", "": "", "plain": "plain"}
+    df = spark.createDataFrame([(k,) for k in texts] + [(None,)], "s STRING")
+    got = {r.s: r.t for r in df.select("s", html.decode_entities("s").alias("t")).collect()}
+    assert got == texts | {None: None}
 
 
 def test_hidden_blocks_match_any_case(spark):

@@ -2,6 +2,7 @@
 
 import __spark_entry__ as entry
 from conftest import SMALL
+from tickerwire.plans import catalog
 
 
 def _optimized(df):
@@ -44,21 +45,13 @@ def test_pushdown_and_pruning(spark):
 
 
 def test_no_python_udfs(spark):
-    for key, fn in entry.queries().items():
+    for key, fn in catalog.queries().items():
         if key.startswith("t"):
             continue
         plan = _physical(fn(spark, SMALL))
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, key
 
 
-def test_bounded_broadcast_hint_only_under_the_bound(spark):
-    from tickerwire.operators.articles import bounded_broadcast
-    df = spark.range(10)
-    hinted = bounded_broadcast(df, 100)._jdf.queryExecution().logical().toString()
-    plain = bounded_broadcast(df, 5)._jdf.queryExecution().logical().toString()
-    assert "broadcast" in hinted.lower() and "broadcast" not in plain.lower()
-
-
 def test_fan_out_only_for_large_inputs_in_few_files(spark, tmpdir_path):
     import os
     from pyspark.sql import functions as F

@@ -1,30 +1,28 @@
 """HTML element selection with regular expressions (H1 and helpers).
 
 A selector (tag, attribute, value) compiles to one literal regex, so each
-executor compiles it once per task and the work stays inside whole-stage
-codegen. The limits of regex selection versus a real parse tree: an element
-nested inside another element of the same tag ends the outer match at the
-inner closing tag, and unquoted attribute values are not recognised.
+executor compiles it once per task. Where the first match holds another
+element of the same tag, the tags of that name are counted from the opening
+one on, so the element ends at its own closing tag. Unquoted attribute values
+of selectors are not recognised.
 """
 
 from __future__ import annotations
 
-import html as _html
+import json
+from html.entities import name2codepoint
 
-import pandas as pd  # noqa: F401  (resolves the pandas UDF's annotations)
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tickerwire.functions.text import collapse_ws
 
-# Named character references decoded by ``decode_entities``
-# ('&amp;' is handled last so that '&amp;lt;' stays '&lt;').
-ENTITIES = [
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"),
-    ("&reg;", "®"), ("&ndash;", "–"), ("&mdash;", "—"),
-    ("&amp;", "&"),
-]
+# A character reference: decimal, hexadecimal or named.
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# The names of HTML 4 and ``apos`` (the full later table, two thousand names,
+# would stand in every plan); numbers 128-159 stand for Windows-1252.
+_NAMED = {k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"}
+_NAMED |= {f"#{b}": bytes([b]).decode("cp1252") for b in range(128, 160) if b not in (129, 141, 143, 144, 157)}
 
 # comments, scripts and styles hide markup-like text that must not match
 _HIDDEN = (r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>"
@@ -80,56 +78,92 @@ def element_regex(tag: str, attr: str | None = None, value: str | None = None,
     return "(?s)" + open_ + "(.*?)" + close
 
 
+def _balanced(rest: Column, tag: str) -> Column:
+    """Of the text after an opening tag of ``tag``, what lies before its own
+    closing tag (all of it when that is missing)."""
+    mark = "(?s)</?" + _tag(tag) + r"(?=[\s>/])[^>]*>"
+    step = lambda a, t: F.struct(
+        (a["depth"] + F.when(F.startswith(t, F.lit("</")), -1).otherwise(1)).alias("depth"), (a["i"] + 1).alias("i"),
+        F.when((a["end"] == 0) & (a["depth"] == 1) & F.startswith(t, F.lit("</")), a["i"] + 1).otherwise(a["end"]).alias("end"))
+
+    def inner(x: Column) -> Column:
+        tags, gaps = F.regexp_extract_all(x, F.lit(mark), F.lit(0)), F.split(x, mark, -1)
+        end = F.aggregate(tags, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("end")), step, lambda a: a["end"])
+        cut = lambda n: F.array_join(F.zip_with(
+            F.slice(gaps, 1, n), F.concat(F.array(F.lit("")), F.slice(tags, 1, n - 1)), lambda g, t: F.concat(t, g)), "")
+        return F.get(F.transform(F.array(end), lambda n: F.when(n == 0, x).otherwise(cut(n))), 0)
+
+    return F.get(F.transform(F.array(rest), inner), 0)
+
+
 def select_first(html, tag: str, attr: str | None = None, value: str | None = None,
                  outer: bool = False) -> Column:
     """H1: first element of ``tag`` with ``attr`` = ``value`` (a class
     matches any of its tokens); null when absent. Expects ``strip_hidden``
     input."""
+    open_ = open_tag_regex(tag, attr, value)
     # an empty inner text and a missing element both read as "not found"
-    return F.nullif(F.regexp_extract(_c(html), element_regex(tag, attr, value, outer), 1), F.lit(""))
+    found = F.nullif(F.regexp_extract(_c(html), element_regex(tag, attr, value, outer), 1), F.lit(""))
+    nested = ("(?s)^<[^>]*>.*?<" if outer else "<") + _tag(tag) + r"[\s>/]"
+    whole = _balanced(F.regexp_extract(_c(html), "(?s)" + open_ + "(.*)", 1), tag)
+    if outer:
+        whole = F.concat(F.regexp_extract(_c(html), "(" + open_ + ")", 1), whole, F.lit(f"</{tag}>"))
+    return F.get(F.transform(F.array(found), lambda x: F.when(x.rlike(nested), whole).otherwise(x)), 0)
 
 
 def strip_tags(fragment) -> Column:
     return F.regexp_replace(_c(fragment), r"<[^>]*>", "")
 
 
+def _character(ref: Column) -> Column:
+    """The text of one character reference; an unknown name stays as it is."""
+    name = F.substring(ref, 2, F.length(ref) - 2)
+    point = F.when(F.startswith(name, F.lit("#x")) | F.startswith(name, F.lit("#X")), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(
+        F.substr(name, F.lit(2))).cast("int")
+    real = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    by_number = F.when(real, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+    names = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
+    known = F.try_element_at(names, F.when(F.startswith(name, F.lit("#")), F.concat(F.lit("#"), point.cast("string"))).otherwise(name))
+    return F.coalesce(known, F.when(F.startswith(name, F.lit("#")), by_number).otherwise(ref))
+
+
 def decode_entities(s) -> Column:
-    out = _c(s)
-    for ent, ch in ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """Every character reference ending in ``;`` decoded once, left to right
+    (``&amp;lt;`` gives ``&lt;``)."""
+    def decoded(x: Column) -> Column:
+        chars = F.transform(F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0)), _character)
+        return F.array_join(F.zip_with(F.split(x, _REFERENCE, -1), F.concat(F.array(F.lit("")), chars), lambda g, c: F.concat(c, g)), "")
 
+    return F.get(F.transform(F.array(_c(s)), lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x)), 0)
 
-def unescape_all(s) -> Column:
-    """Every HTML character reference (named, decimal, hex) decoded, via an
-    Arrow-batched pandas UDF around ``html.unescape``. Optional slow path for
-    text outside the built-in named subset of ``decode_entities``."""
-    return _unescape_udf()(_c(s))
 
+def text_of(fragment) -> Column:
+    """Text content of an HTML fragment, character references decoded, with
+    whitespace collapsed; null when the text is empty."""
+    return F.nullif(collapse_ws(decode_entities(strip_tags(fragment))), F.lit(""))
 
-_UNESCAPE = None
 
+# the value of an href attribute, with its quotes if it has any
+_HREF = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
-def _unescape_udf():
-    global _UNESCAPE
-    if _UNESCAPE is None:
-        @F.pandas_udf("string")
-        def _unescape(col: pd.Series) -> pd.Series:
-            return col.map(lambda v: _html.unescape(v) if isinstance(v, str) else v)
 
-        _UNESCAPE = _unescape
-    return _UNESCAPE
+def attribute_value(raw: Column) -> Column:
+    """An attribute value as a parser reads it: unquoted and decoded."""
+    return decode_entities(F.regexp_replace(raw, "^[\"']|[\"']$", ""))
 
 
-def text_of(fragment, full_entities: bool = False) -> Column:
-    """Text content of an HTML fragment with whitespace collapsed; null when
-    the text is empty. ``full_entities`` decodes every character reference
-    (Python UDF); the default decodes the named subset JVM-side."""
-    stripped = strip_tags(fragment)
-    decoded = unescape_all(stripped) if full_entities else decode_entities(stripped)
-    return F.nullif(collapse_ws(decoded), F.lit(""))
+def first_href(fragment) -> Column:
+    """The href of the first anchor that has one; null when none has."""
+    return attribute_value(F.nullif(F.regexp_extract(_c(fragment), _HREF, 1), F.lit("")))
 
 
 def anchor_hrefs(html) -> Column:
-    """Every <a href="..."> value in document order."""
-    return F.regexp_extract_all(_c(html), F.lit(r"(?i)<a\s[^>]*?href\s*=\s*\"([^\"]*)\""), F.lit(1))
+    """Every anchor's href value in document order."""
+    return F.transform(F.regexp_extract_all(_c(html), F.lit(_HREF), F.lit(1)), attribute_value)
+
+
+def blocks(html, tag: str, attr: str, value: str) -> Column:
+    """Inner HTML of every element of ``tag`` with ``attr`` = ``value``; one
+    that holds another such element ends where that begins."""
+    pieces = F.split(_c(html), "(?s)" + open_tag_regex(tag, attr, value), -1)
+    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: _balanced(p, tag))

@@ -78,25 +78,13 @@ def candidate_urls(queries: DataFrame, results: DataFrame, parsed: DataFrame | N
     return first_query_only(links, list(order_cols))
 
 
-def bounded_broadcast(small: DataFrame, max_rows: int | None) -> DataFrame:
-    """Broadcast ``small`` when a count proves it has at most ``max_rows``
-    rows; otherwise return it unchanged (shuffle join, where the runtime
-    bloom filter still prunes the large side). Used for the URL set probing
-    the page store, so the store's HTML is streamed, not shuffled."""
-    if not max_rows:
-        return small
-    return F.broadcast(small) if small.count() <= max_rows else small
-
-
 def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
-                opts: Options = Options(), keep_rejected: bool = False,
-                broadcast_rows: int | None = 200_000) -> DataFrame:
+                opts: Options = Options(), keep_rejected: bool = False) -> DataFrame:
     """For each non-homepage candidate URL (not P5), look the page up
     (S10), extract title (H2) and date (H3), attach company fields (J3) and
     apply the optional checks (P6/P7, P8, P9). Title and date are
-    extracted once per distinct (url, source); that URL set is broadcast to
-    the page store when it has at most ``broadcast_rows`` rows (checked by a
-    count), else joined by shuffle.
+    extracted once per distinct (url, source). The URL set meets the page
+    store without a hint: the planner broadcasts it when it is small enough.
 
     ``candidates``: (ticker, source, url, ...); ``pages``: (url, html);
     ``companies``: (ticker, industry, sector).
@@ -115,7 +103,7 @@ def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
     # extracted fields travel back to the candidate rows.
     wanted = c.filter("_fetch").select("url", "source").distinct()
     p = pages.select(F.col("url").alias("_purl"), F.col("html").alias("_html"))
-    got = bounded_broadcast(wanted, broadcast_rows).join(p, wanted["url"] == p["_purl"]).drop("_purl")
+    got = wanted.join(p, wanted["url"] == p["_purl"]).drop("_purl")
     got = with_clean_html(got, "_html", "_clean")
     got = with_title(got, "_clean", "source", "title")
     got = with_date(got, "_clean", "_html", "source", "publish_date")

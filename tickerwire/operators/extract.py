@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerwire.functions.dates import with_publish_date
-from tickerwire.functions.html import (anchor_hrefs, decode_entities, open_tag_regex,
-                                       select_first, strip_hidden, strip_tags, text_of)
+from tickerwire.functions.html import (anchor_hrefs, attribute_value, blocks, decode_entities,
+                                       first_href, select_first, strip_hidden, strip_tags, text_of)
 from tickerwire.functions.rows import compute_once
 from tickerwire.functions.text import WHITESPACE_CLASS, strip_all_ws
 from tickerwire.functions.urls import symbol_from_href, unwrap_link
@@ -57,11 +57,11 @@ def with_clean_html(df: DataFrame, html: str = "html", out: str = "_clean") -> D
 
 
 def with_title(df: DataFrame, clean: str = "_clean", source: str = "source",
-               out: str = "title", full_entities: bool = False) -> DataFrame:
+               out: str = "title") -> DataFrame:
     """H2: title text (tags removed, entities decoded, whitespace
-    collapsed); ``full_entities`` see ``html.text_of``."""
+    collapsed)."""
     staged = df.withColumn("_title_html", title_html(F.col(clean), source))
-    return compute_once(staged, **{out: text_of("_title_html", full_entities)}).drop("_title_html")
+    return compute_once(staged, **{out: text_of("_title_html")}).drop("_title_html")
 
 
 def with_date(df: DataFrame, clean: str = "_clean", html: str = "html", source: str = "source",
@@ -72,10 +72,10 @@ def with_date(df: DataFrame, clean: str = "_clean", html: str = "html", source:
 
 
 def extract_title(pages: DataFrame, html: str = "html", source: str = "source",
-                  out: str = "title", full_entities: bool = False) -> DataFrame:
+                  out: str = "title") -> DataFrame:
     """H2 over a table: adds ``out`` and a ``reject_reason`` ('no_selector')
     for sources without a title selector."""
-    df = with_title(with_clean_html(pages, html), "_clean", source, out, full_entities).drop("_clean")
+    df = with_title(with_clean_html(pages, html), "_clean", source, out).drop("_clean")
     return df.withColumn("reject_reason",
                          F.when(~has_title_selector(source), F.lit("no_selector")))
 
@@ -86,14 +86,11 @@ def extract_date(pages: DataFrame, html: str = "html", source: str = "source",
     return with_date(with_clean_html(pages, html), "_clean", html, source, out).drop("_clean")
 
 
-# div.g result block -> its first anchor's href
-_RESULT_HREF = open_tag_regex("div", "class", "g") + r".*?<[aA]\s[^>]*?href\s*=\s*\"([^\"]*)\""
-
-
 def result_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """H4 (+F4, P11): for every ``div.g`` block its first anchor's href,
-    unwrapped; empty links are dropped. Adds (link_pos, href, url)."""
-    hrefs = F.regexp_extract_all(strip_hidden(html), F.lit("(?s)" + _RESULT_HREF), F.lit(1))
+    unwrapped; blocks without an anchor and empty links are dropped. Adds
+    (link_pos, href, url)."""
+    hrefs = F.filter(F.transform(blocks(strip_hidden(html), "div", "class", "g"), first_href), lambda h: h.isNotNull())
     ex = pages.select("*", F.posexplode(hrefs).alias("link_pos", "href")).drop(html)
     return ex.withColumn("url", unwrap_link("href")).filter(F.col("url").isNotNull())
 
@@ -158,17 +155,16 @@ def anchors_by_class(pages: DataFrame, cls: str, html: str = "html") -> DataFram
     cls_rx = r"\s[cC][lL][aA][sS][sS]\s*=\s*[\"'](?:[^\"']*\s)?" + cls.replace(".", r"\.") + \
         r"(?:\s[^\"']*)?[\"']"
     hits = F.filter(tags, lambda t: t.rlike(cls_rx))
-    hrefs = F.transform(hits, lambda t: F.regexp_extract(t, r"\shref\s*=\s*\"([^\"]*)\"", 1))
+    hrefs = F.transform(hits, lambda t: F.coalesce(first_href(t), F.lit("")))
     ex = pages.select("*", F.posexplode(hrefs).alias("link_pos", "href")).drop(html)
     return ex.withColumn("symbol", symbol_from_href("href"))
 
 
 def profile_fields(pages: DataFrame, html: str = "html") -> DataFrame:
     """H8: in the profile container, the second <p>: span 1 is the sector,
-    span 3 the industry (0-based); null when missing. The paragraphs are
-    searched from the container's opening tag on."""
-    rest = F.regexp_extract(strip_hidden(html),
-                            "(?s)" + open_tag_regex("div", "class", "asset-profile-container") + "(.*)", 1)
+    span 3 the industry (0-based); null when missing. Paragraphs outside the
+    container are not read."""
+    rest = select_first(strip_hidden(html), "div", "class", "asset-profile-container")
     paras = F.regexp_extract_all(rest, F.lit(r"(?s)<[pP](?:\s[^>]*)?>(.*?)</[pP]\s*>"), F.lit(1))
     spans = F.regexp_extract_all(F.get(paras, 1),
                                  F.lit(r"(?s)<span(?:\s[^>]*)?>(.*?)</span\s*>"), F.lit(1))

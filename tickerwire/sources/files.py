@@ -21,11 +21,17 @@ STATS_DOC = T.MapType(T.StringType(), STATS_VALUE)
 PARSED_SCHEMA = "ticker STRING, source STRING, url STRING"
 
 
+# Ordinary CSV: a quote inside a quoted field is doubled, blanks at the ends
+# of a field belong to it, an empty text is "" and a null is nothing.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+CSV_OUT = CSV | {"emptyValue": '""', "nullValue": ""}
+
+
 def read_articles_csv(spark: SparkSession, path: str) -> DataFrame:
     """S3: labelled examples CSV with a header, Latin-1 encoded. Columns are
     taken by header name (no schema inference pass): price columns t0, t1,
     ... become DOUBLE, everything else stays STRING."""
-    raw = (spark.read.option("header", True).option("encoding", "ISO-8859-1")
+    raw = (spark.read.options(**CSV).option("encoding", "ISO-8859-1")
            .option("multiLine", True).csv(path))
     return raw.select(*[F.col(c).try_cast("double").alias(c) if re.fullmatch(r"t[0-9]+", c)
                         else F.col(c) for c in raw.columns])
@@ -76,9 +82,16 @@ def read_articles(spark: SparkSession, path: str, schema: str = NODE_SCHEMA) ->
 
 
 def write_articles_csv(df: DataFrame, path: str) -> None:
-    """S3 writer: header, Latin-1 (the examples-file convention)."""
-    (df.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1")
-     .csv(path))
+    """S3 writer: header, Latin-1 (the examples-file convention). Text outside
+    Latin-1 cannot be written so: the job fails instead of changing it."""
+    def exact(name: str) -> Column:
+        c = F.col(name)
+        return F.when(c.rlike(r"[^\x{0}-\x{FF}]"), F.raise_error(F.concat(
+            F.lit(f"column {name} holds text outside Latin-1: "), c)).cast("string")).otherwise(c).alias(name)
+
+    texts = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+    (df.select(*[exact(c) if c in texts else F.col(c) for c in df.columns])
+     .write.mode("overwrite").options(**CSV_OUT).option("encoding", "ISO-8859-1").csv(path))
 
 
 def append_parsed(urls: DataFrame, path: str) -> None:
@@ -112,7 +125,7 @@ def export_csv(nodes: DataFrame, path: str, *more: DataFrame) -> None:
     out = nodes
     for m in more:
         out = out.unionByName(m)
-    out.select(sorted(out.columns)).write.mode("overwrite").option("header", True).csv(path)
+    out.select(sorted(out.columns)).write.mode("overwrite").options(**CSV_OUT).csv(path)
 
 
 def survey_payload(nodes: DataFrame) -> DataFrame:
