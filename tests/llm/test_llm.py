@@ -137,6 +137,28 @@ def test_decontamination(spark, empty):
     assert decontaminate.find(df, items.limit(0)).count() == 0 and decontaminate.find(empty, items).count() == 0
 
 
+def test_decontamination_of_cut_items(spark):
+    # items quoted with their first or last words replaced, similarity at and above the limit
+    def similarity(a, b):
+        a, b = (Counter(tuple(x[i:i + 5]) for i in range(len(x) - 4)) for x in (a, b))
+        return (a & b).total() / (a | b).total()
+    items, texts, want = [], [], Counter()
+    for i in range(120):
+        item = words(40 + 9 * (i % 10), 1000 + i, 10**6)
+        items.append((i, " ".join(item)))
+        edge = (len(item) - 4) // 9
+        for k, lost in enumerate((edge - 1, edge, edge + 1)):
+            other = words(lost, 5000 + 3 * i + k, 10**6)
+            for side, text in enumerate((other + item[lost:], item[:len(item) - lost] + other)):
+                doc = 10 * i + 2 * k + side
+                texts.append((doc, " ".join(text)))
+                if similarity(text, item) >= 0.8:
+                    want[(doc, i)] += 1
+    df, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = Counter((r.doc_id, r.item_id) for r in decontaminate.find(df, bench).collect())
+    assert got == want and 400 < len(want) < 720
+
+
 def test_warc(spark):
     given = [(3, "u", "x"), (2, "u\r\nv%", "x"), (2, "u", "x"), (None, None, "x"), (5, "k", None), (6, "k", ""), (7, "k", "é\r\n\r\nWARC/1.1")]
     df = spark.createDataFrame([(*g, "clash") for g in given], "page_id long, url string, html string, offset string").repartition(2)

@@ -1,15 +1,16 @@
-"""Benchmark decontamination by SimHash windows and a multi-index.
+"""Benchmark decontamination by item-sized windows and an exact prefix index.
 
 A text is contaminated by a benchmark item if one of its windows, as many
 words long as the item, has a weighted Jaccard similarity of ``SIMILARITY`` or
 more with it over runs of five words. A window and an item that share no run
 have similarity 0, so the windows to look at are those that a shared run lines
 up: the run at place p of the text and q of an item gives the window from
-p - q on. Windows of equal words are one, however many texts hold them. Each
-gets a 64-bit SimHash of its words. Fingerprints are cut into
-``RADIUS + 1`` blocks: two within Hamming distance ``RADIUS`` agree in one
-block at least, so an equi-join over (length, block, value) finds every pair
-within the radius; the pairs found are measured, and verified exactly.
+p - q on. Windows of equal words are one, however many texts hold them. Two
+multisets of similarity t share at least t of the runs of either, so, both
+sorted by hash, the first n - ceil(t * n) + 1 of the n runs of each have one
+in common: an equi-join over (length, run) of these prefixes finds every pair
+of window and item that is similar enough, without any miss. The pairs found
+are verified exactly.
 
 Words are runs of letters and digits, compared without case. Everything is a
 DataFrame expression. The benchmark's runs are joined, not collected: Spark
@@ -29,27 +30,20 @@ from pyspark.sql import functions as F
 
 from tickerwire.llm.common import cut, gram_hashes, text_key
 
-SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 11
-BITS = 64
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of an array of words, each occurrence weighing one."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    ones = lambda b: F.aggregate(hashes, F.lit(0), lambda a, h: a + F.getbit(h, b))
-    bit = lambda b: F.when(2 * ones(b) > F.size(words), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), bit), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-
-
-def _blocks(fingerprint: Column, radius: int) -> Column:
-    """array<struct<block, value>>: the radius + 1 parts of a fingerprint."""
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.shiftleft(fingerprint, BITS - b), BITS - b + a).alias("value"))
-                     for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+def _prefix(runs: Column, least: float) -> Column:
+    """The distinct runs among the first by hash of which two arrays with a
+    similarity of ``least`` or more have one in common."""
+    n = F.size(runs)
+    # the product's rounding must not shorten the prefix
+    keep = n - F.ceil(F.lit(float(least)) * n - F.lit(1e-6)).cast("int") + 1
+    return F.array_distinct(F.slice(F.array_sort(runs), 1, F.least(F.greatest(keep, F.lit(0)), n)))
 
 
 def _jaccard(a: Column, b: Column) -> Column:
@@ -59,7 +53,7 @@ def _jaccard(a: Column, b: Column) -> Column:
 
 
 def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-         item_text: str = "text", least: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+         item_text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, begin, similarity, text_key) of every document and
     item that it holds; begin: the window's first word."""
     bench = cut(gram_hashes(items.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("words")), "words", "runs")
@@ -75,13 +69,10 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
                .withColumn("window", text_key(F.array_join("words", " "))), "bench-held")
     # windows of equal words are compared once
     one = gram_hashes(held.groupBy("window", "n").agg(F.first("words").alias("words")), "words", "runs")
-    marked = one.select("window", "n", "runs", simhash(F.col("words")).alias("print"))
-    known = bench.select("item_id", F.col("n").alias("m"), F.col("runs").alias("item_runs"), simhash(F.col("words")).alias("item_print"))
-    at = lambda df, c: df.withColumn("at", F.explode_outer(_blocks(F.col(c), radius))).select("*", "at.block", "at.value").drop("at")
-    near = (at(cut(marked, "bench-prints"), "print").alias("w")
-            .join(at(cut(known, "bench-known"), "item_print").alias("i"),
-                  (F.col("w.n") == F.col("i.m")) & (F.col("w.block") == F.col("i.block")) & (F.col("w.value") == F.col("i.value")))
-            .where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    marked = cut(one.select("window", "n", "runs", _prefix(F.col("runs"), least).alias("prefix")), "bench-marked")
+    known = cut(bench.select("item_id", F.col("n").alias("m"), F.col("runs").alias("item_runs"), _prefix(F.col("runs"), least).alias("prefix")), "bench-known")
+    at = lambda df: df.withColumn("run", F.explode_outer("prefix")).drop("prefix")
+    near = (at(marked).alias("w").join(at(known).alias("i"), (F.col("w.n") == F.col("i.m")) & (F.col("w.run") == F.col("i.run")))
             .groupBy("window", "n", "item_id").agg(F.first("runs").alias("runs"), F.first("item_runs").alias("item_runs")))
     same = near.select("window", "n", "item_id", _jaccard(F.col("runs"), F.col("item_runs")).alias("similarity")).where(F.col("similarity") >= least)
     best = (held.select("key", "begin", "n", "window").join(same, ["window", "n"]).groupBy("key", "item_id")
