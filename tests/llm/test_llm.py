@@ -258,6 +258,32 @@ def test_repeated_passages(spark, docs, rows, empty):
     assert suffixes.repeats(empty).count() == 0
 
 
+def test_removable_parts_keep_a_copy(spark):
+    # staggered passages: the first place changes inside a span, both ways round
+    x, y = words(200, 70, 10**6), words(160, 71, 10**6)
+    texts = {1: x[:100], 5: x, 9: x[50:], 11: y[:90], 12: y[60:] + y[:90], 13: words(70, 72, 10**6) + y[30:], 14: ["a", "b", "c"] * 40, 15: x}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    first, want = {}, defaultdict(set)
+    for i, t in texts.items():   # ascending ids
+        for at in range(len(t) - 49):
+            if first.setdefault(tuple(t[at:at + 50]), (i, at)) != (i, at):
+                want[i].update(range(at, at + 50))
+    got, gone = suffixes.repeats(df).collect(), defaultdict(set)
+    for r in got:
+        text = " ".join(texts[r.doc_id])
+        assert (r.begin, r.end, r.first_doc_id, r.first_begin) == (r.parts[0].begin, r.parts[-1].end, r.parts[0].first_doc_id, r.parts[0].first_begin)
+        assert r.removable == all(p.removable for p in r.parts)
+        for p in r.parts:
+            n = p.end - p.begin
+            assert texts[p.first_doc_id][p.first_begin:p.first_begin + n] == texts[r.doc_id][p.begin:p.end]
+            assert text[p.char_begin:p.char_end].split() == texts[r.doc_id][p.begin:p.end]
+            gone[r.doc_id].update(range(p.begin, p.end) if p.removable else ())
+    assert {i: v for i, v in gone.items() if v} == dict(want)
+    kept = {w for i, t in texts.items() for at, w in enumerate(t) if at not in gone[i]}
+    assert kept == {w for t in texts.values() for w in t}
+    assert not next(r for r in got if r.doc_id == 5).removable and want[5] == set(range(100)) and want[9] == set(range(150))
+
+
 def test_quality(spark, docs, rows, empty):
     got = quality.judge(docs).select("row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
     assert len(got) == len(rows)

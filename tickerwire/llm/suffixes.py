@@ -10,7 +10,11 @@ words (by their hash) over all partitions and compared with their neighbours;
 those equal to none are dropped, which are nearly all. The others are extended
 to the left and right: all passages of exactly ``LEAST`` words around them are
 compared exactly (128-bit), and runs of repeated passages merge into maximal
-spans. One group is never gathered: counts are combined before they are
+spans. A span's passages may have come first in different places: its parts
+are the runs of passages whose first places lie one after another, and each
+part tells whether it is removable. Removing every removable part keeps a copy
+of every word: its first place is earlier in the order of (id, place), so the
+chain of first places ends at words that stay. One group is never gathered: counts are combined before they are
 shuffled, and a hot key's sorted rows are split over partitions by their
 position.
 
@@ -116,26 +120,47 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                   pa.array(at.astype(np.int32))], names=["h", "g", "node", "at"])
 
 
+_PART = pa.struct([(c, pa.int64()) for c in ("begin", "end", "char_begin", "char_end", "first_id", "first_at")])
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, text, id, n, repeats: [(at, first id, first at)]) -> maximal spans
-    in words and code points, with where the passage at the begin came first."""
-    schema = pa.schema([("node", pa.binary()), *[(c, pa.int64()) for c in ("begin", "end", "char_begin", "char_end", "first_id", "first_at")]])
+    in words and code points, with where the passage at the begin came first
+    and the parts that came first in one place each."""
+    schema = pa.schema([("node", pa.binary()), *[(c, pa.int64()) for c in ("begin", "end", "char_begin", "char_end", "first_id", "first_at")],
+                        ("parts", pa.list_(_PART))])
     for batch in batches:
         rows = []
-        for node, text, own, copies, repeats in zip(*(batch.column(c).to_pylist() for c in ("node", "text", "id", "n", "repeats"))):
-            repeats = sorted((r["at"], -1 if r["id"] is None else r["id"], r["id"], r["first_at"]) for r in repeats or [])
-            places = _word_places(text) if copies > 1 else None
+        lists = batch.column("repeats")
+        bounds, given = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+        values = lists.values
+        ats, firsts = (values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "first_at"))
+        ids = values.field("id")
+        null, numbers = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        for i, (node, text, own, copies) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "text", "id", "n")))):
+            own_ones = slice(bounds[i], bounds[i + 1]) if given[i] else slice(0, 0)
+            order = np.argsort(ats[own_ones]) + own_ones.start
+            places = _word_places(text) if copies > 1 or len(order) else None
+            span = lambda a, b, first, at: (a, b, places[0][a], places[1][b - 1], first, at)  # noqa: B023, E731
             if copies > 1 and len(places[0]) >= LEAST:
-                rows.append((node, 0, len(places[0]), places[0][0], places[1][-1], own, 0))
-            at = 0
-            while at < len(repeats):
-                to = at
-                while to + 1 < len(repeats) and repeats[to + 1][0] <= repeats[to][0] + 1:
-                    to += 1
-                places = places or _word_places(text)
-                begin, end = repeats[at][0], repeats[to][0] + LEAST
-                rows.append((node, begin, end, places[0][begin], places[1][end - 1], repeats[at][2], repeats[at][3]))
-                at = to + 1
+                whole = span(0, len(places[0]), own, 0)
+                rows.append((node, *whole, [dict(zip(_PART.names, whole))]))
+            if not len(order):
+                continue
+            at, first, number, no = ats[order], firsts[order], numbers[order], null[order]
+            apart = np.diff(at) > 1
+            turns = apart | (np.diff(first - at) != 0) | (np.diff(number) != 0) | (no[1:] != no[:-1])
+            begins = np.concatenate([[0], np.flatnonzero(turns) + 1])
+            ends = np.concatenate([begins[1:], [len(at)]]) - 1
+            fresh = np.concatenate([[True], apart])[begins]
+            parts: list = []
+            for new, a, b, id_, is_null, where in zip(fresh.tolist(), at[begins].tolist(), at[ends].tolist(), number[begins].tolist(),
+                                                      no[begins].tolist(), first[begins].tolist()):
+                if new and parts:
+                    rows.append((node, *span(parts[0]["begin"], parts[-1]["end"], parts[0]["first_id"], parts[0]["first_at"]), parts))
+                    parts = []
+                parts.append(dict(zip(_PART.names, span(a, b + LEAST, None if is_null else id_, where))))
+            rows.append((node, *span(parts[0]["begin"], parts[-1]["end"], parts[0]["first_id"], parts[0]["first_at"]), parts))
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
@@ -147,8 +172,9 @@ def _word_places(text: str) -> tuple[list[int], list[int]]:
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and maximal repeated span: doc_id, begin, end
-    (words), char_begin, char_end (code points), first_doc_id, first_begin and
-    removable (not the first place)."""
+    (words), char_begin, char_end (code points), first_doc_id, first_begin (of
+    the passage at the begin), removable (every part is) and parts: per part
+    the same columns, removable if it is not the first place."""
     ship(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_key(F.col(text)).alias("node"))
     # equal texts are one node; its first document, nulls last
@@ -164,9 +190,12 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     twice = placed.groupBy("h", "g").agg(F.count("*").alias("k"), F.min(where).alias("first")).where("k > 1")
     hits = (passages.join(twice.select("h", "g", "first"), ["h", "g"]).groupBy("node")
             .agg(F.collect_list(F.struct("at", F.col("first.id").alias("id"), F.col("first.at").alias("first_at"))).alias("repeats")))
+    place = "begin long, end long, char_begin long, char_end long, first_id long, first_at long"
     spans = cut(texts.select("node", "text", "id", "n").join(hits, "node", "left").where("n > 1 OR repeats IS NOT NULL").mapInArrow(
-        _spans, "node binary, begin long, end long, char_begin long, char_end long, first_id long, first_at long"), "suffix-spans")
+        _spans, f"node binary, {place}, parts array<struct<{place.replace(' long', ': long')}>>"), "suffix-spans")
     rows = base.select("doc_id", "node").join(spans, "node")
+    parts = F.transform("parts", lambda p: F.struct(
+        *[p[c].alias(c) for c in ("begin", "end", "char_begin", "char_end")], p["first_id"].alias("first_doc_id"), p["first_at"].alias("first_begin"),
+        (~(F.col("doc_id").eqNullSafe(p["first_id"]) & (p["begin"] == p["first_at"]))).alias("removable")))
     return rows.select("doc_id", "begin", "end", "char_begin", "char_end", F.col("first_id").alias("first_doc_id"),
-                       F.col("first_at").alias("first_begin"),
-                       (~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("begin") == F.col("first_at")))).alias("removable"))
+                       F.col("first_at").alias("first_begin"), F.forall(parts, lambda p: p["removable"]).alias("removable"), parts.alias("parts"))
