@@ -345,3 +345,12 @@ def test_packing_mixture(spark):
         share[(p.sequence_id >> 32, p.source)] += p.length
     for b in {k[0] for k in share}:
         assert abs(share[(b, "small")] / (share[(b, "small")] + share[(b, "big")]) - 0.25) < 0.12
+
+
+def test_packing_does_not_follow_row_order(spark, docs, rows):
+    # a task that runs again may read its rows in another order
+    more = [(300 + i, " ".join(words(30 + i, 90 + i)), "en", f"s{i % 3}", 0, "k", "r") for i in range(200)]
+    given = rows + more + [more[0], (None, None, "en", "s0", 0, "k", "r")]
+    pieces = [Counter(map(tuple, packing.pack(spark.createDataFrame(given[::step], DOCS).repartition(n), task_chars=20_000).collect()))
+              for step, n in ((1, 1), (-1, 1), (1, 5))]
+    assert pieces[0] == pieces[1] == pieces[2] and len({p[5] >> 32 for p in pieces[0]}) > 3

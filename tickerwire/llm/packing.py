@@ -130,7 +130,8 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"),
                        (F.length(F.coalesce(F.col(text), F.lit(""))) + 1).alias("n"))
     # a part of the rows, told by their content, has a stretch of each source's queue
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(PARTS))
+    own_hash = F.xxhash64("doc_id", "text")
+    part = F.pmod(own_hash, F.lit(PARTS))
     lengths = rows.groupBy("source", part.alias("part")).agg(F.sum("n").alias("n"))
     queue = Window.partitionBy("source")
     placed = lengths.select("source", "part", (F.sum("n").over(queue.orderBy("part")) - F.col("n")).alias("before"), "n",
@@ -144,8 +145,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     # the clock runs until the queue that lasts longest at its share is empty
     span = sums.agg(F.max(F.col("total") / share)).first()[0] or 1.0
     buckets = max(1, math.ceil(span / task_chars))
-    # a row's place in the stretch; equal rows get different ones
-    lot = F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # a row's place in the stretch, by its content alone, so that a task that runs again deals
+    # each row to the same bucket whatever order it reads; rows of equal places are told apart there
+    lot = F.pmod(F.shiftrightunsigned(own_hash, 20), F.lit(1 << 30)) / F.lit(float(1 << 30))
     timed = (rows.withColumn("part", part).withColumnRenamed("n", "own")
              .join(placed.select(F.col("source").alias("s"), F.col("part").alias("q"), "before", "n", "total"),
                    F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("q")))
