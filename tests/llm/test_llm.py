@@ -209,6 +209,12 @@ def test_disclosing_terms_go(spark):
     assert got[0] == "common w0   [EMAIL] now0" and got[10] == texts[10]
 
 
+def test_entity_in_every_text_discloses_nothing(spark):
+    df = spark.createDataFrame([(i, f"nickname w{i} boss@corp.example") for i in range(4)], "doc_id long, text string")
+    got = {r.doc_id: r.clean_text for r in pii.sanitise(df).select("row.doc_id", "clean_text").collect()}
+    assert got == {i: f"nickname w{i} [EMAIL]" for i in range(4)}
+
+
 def test_toxicity_held_out(spark, empty):
     r = random.Random(5)
     data = []

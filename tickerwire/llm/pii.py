@@ -20,7 +20,8 @@ compared without case and outer punctuation.
 Defined results: null text counts as empty and stays null when sanitised;
 equal texts are counted once but all sanitised; matches of one kind never
 overlap, those of different kinds may, and the sanitised text then keeps the
-first replacement; an empty table gives no rows; input columns are kept.
+first replacement; an empty table gives no rows; input columns are kept; an
+entity in every distinct text (IC 0) is disclosed by no term.
 """
 
 from __future__ import annotations
@@ -122,7 +123,8 @@ def disclosing(found: DataFrame, text: str = "text", support: int = SUPPORT, gen
     spread = (texts.select("key", F.explode_outer(F.array_distinct(F.transform(F.array_distinct(_tokens(F.col("text"))), _term))).alias("term"))
               .join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t")))
     n = F.lit(float(n_texts))
-    share = F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(n / F.col("n_e"))
+    # an entity in every text has an information content of 0
+    share = F.coalesce(F.try_divide(F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log2(n / F.col("n_e"))), F.lit(0.0))
     return pairs.join(spread, "term").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
 
 
