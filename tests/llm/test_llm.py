@@ -360,3 +360,18 @@ def test_packing_does_not_follow_row_order(spark, docs, rows):
     pieces = [Counter(map(tuple, packing.pack(spark.createDataFrame(given[::step], DOCS).repartition(n), task_chars=20_000).collect()))
               for step, n in ((1, 1), (-1, 1), (1, 5))]
     assert pieces[0] == pieces[1] == pieces[2] and len({p[5] >> 32 for p in pieces[0]}) > 3
+
+
+def test_packing_targets_count_tokens(spark):
+    # digits take more tokens per character than words do
+    data = [(i, " ".join(words(60, i)) if i % 2 else " ".join(["people"] * 240), "digits" if i % 2 else "plain") for i in range(1200)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    share, total = Counter(), Counter()
+    for p in packing.pack(df, targets={"digits": 0.5, "plain": 0.5}, task_chars=120_000).collect():
+        share[(p.sequence_id >> 32, p.source)] += p.length
+        total[p.source] += p.length
+    both = sorted({b for b, s in share if s == "digits"} & {b for b, s in share if s == "plain"})
+    # while both queues last
+    early = [b for b in both if b < max(both)]
+    of = lambda bs, s: sum(share[(b, s)] for b in bs)
+    assert len(early) > 1 and abs(of(early, "digits") / (of(early, "digits") + of(early, "plain")) - 0.5) < 0.05
