@@ -35,5 +35,29 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id"""
 
 
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(text) AS text_sha256 FROM d JOIN g USING (text)"""
+
+# h1 to h4 of the contract: hexadecimal groups of eight digits
+_H = "CAST('0x' || substr(hash, {}, 8) AS BIGINT)"
+_PART = "array_to_string(list_slice(units, {}, {}), '')"
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS hash,
+                  regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents),
+h AS (SELECT *, CAST(len(units) AS BIGINT) AS n, {_H.format(1)} AS h1, {_H.format(9)} AS h2, {_H.format(17)} AS h3, {_H.format(25)} AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                  WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, {_PART.format('1', 'a')} AS prefix, {_PART.format('a + 1', 'b')} AS middle, {_PART.format('b + 1', 'n')} AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1, "op2_chat_format": OP2}
+    return {"op1_url_filters": OP1, "op2_chat_format": OP2, "op11_exact_dedup": OP11, "op13_fill_in_middle": OP13}

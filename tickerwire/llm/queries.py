@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerwire.llm import chat, decontaminate, minhash, packing, pii, quality, suffixes, toxicity, url_filters, warc
-from tickerwire.llm.common import text_key
+from tickerwire.llm import (chat, content_sort, conversation_repair, decontaminate, fill_in_middle, minhash, packing, pii,
+                            quality, suffixes, toxicity, url_filters, warc)
+from tickerwire.llm.common import cut, text_key
 
 # Rules of the URL query: (host, path, verdict).
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -92,7 +93,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content_sort.mark(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep="greatest").select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversation rows with the faults of the repair query, by crc32 of
+    ``conv_id:turn`` modulo 20: 0 gone, 1 empty, 2 without ends of sentences,
+    3 twice, 4 said by the user. Nulls are one blank."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    lot = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    said = F.when(lot == 1, "").when(lot == 2, F.regexp_replace(text("text"), "[.!?]", "")).otherwise(text("text"))
+    return rows.select("conv_id", "turn", F.when(lot == 4, "user").otherwise(text("role")).alias("role"), said.alias("text"),
+                       (lot == 0).alias("gone"), F.explode(F.array_repeat(F.lit(0), F.when(lot == 3, 2).otherwise(1))).alias("copy"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(damaged(_table(spark, sf_dir, "conversations")), gone=F.col("gone"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = cut(fill_in_middle.store(_table(spark, sf_dir, "documents")), "fim-frames")
+    return fill_in_middle.digests(fill_in_middle.transform(stored)).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_url_filters, op2_chat_format, op3_dart_minhash, op4_decontamination, op5_warc, op6_pii, op7_toxicity,
-        op8_suffix_dedup, op9_quality_rules, op10_packing)}
+        op8_suffix_dedup, op9_quality_rules, op10_packing, op11_exact_dedup, op12_conversation_repair, op13_fill_in_middle)}
