@@ -2,9 +2,13 @@
 per selector, plus the documented limits of regex selection."""
 
 import datetime as dt
+import random
+import time
+from html import unescape
 
+from pyspark.sql import functions as F
 
-from tickerwire.functions import html
+from tickerwire.functions import html, structure
 from tickerwire.operators import extract
 
 TITLE_CASES = [
@@ -57,21 +61,75 @@ def test_dates(spark):
         assert out[i] == expected, (source, h)
 
 
-def test_select_first_nested(spark):
+def first(df, *selector, outer=False):
+    got = html.with_first(df, "h", {"x": [(None, *selector)]}, outer=["x"] if outer else [])
+    assert got.columns == [*df.columns, "x"]
+    return [r.x for r in got.collect()]
+
+
+def test_first_element_ends_at_its_own_tag(spark):
     h = "<p>0</p><div class='a'>x<div>y<div>1</div></div>z</div><div>after</div>"
-    df = spark.createDataFrame([(h,)], "h STRING")
-    assert df.select(html.select_first("h", "div", "class", "a")).first()[0] == "x<div>y<div>1</div></div>z"
-    assert df.select(html.select_first("h", "div", "class", "a", outer=True)).first()[0] == "<div class='a'>x<div>y<div>1</div></div>z</div>"
+    df = spark.createDataFrame([(h,), (None,), ("",), ("<div class=a>plain</div>",), ("<div class='a'></div>",)], "h STRING")
+    assert first(df, "div", "class", "a") == ["x<div>y<div>1</div></div>z", None, None, "plain", None]
+    assert first(df, "div", "class", "a", outer=True)[0] == "<div class='a'>x<div>y<div>1</div></div>z</div>"
     # an inner element without its closing tag: all that follows
     df = spark.createDataFrame([("<div class='a'>x<div>y</div>z",)], "h STRING")
-    assert df.select(html.select_first("h", "div", "class", "a")).first()[0] == "x<div>y</div>z"
+    assert first(df, "div", "class", "a") == ["x<div>y</div>z"]
+
+
+def test_elements_nest_as_counted(spark):
+    """Random well-formed markup against a stack."""
+    r = random.Random(4)
+    pages, want = [], []
+    for _ in range(60):
+        out, stack, found = [], [], []
+        for _ in range(r.randrange(300)):
+            if stack and r.random() < 0.5:
+                name, at = stack.pop()
+                found.append((at, name, "".join(out[at + 1:])))
+                out.append(f"</{name.upper()} >")
+            else:
+                stack.append((r.choice(["table", "tr", "td"]), len(out)))
+                out.append(f"<{stack[-1][0]} k='{len(out)}'>")
+            if r.random() < 0.7:
+                out.append(r.choice(["text", "<b>é</b>", "\n", "<tdx>", "</t>"]))
+        for name, at in reversed(stack):
+            found.append((at, name, "".join(out[at + 1:])))
+        pages.append("".join(out))
+        want.append([(n, m) for _, n, m in sorted(found)])
+    df = spark.createDataFrame(list(enumerate(pages)) + [(-1, None)], "k INT, h STRING")
+    got = structure.with_elements(df, "h", ["table", "tr", "td"]).select("k", F.expr(
+        f"transform(filter(_page.elements, x -> x.name <> ''), e -> named_struct('n', e.name, 'm', {structure.inner('_page', 'e')}))").alias("e"))
+    for k, elements in got.collect():
+        assert elements is None if k < 0 else [tuple(e) for e in elements] == want[k]
+
+
+def test_many_tags_are_no_burden(spark):
+    rows = "<tr><td>a</td><td><a>b</a></td></tr>" * 8000
+    df = spark.createDataFrame([(1, f'<table class="quoteTable">{rows}</table>')], "k INT, html STRING")
+    start = time.time()
+    assert extract.constituents(df, "class_quotetable").count() == 8000
+    assert time.time() - start < 30
 
 
 def test_table_with_a_table_in_a_cell(spark):
-    t = ('<table id="constituents"><tr><td>A<table><tr><td>x</td></tr></table></td></tr>'
+    t = ('<table id="constituents"><tr><td>A<table><tr><td>x</td><td>y</td></tr></table></td><td>later</td></tr>'
          '<tr><td>B</td></tr></table>')
     df = spark.createDataFrame([(1, t)], "k INT, html STRING")
-    assert [r.ticker for r in extract.constituents(df, "id_constituents").orderBy("row_pos").collect()][-1] == "B"
+    cells = [(c.row_pos, c.col_pos, c.cell_html) for c in extract.table_cells(df, "id", "constituents").orderBy("row_pos", "col_pos").collect()]
+    assert cells == [(0, 0, "A<table><tr><td>x</td><td>y</td></tr></table>"), (0, 1, "x"), (0, 2, "y"), (0, 3, "later"),
+                     (1, 0, "x"), (1, 1, "y"), (2, 0, "B")]
+    assert [r.ticker for r in extract.constituents(df, "id_constituents").orderBy("row_pos").collect()] == ["Axy", "x", "B"]
+    q = ('<table class="quoteTable"><tr><td><a>A</a><table><tr><td><a>X</a></td></tr></table></td><td><a>B</a></td></tr></table>')
+    got = extract.constituents(spark.createDataFrame([(1, q)], "k INT, html STRING"), "class_quotetable")
+    assert sorted(r.ticker for r in got.collect()) == ["A", "B", "X"]
+
+
+def test_nested_result_blocks(spark):
+    h = ('<div class="g"><div class="g"><a href="/url?q=https://a.com/1">1</a></div><a href="/url?q=https://b.com/2">2</a></div>'
+         '<div class="g"><p>x</p><div class="g"></div></div><div class="g"><a href="/url?q=https://c.com/3">3</a></div>')
+    df = spark.createDataFrame([(1, h)], "page_id INT, html STRING")
+    assert [r.url for r in extract.result_links(df).orderBy("link_pos").collect()] == ["https://a.com/1", "https://a.com/1", "https://c.com/3"]
 
 
 def test_result_links(spark):
@@ -143,13 +201,20 @@ def test_anchors_profile_movers(spark):
 
 def test_character_references(spark):
     texts = {"It&#8217;s &eacute;t&#xE9; &amp; more": "It’s été & more", "Apple&rsquo;s &#8220;big&#8221; day&hellip; AT&#38;T": "Apple’s “big” day… AT&T",
-             "&amp;lt; &unknown; &#x1F600; &#146; &#0; &#55296; a & b": "&lt; &unknown; \U0001F600 ’ \ufffd \ufffd a & b", "": "", "plain": "plain"}
+             "&amp;lt; &unknown; &#x1F600; &#146; &#0; &#55296; a & b": "&lt; &unknown; \U0001F600 ’ \ufffd \ufffd a & b", "": "", "plain": "plain",
+             "&copy 5 &bigstar; &copyright &notit; &#169 &#xA9x &NotEqualTilde; &amp": "© 5 ★ ©right ¬it; © ©x ≂̸ &"}
+    texts |= {t: unescape(t) for t in ("&notin; &notinx &ampamp; &gt&lt;&quot", "&LT;&#x80;&#150;&#129;" + "&a" * 20, "&#1114112; &#xFFFFFF; &;&#;&#x;")}
     df = spark.createDataFrame([(k,) for k in texts] + [(None,)], "s STRING")
     got = {r.s: r.t for r in df.select("s", html.decode_entities("s").alias("t")).collect()}
     assert got == texts | {None: None}
 
 
+def test_references_in_attribute_values(spark):
+    h = '<a href="/u?a=1&copy=2&amp;b=3&lt;x&reg&copyz">x</a>'
+    df = spark.createDataFrame([(h,)], "h STRING")
+    assert df.select(html.first_href("h")).first()[0] == "/u?a=1&copy=2&b=3<x®&copyz"
+
+
 def test_hidden_blocks_match_any_case(spark):
     df = spark.createDataFrame([("<SCRIPT>var t='<title>bad</title>'</SCRIPT><title>good</title>",)], "html string")
-    from tickerwire.functions.html import select_first, strip_hidden
-    assert df.select(select_first(strip_hidden("html"), "title").alias("t")).first().t == "good"
+    assert first(df.select(html.strip_hidden("html").alias("h")), "title", None, None) == ["good"]

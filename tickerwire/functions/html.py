@@ -2,27 +2,36 @@
 
 A selector (tag, attribute, value) compiles to one literal regex, so each
 executor compiles it once per task. Where the first match holds another
-element of the same tag, the tags of that name are counted from the opening
-one on, so the element ends at its own closing tag. Unquoted attribute values
-of selectors are not recognised.
+element of the same tag, the element's end comes from the page's structural
+index (``functions.structure``), so it ends at its own closing tag; pages
+without such a match never build the index.
 """
 
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from collections.abc import Callable, Sequence
+from functools import reduce
+from html.entities import html5
+from operator import or_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerwire.functions.rows import compute_once
+from tickerwire.functions.structure import inner, matching, with_elements
 from tickerwire.functions.text import collapse_ws
 
-# A character reference: decimal, hexadecimal or named.
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-# The names of HTML 4 and ``apos`` (the full later table, two thousand names,
-# would stand in every plan); numbers 128-159 stand for Windows-1252.
-_NAMED = {k: chr(v) for k, v in name2codepoint.items()} | {"apos": "'"}
-_NAMED |= {f"#{b}": bytes([b]).decode("cp1252") for b in range(128, 160) if b not in (129, 141, 143, 144, 157)}
+# A character reference: decimal, hexadecimal or named; old names and numbers
+# also without the semicolon.
+_REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
+# In an attribute, a name without its semicolon counts only where no letter,
+# digit or equals sign follows.
+_REFERENCE_IN_VALUE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31}(?:;|(?![A-Za-z0-9=])))"
+# Names: the standard's own table, with the semicolon where a name must have
+# one. Numbers 128-159 stand for Windows-1252.
+_WINDOWS = {b: bytes([b]).decode("cp1252") for b in range(128, 160) if b not in (129, 141, 143, 144, 157)}
+_OLD_NAMES = "^(?:" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
 
 # comments, scripts and styles hide markup-like text that must not match
 _HIDDEN = (r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>"
@@ -56,7 +65,7 @@ def _attr_regex(attr: str, value: str) -> str:
         val = r"(?:[^\"']*\s)?" + v + r"(?:\s[^\"']*)?"
     else:
         val = v
-    return r"\s" + _tag(attr) + r"\s*=\s*[\"']" + val + r"[\"']"
+    return r"\s" + _tag(attr) + r"\s*=\s*(?:[\"']" + val + r"[\"']|" + v + r"(?=[\s>/]))"
 
 
 def open_tag_regex(tag: str, attr: str | None = None, value: str | None = None) -> str:
@@ -78,63 +87,88 @@ def element_regex(tag: str, attr: str | None = None, value: str | None = None,
     return "(?s)" + open_ + "(.*?)" + close
 
 
-def _balanced(rest: Column, tag: str) -> Column:
-    """Of the text after an opening tag of ``tag``, what lies before its own
-    closing tag (all of it when that is missing)."""
-    mark = "(?s)</?" + _tag(tag) + r"(?=[\s>/])[^>]*>"
-    step = lambda a, t: F.struct(
-        (a["depth"] + F.when(F.startswith(t, F.lit("</")), -1).otherwise(1)).alias("depth"), (a["i"] + 1).alias("i"),
-        F.when((a["end"] == 0) & (a["depth"] == 1) & F.startswith(t, F.lit("</")), a["i"] + 1).otherwise(a["end"]).alias("end"))
+# alternatives of one output: (condition or None, tag, attribute, value)
+Choices = Sequence[tuple[Column | None, str, str | None, str | None]]
+
+
+def by_case(choices: Choices, value: Callable[[str, str | None, str | None], Column]) -> Column:
+    """``value`` of the selector whose condition holds first."""
+    expr, last = None, None
+    for when, tag, attr, val in choices:
+        v = value(tag, attr, val)
+        if when is None:
+            last = v
+        else:
+            expr = F.when(when, v) if expr is None else expr.when(when, v)
+    return last if expr is None else expr if last is None else expr.otherwise(last)
+
+
+def with_first(df: DataFrame, html: str, fields: dict[str, Choices], outer: Sequence[str] = ()) -> DataFrame:
+    """H1 over a table: adds, per entry of ``fields``, the first element that
+    the row's choice selects (a class matches any of its tokens): its inner
+    markup, or with its tags for the names in ``outer``; null when absent or
+    empty. ``html`` holds no hidden blocks (``strip_hidden``)."""
+    first = {k: f"_first_{k}" for k in fields}
+    df = compute_once(df, **{first[k]: F.nullif(by_case(c, lambda *s, k=k: F.regexp_extract(
+        F.col(html), element_regex(*s, outer=k in outer), 1)), F.lit("")) for k, c in fields.items()})
+    # an element that holds a tag of its own name ends later than the first closing tag
+    deep = {k: f"_deep_{k}" for k in fields}
+    inner_tag = lambda k: lambda tag, attr, val: F.col(first[k]).rlike(
+        ("(?s)^<[^>]*>.*?<" if k in outer else "<") + _tag(tag) + r"[\s>/]")
+    df = compute_once(df, **{deep[k]: F.coalesce(by_case(c, inner_tag(k)), F.lit(False)) for k, c in fields.items()})
+    names = sorted({tag for c in fields.values() for _, tag, *_ in c})
+    df = df.withColumn("_deep_html", F.when(reduce(or_, [F.col(d) for d in deep.values()]), F.col(html)))
+    df = with_elements(df, "_deep_html", names, "_page")
+    hit = {k: f"_hit_{k}" for k in fields}
+    df = compute_once(df, **{hit[k]: F.when(F.col(deep[k]), by_case(c, lambda tag, attr, val: F.expr(
+        f"get({matching('_page', tag, open_tag_regex(tag, attr, val))}, 0)"))) for k, c in fields.items()})
+
+    def whole(k: str) -> Column:
+        text = F.expr(inner("_page", hit[k]))
+        if k in outer:
+            text = F.concat(F.expr(f"get(_page.tags, {hit[k]}.open)"), text, F.lit("</"), F.col(f"{hit[k]}.name"), F.lit(">"))
+        return F.nullif(text, F.lit(""))
+    df = compute_once(df, **{k: F.when(F.col(deep[k]), whole(k)).otherwise(F.col(first[k])) for k in fields})
+    return df.drop("_deep_html", "_page", *first.values(), *deep.values(), *hit.values())
 
-    def inner(x: Column) -> Column:
-        tags, gaps = F.regexp_extract_all(x, F.lit(mark), F.lit(0)), F.split(x, mark, -1)
-        end = F.aggregate(tags, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("i"), F.lit(0).alias("end")), step, lambda a: a["end"])
-        cut = lambda n: F.array_join(F.zip_with(
-            F.slice(gaps, 1, n), F.concat(F.array(F.lit("")), F.slice(tags, 1, n - 1)), lambda g, t: F.concat(t, g)), "")
-        return F.get(F.transform(F.array(end), lambda n: F.when(n == 0, x).otherwise(cut(n))), 0)
 
-    return F.get(F.transform(F.array(rest), inner), 0)
+def strip_tags(fragment) -> Column:
+    return F.regexp_replace(_c(fragment), r"<[^>]*>", "")
 
 
-def select_first(html, tag: str, attr: str | None = None, value: str | None = None,
-                 outer: bool = False) -> Column:
-    """H1: first element of ``tag`` with ``attr`` = ``value`` (a class
-    matches any of its tokens); null when absent. Expects ``strip_hidden``
-    input."""
-    open_ = open_tag_regex(tag, attr, value)
-    # an empty inner text and a missing element both read as "not found"
-    found = F.nullif(F.regexp_extract(_c(html), element_regex(tag, attr, value, outer), 1), F.lit(""))
-    nested = ("(?s)^<[^>]*>.*?<" if outer else "<") + _tag(tag) + r"[\s>/]"
-    whole = _balanced(F.regexp_extract(_c(html), "(?s)" + open_ + "(.*)", 1), tag)
-    if outer:
-        whole = F.concat(F.regexp_extract(_c(html), "(" + open_ + ")", 1), whole, F.lit(f"</{tag}>"))
-    return F.get(F.transform(F.array(found), lambda x: F.when(x.rlike(nested), whole).otherwise(x)), 0)
+def sql_text(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def strip_tags(fragment) -> Column:
-    return F.regexp_replace(_c(fragment), r"<[^>]*>", "")
-
+def _decode(in_value: bool) -> Column:
+    """Lambda (SQL) that decodes every character reference of a text once,
+    left to right (``&amp;lt;`` gives ``&lt;``). It is one constant string, so
+    a plan that decodes often is still built quickly."""
+    point = ("cast(if(rlike(n, '^#[xX]'), conv(regexp_extract(n, '^#[xX]([0-9a-fA-F]+)', 1), 16, 10), "
+             "regexp_extract(n, '^#([0-9]+)', 1)) as int)")
+    by_number = (f"coalesce(try_element_at(from_json({sql_text(json.dumps(_WINDOWS))}, 'map<string,string>'), cast({point} as string)), "
+                 f"if({point} BETWEEN 1 AND 1114111 AND NOT {point} BETWEEN 55296 AND 57343, "
+                 f"decode(unhex(lpad(hex({point}), 8, '0')), 'UTF-32'), '\\uFFFD'))")
+    # the name itself, else in texts the longest old name that it begins with
+    old = "''" if in_value else f"regexp_extract(n, {sql_text(_OLD_NAMES)}, 0)"
+    found = f"transform(array(n, nullif({old}, '')), k -> try_element_at(from_json({sql_text(json.dumps(html5))}, 'map<string,string>'), k))"
+    by_name = f"get(transform(array({found}), v -> coalesce(v[0], concat(v[1], substr(n, length({old}) + 1)), concat('&', n))), 0)"
+    reference = sql_text(_REFERENCE_IN_VALUE if in_value else _REFERENCE)
+    refs = f"transform(regexp_extract_all(x, {reference}, 0), r -> get(transform(array(substr(r, 2)), n -> if(startswith(n, '#'), {by_number}, {by_name})), 0))"
+    return F.expr(f"x -> CASE WHEN contains(x, '&') THEN array_join(zip_with(split(x, {reference}, -1), "
+                  f"concat(array(''), {refs}), (g, c) -> concat(c, g)), '') ELSE x END")
 
-def _character(ref: Column) -> Column:
-    """The text of one character reference; an unknown name stays as it is."""
-    name = F.substring(ref, 2, F.length(ref) - 2)
-    point = F.when(F.startswith(name, F.lit("#x")) | F.startswith(name, F.lit("#X")), F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(
-        F.substr(name, F.lit(2))).cast("int")
-    real = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
-    by_number = F.when(real, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-    names = F.from_json(F.lit(json.dumps(_NAMED)), "map<string,string>")
-    known = F.try_element_at(names, F.when(F.startswith(name, F.lit("#")), F.concat(F.lit("#"), point.cast("string"))).otherwise(name))
-    return F.coalesce(known, F.when(F.startswith(name, F.lit("#")), by_number).otherwise(ref))
 
+def decode_all(texts: Column, in_value: bool = False) -> Column:
+    """The texts of an array with their character references decoded, as in
+    an element's text or (``in_value``) an attribute's value."""
+    return F.call_function("transform", texts, _decode(in_value))
 
-def decode_entities(s) -> Column:
-    """Every character reference ending in ``;`` decoded once, left to right
-    (``&amp;lt;`` gives ``&lt;``)."""
-    def decoded(x: Column) -> Column:
-        chars = F.transform(F.regexp_extract_all(x, F.lit(_REFERENCE), F.lit(0)), _character)
-        return F.array_join(F.zip_with(F.split(x, _REFERENCE, -1), F.concat(F.array(F.lit("")), chars), lambda g, c: F.concat(c, g)), "")
 
-    return F.get(F.transform(F.array(_c(s)), lambda x: F.when(F.contains(x, F.lit("&")), decoded(x)).otherwise(x)), 0)
+def decode_entities(s, in_value: bool = False) -> Column:
+    """One text with its character references decoded."""
+    return F.get(decode_all(F.array(_c(s)), in_value), 0)
 
 
 def text_of(fragment) -> Column:
@@ -143,27 +177,33 @@ def text_of(fragment) -> Column:
     return F.nullif(collapse_ws(decode_entities(strip_tags(fragment))), F.lit(""))
 
 
+def texts_of(fragments: dict[str, str]) -> dict[str, Column]:
+    """``text_of`` for several columns with one decoding expression: name ->
+    text, to be computed in one projection."""
+    decoded = decode_all(F.array(*[strip_tags(c) for c in fragments.values()]))
+    return {name: F.nullif(collapse_ws(F.get(decoded, i)), F.lit("")) for i, name in enumerate(fragments)}
+
+
 # the value of an href attribute, with its quotes if it has any
 _HREF = r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 
 
-def attribute_value(raw: Column) -> Column:
-    """An attribute value as a parser reads it: unquoted and decoded."""
-    return decode_entities(F.regexp_replace(raw, "^[\"']|[\"']$", ""))
+def attribute_values(raw: Column) -> Column:
+    """An array of attribute values as a parser reads them: unquoted and
+    decoded."""
+    return decode_all(F.call_function("transform", raw, F.expr("r -> regexp_replace(r, '^[\"\\']|[\"\\']$', '')")), in_value=True)
 
 
 def first_href(fragment) -> Column:
     """The href of the first anchor that has one; null when none has."""
-    return attribute_value(F.nullif(F.regexp_extract(_c(fragment), _HREF, 1), F.lit("")))
+    return F.get(first_hrefs(F.array(_c(fragment))), 0)
 
 
-def anchor_hrefs(html) -> Column:
-    """Every anchor's href value in document order."""
-    return F.transform(F.regexp_extract_all(_c(html), F.lit(_HREF), F.lit(1)), attribute_value)
+def first_hrefs(fragments: Column) -> Column:
+    """Per markup of an array, the href of its first anchor that has one."""
+    return attribute_values(F.transform(fragments, lambda f: F.nullif(F.regexp_extract(f, _HREF, 1), F.lit(""))))
 
 
-def blocks(html, tag: str, attr: str, value: str) -> Column:
-    """Inner HTML of every element of ``tag`` with ``attr`` = ``value``; one
-    that holds another such element ends where that begins."""
-    pieces = F.split(_c(html), "(?s)" + open_tag_regex(tag, attr, value), -1)
-    return F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), lambda p: _balanced(p, tag))
+def anchor_hrefs(html) -> Column:
+    """Every anchor's href value in document order."""
+    return attribute_values(F.regexp_extract_all(_c(html), F.lit(_HREF), F.lit(1)))

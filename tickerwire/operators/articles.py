@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerwire.functions.html import select_first, text_of
 from tickerwire.functions.rows import compute_once
 from tickerwire.functions.text import word_count
 from tickerwire.functions.urls import is_homepage, is_of_source, is_valid_url
 from tickerwire.operators.company import with_company
-from tickerwire.operators.extract import (has_title_selector, result_links, with_clean_html,
-                                          with_date, with_title)
+from tickerwire.operators.extract import has_title_selector, result_links, with_clean_html, with_fields
 from tickerwire.operators.frontier import drop_parsed, first_query_only
 from tickerwire.operators.stats import source_stats
 from tickerwire.options import Options
@@ -105,12 +103,11 @@ def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
     p = pages.select(F.col("url").alias("_purl"), F.col("html").alias("_html"))
     got = wanted.join(p, wanted["url"] == p["_purl"]).drop("_purl")
     got = with_clean_html(got, "_html", "_clean")
-    got = with_title(got, "_clean", "source", "title")
-    got = with_date(got, "_clean", "_html", "source", "publish_date")
+    got = with_fields(got, "_clean", "_html", "source", title="title", date="publish_date",
+                      body="_body" if opts.length_check else None)
     fields = ["url", "source", "title", "publish_date", F.lit(True).alias("_found")]
     if opts.length_check:
-        body = text_of(select_first("_clean", "article"))
-        fields.append(F.coalesce(word_count(body), F.lit(0)).alias("_words"))
+        fields.append(F.coalesce(word_count("_body"), F.lit(0)).alias("_words"))
     got = got.select(*fields)
 
     j = c.join(got, ["url", "source"], "left")

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerwire.functions.dates import with_publish_date
-from tickerwire.functions.html import (anchor_hrefs, attribute_value, blocks, decode_entities,
-                                       first_href, select_first, strip_hidden, strip_tags, text_of)
+from tickerwire.functions.dates import publish_date
+from tickerwire.functions.html import (anchor_hrefs, by_case, decode_entities, element_regex, first_href, first_hrefs,
+                                       open_tag_regex, sql_text, strip_hidden, strip_tags, texts_of, with_first)
 from tickerwire.functions.rows import compute_once
+from tickerwire.functions.structure import inner, inside, is_flat, matching, with_elements
 from tickerwire.functions.text import WHITESPACE_CLASS, strip_all_ws
 from tickerwire.functions.urls import symbol_from_href, unwrap_link
 from tickerwire.sources.registry import selectors
@@ -23,27 +24,10 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def title_html(clean_html, source) -> Column:
-    """Inner HTML of the source's title element (one regex per row: only the
-    branch of the row's source runs); null when absent or unconfigured."""
-    s = _c(source)
-    expr = None
-    for name, tag, attr, value in selectors("title"):
-        t = select_first(clean_html, tag, attr, value)
-        expr = F.when(s == name, t) if expr is None else expr.when(s == name, t)
-    return expr
-
-
-def date_html(clean_html, raw_html, source) -> Column:
-    """Outer HTML (attributes included) of the source's date container;
-    sources without a container configuration give the whole raw document.
-    A configured source whose container is missing gives null."""
-    s = _c(source)
-    expr = None
-    for name, tag, attr, value in selectors("date"):
-        d = select_first(clean_html, tag, attr, value, outer=True)
-        expr = F.when(s == name, d) if expr is None else expr.when(s == name, d)
-    return expr.otherwise(_c(raw_html))
+def _choices(field: str, source) -> list[tuple]:
+    """The selectors of a field, one per source (only the branch of a row's
+    source runs)."""
+    return [(_c(source) == name, tag, attr, value) for name, tag, attr, value in selectors(field)]
 
 
 def has_title_selector(source) -> Column:
@@ -56,26 +40,29 @@ def with_clean_html(df: DataFrame, html: str = "html", out: str = "_clean") -> D
     return df.withColumn(out, strip_hidden(html))
 
 
-def with_title(df: DataFrame, clean: str = "_clean", source: str = "source",
-               out: str = "title") -> DataFrame:
-    """H2: title text (tags removed, entities decoded, whitespace
-    collapsed)."""
-    staged = df.withColumn("_title_html", title_html(F.col(clean), source))
-    return compute_once(staged, **{out: text_of("_title_html")}).drop("_title_html")
-
-
-def with_date(df: DataFrame, clean: str = "_clean", html: str = "html", source: str = "source",
-              out: str = "publish_date") -> DataFrame:
-    """H3 (+F9): first date of the source's date container."""
-    df = df.withColumn("_date_html", date_html(F.col(clean), F.col(html), source))
-    return with_publish_date(df, "_date_html", out).drop("_date_html")
+def with_fields(df: DataFrame, clean: str = "_clean", html: str = "html", source: str = "source", title: str | None = None,
+                date: str | None = None, body: str | None = None) -> DataFrame:
+    """H2, H3 and the text of the ``article`` element, each where a column
+    name is given, from one pass over the markup: the title's text (tags
+    removed, references decoded, white space collapsed), the first date (F9)
+    of the source's date container with its attributes, and the article's
+    text. Sources without a date container are searched whole; a configured
+    container that is missing gives null."""
+    wanted = {"_title_html": title and _choices("title", source), "_date_html": date and _choices("date", source),
+              "_body_html": body and [(None, "article", None, None)]}
+    df = with_first(df, clean, {k: c for k, c in wanted.items() if c}, outer=["_date_html"])
+    out = texts_of({n: k for k, n in (("_title_html", title), ("_body_html", body)) if n})
+    if date:
+        configured = _c(source).isin(*[n for n, *_ in selectors("date")])
+        out[date] = publish_date(F.when(configured, F.col("_date_html")).otherwise(F.col(html)))
+    return compute_once(df, **out).drop(*[k for k, c in wanted.items() if c])
 
 
 def extract_title(pages: DataFrame, html: str = "html", source: str = "source",
                   out: str = "title") -> DataFrame:
     """H2 over a table: adds ``out`` and a ``reject_reason`` ('no_selector')
     for sources without a title selector."""
-    df = with_title(with_clean_html(pages, html), "_clean", source, out).drop("_clean")
+    df = with_fields(with_clean_html(pages, html), "_clean", html, source, title=out).drop("_clean")
     return df.withColumn("reject_reason",
                          F.when(~has_title_selector(source), F.lit("no_selector")))
 
@@ -83,15 +70,19 @@ def extract_title(pages: DataFrame, html: str = "html", source: str = "source",
 def extract_date(pages: DataFrame, html: str = "html", source: str = "source",
                  out: str = "publish_date") -> DataFrame:
     """H3 over a table."""
-    return with_date(with_clean_html(pages, html), "_clean", html, source, out).drop("_clean")
+    return with_fields(with_clean_html(pages, html), "_clean", html, source, date=out).drop("_clean")
 
 
 def result_links(pages: DataFrame, html: str = "html") -> DataFrame:
     """H4 (+F4, P11): for every ``div.g`` block its first anchor's href,
-    unwrapped; blocks without an anchor and empty links are dropped. Adds
-    (link_pos, href, url)."""
-    hrefs = F.filter(F.transform(blocks(strip_hidden(html), "div", "class", "g"), first_href), lambda h: h.isNotNull())
-    ex = pages.select("*", F.posexplode(hrefs).alias("link_pos", "href")).drop(html)
+    unwrapped; a block's range includes the blocks inside it, so an outer and
+    an inner block may give the same link. Blocks without an anchor and empty
+    links are dropped. Adds (link_pos, href, url)."""
+    blocks = matching("_page", "div", open_tag_regex("div", "class", "g"))
+    staged = with_elements(pages.withColumn("_clean", strip_hidden(html)).drop(html), "_clean", ["div"]).drop("_clean")
+    staged = compute_once(staged, _blocks=F.expr(f"transform({blocks}, e -> {inner('_page', 'e')})")).drop("_page")
+    hrefs = F.filter(first_hrefs(F.col("_blocks")), lambda h: h.isNotNull())
+    ex = staged.select(*[c for c in pages.columns if c != html], F.posexplode(hrefs).alias("link_pos", "href"))
     return ex.withColumn("url", unwrap_link("href")).filter(F.col("url").isNotNull())
 
 
@@ -100,20 +91,46 @@ def all_links(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.select("*", F.posexplode(anchor_hrefs(html)).alias("link_pos", "href")).drop(html)
 
 
+_ANCHOR = r"(?s)<[aA](?:\s[^>]*)?>"
+_ANCHOR_TEXT = _ANCHOR + r"(.*?)</[aA]\s*>"
+
+
 _ROW = r"(?s)<[tT][rR](?:\s[^>]*)?>(.*?)</[tT][rR]\s*>"
 _CELL = r"(?s)<[tT][dD](?:\s[^>]*)?>(.*?)</[tT][dD]\s*>"
-_ANCHOR_TEXT = r"(?s)<[aA](?:\s[^>]*)?>(.*?)</[aA]\s*>"
+
+
+def _cells(pages: DataFrame, tables: list[tuple[Column | None, str, str]], html: str) -> DataFrame:
+    """Every cell of the page's first table with (condition, attribute, value)
+    as (row_pos, col_pos, cell_html, own). Rows and cells inside cells count
+    like all others, in document order, so a row goes on after a table in one
+    of its cells; ``own``: no row inside this one holds the cell. Pages whose
+    tables hold none are read by patterns alone."""
+    names = ["table", "tr", "td"]
+    choices = [(when, "table", attr, value) for when, attr, value in tables]
+    staged = compute_once(pages.withColumn("_clean", strip_hidden(html)).drop(html), _flat=F.coalesce(is_flat("_clean", names), F.lit(True)))
+    staged = with_elements(staged.withColumn("_deep", F.when(~F.col("_flat"), F.col("_clean"))), "_deep", names)
+    own = f"NOT exists({inside('_page', 'r', 'tr')}, n -> n.open < e.open AND e.close <= n.close)"
+    cells = f"transform({inside('_page', 'r', 'td')}, e -> named_struct('cell_html', {inner('_page', 'e')}, 'own', {own}))"
+    rows = f"flatten(transform(_hits, tb -> transform({inside('_page', 'tb', 'tr')}, r -> named_struct('html', cast(null as string), 'cells', {cells}))))"
+    no_cells = "cast(null as array<struct<cell_html:string,own:boolean>>)"
+    hits = by_case(choices, lambda *selector: F.expr(matching("_page", selector[0], open_tag_regex(*selector))))
+    flat_table = by_case(choices, lambda *s: F.regexp_extract("_clean", element_regex(*s), 1))
+    staged = compute_once(staged, _hits=F.when(~F.col("_flat"), F.slice(hits, 1, 1)),
+                          _flat_rows=F.when(F.col("_flat"), F.regexp_extract_all(flat_table, F.lit(_ROW), F.lit(1))))
+    staged = compute_once(staged, _rows=F.when(F.col("_flat"), F.expr(f"transform(_flat_rows, r -> named_struct('html', r, 'cells', {no_cells}))"))
+                          .otherwise(F.expr(rows)))
+    keep = [c for c in pages.columns if c != html]
+    ex = staged.select(*keep, F.posexplode("_rows").alias("row_pos", "_row"))
+    of_row = F.transform(F.regexp_extract_all("_row.html", F.lit(_CELL), F.lit(1)), lambda c: F.struct(c.alias("cell_html"), F.lit(True).alias("own")))
+    ex = ex.select(*keep, "row_pos", F.posexplode(F.coalesce("_row.cells", of_row)).alias("col_pos", "_cell"))
+    return ex.select(*keep, "row_pos", "col_pos", "_cell.*")
 
 
 def table_cells(pages: DataFrame, attr: str, value: str, html: str = "html") -> DataFrame:
     """H5: cells of the first table with attr = value as
     (row_pos, col_pos, cell_html); row_pos counts every <tr>, so header rows
     (no <td>) keep their position and yield no cell."""
-    table = select_first(strip_hidden(html), "table", attr, value)
-    rows = F.regexp_extract_all(table, F.lit(_ROW), F.lit(1))
-    ex = pages.select("*", F.posexplode(rows).alias("row_pos", "_row")).drop(html)
-    cells = F.regexp_extract_all(F.col("_row"), F.lit(_CELL), F.lit(1))
-    return ex.select("*", F.posexplode(cells).alias("col_pos", "cell_html")).drop("_row")
+    return _cells(pages, [(None, attr, value)], html).drop("own")
 
 
 def _strip_ends(s: Column) -> Column:
@@ -121,31 +138,36 @@ def _strip_ends(s: Column) -> Column:
 
 
 def _anchor_text(cell: Column) -> Column:
-    a = F.regexp_extract(cell, _ANCHOR_TEXT, 1)
-    return F.when(cell.rlike("(?s)<[aA](?:\\s[^>]*)?>"), decode_entities(strip_tags(a)))
+    """Text of the cell's first anchor, null without one."""
+    return F.when(cell.rlike(_ANCHOR), decode_entities(strip_tags(F.regexp_extract(cell, _ANCHOR_TEXT, 1))))
+
+
+#: Table of each constituents layout.
+SPECS = {"id_constituents": ("id", "constituents"), "id_companylist": ("id", "CompanylistResults"), "class_quotetable": ("class", "quoteTable")}
 
 
-def constituents(pages: DataFrame, spec: str, html: str = "html") -> DataFrame:
+def constituents(pages: DataFrame, spec: str | Column, html: str = "html") -> DataFrame:
     """H6: ticker lists from constituent tables. spec:
     'id_constituents'   table#constituents, column 0 text, ends stripped;
     'id_companylist'    table#CompanylistResults, odd rows, column 1 anchor
                         text, all whitespace removed;
     'class_quotetable'  table.quoteTable, every cell with an anchor, its
                         anchor text, all whitespace removed.
+    A column of such names lets one pass read pages of several layouts.
     Adds (row_pos, col_pos, ticker)."""
-    if spec == "id_constituents":
-        c = table_cells(pages, "id", "constituents", html).filter(F.col("col_pos") == 0)
-        t = _strip_ends(decode_entities(strip_tags(F.col("cell_html"))))
-    elif spec == "id_companylist":
-        c = table_cells(pages, "id", "CompanylistResults", html)
-        c = c.filter((F.col("row_pos") % 2 == 1) & (F.col("col_pos") == 1))
-        t = strip_all_ws(_anchor_text(F.col("cell_html")))
-    elif spec == "class_quotetable":
-        c = table_cells(pages, "class", "quoteTable", html)
-        t = strip_all_ws(_anchor_text(F.col("cell_html")))
-    else:
+    if isinstance(spec, str) and spec not in SPECS:
         raise ValueError(f"unknown constituents spec: {spec}")
-    return c.withColumn("ticker", t).filter(F.col("ticker").isNotNull()).drop("cell_html")
+    layout = F.lit(spec) if isinstance(spec, str) else spec
+    is_ = lambda name: F.col("_layout") == name
+    c = _cells(pages.withColumn("_layout", layout), [(is_(k), *v) for k, v in SPECS.items()], html)
+    c = c.filter((is_("id_constituents") & (F.col("col_pos") == 0))
+                 | (is_("id_companylist") & (F.col("row_pos") % 2 == 1) & (F.col("col_pos") == 1)) | (is_("class_quotetable") & F.col("own")))
+    # one decoding for all layouts: the cell's text, or that of its first anchor
+    cell = F.col("cell_html")
+    raw = F.when(is_("id_constituents"), cell).when(cell.rlike(_ANCHOR), F.regexp_extract(cell, _ANCHOR_TEXT, 1))
+    c = compute_once(c, _text=decode_entities(strip_tags(raw)))
+    c = c.withColumn("ticker", F.when(is_("id_constituents"), _strip_ends(F.col("_text"))).otherwise(strip_all_ws("_text")))
+    return c.filter(F.col("_text").isNotNull()).drop("cell_html", "own", "_layout", "_text")
 
 
 def anchors_by_class(pages: DataFrame, cls: str, html: str = "html") -> DataFrame:
@@ -164,12 +186,13 @@ def profile_fields(pages: DataFrame, html: str = "html") -> DataFrame:
     """H8: in the profile container, the second <p>: span 1 is the sector,
     span 3 the industry (0-based); null when missing. Paragraphs outside the
     container are not read."""
-    rest = select_first(strip_hidden(html), "div", "class", "asset-profile-container")
-    paras = F.regexp_extract_all(rest, F.lit(r"(?s)<[pP](?:\s[^>]*)?>(.*?)</[pP]\s*>"), F.lit(1))
-    spans = F.regexp_extract_all(F.get(paras, 1),
-                                 F.lit(r"(?s)<span(?:\s[^>]*)?>(.*?)</span\s*>"), F.lit(1))
-    return (pages.withColumn("sector", text_of(F.get(spans, 1)))
-            .withColumn("industry", text_of(F.get(spans, 3))).drop(html))
+    staged = pages.withColumn("_clean", strip_hidden(html)).drop(html)
+    staged = with_first(staged, "_clean", {"_profile": [(None, "div", "class", "asset-profile-container")]})
+    paras = F.regexp_extract_all("_profile", F.lit(r"(?s)<[pP](?:\s[^>]*)?>(.*?)</[pP]\s*>"), F.lit(1))
+    spans = F.regexp_extract_all(F.get(paras, 1), F.lit(r"(?s)<span(?:\s[^>]*)?>(.*?)</span\s*>"), F.lit(1))
+    staged = compute_once(staged, _spans=spans).withColumns({"_sector": F.get("_spans", 1), "_industry": F.get("_spans", 3)})
+    staged = compute_once(staged, **texts_of({"sector": "_sector", "industry": "_industry"}))
+    return staged.drop("_clean", "_profile", "_spans", "_sector", "_industry")
 
 
 def paren_symbol(text) -> Column:
@@ -180,7 +203,10 @@ def paren_symbol(text) -> Column:
 def movers(pages: DataFrame, html: str = "html") -> DataFrame:
     """H9 over a table: for each <td> holding an anchor, the symbol in
     parentheses of the anchor text. Adds (cell_pos, symbol)."""
-    cells = F.regexp_extract_all(strip_hidden(html), F.lit(_CELL), F.lit(1))
-    ex = pages.select("*", F.posexplode(cells).alias("cell_pos", "_cell")).drop(html)
-    return (ex.withColumn("symbol", paren_symbol(_anchor_text(F.col("_cell"))))
-            .filter(F.col("_cell").rlike("(?s)<[aA](?:\\s[^>]*)?>")).drop("_cell"))
+    staged = compute_once(pages.withColumn("_clean", strip_hidden(html)).drop(html), _flat=F.coalesce(is_flat("_clean", ["td"]), F.lit(True)))
+    staged = with_elements(staged.withColumn("_deep", F.when(~F.col("_flat"), F.col("_clean"))), "_deep", ["td"])
+    staged = compute_once(staged, _cells=F.when(F.col("_flat"), F.regexp_extract_all("_clean", F.lit(_CELL), F.lit(1))).otherwise(F.expr(
+        f"transform(filter(_page.elements, x -> x.name = 'td'), e -> {inner('_page', 'e')})"))).drop("_page", "_clean", "_deep", "_flat")
+    ex = staged.select(*[c for c in staged.columns if c != "_cells"], F.posexplode("_cells").alias("cell_pos", "_cell"))
+    return (ex.filter(F.col("_cell").rlike(_ANCHOR))
+            .withColumn("symbol", paren_symbol(_anchor_text(F.col("_cell")))).drop("_cell"))

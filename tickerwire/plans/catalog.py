@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tickerwire.functions import dates, html, labels, text, urls
 from tickerwire.operators import articles, asof, company, extract, frontier, stats
+from tickerwire.functions.rows import compute_once
 from tickerwire.options import Options
 from tickerwire.plans import derived as dv
 from tickerwire.sources import files, registry
@@ -425,12 +426,11 @@ def f11_horizon_class(spark, d):
 @register("h1_select_first")
 def h1_select_first(spark, d):
     p = table(spark, d, "pages", True).select("page_id", html.strip_hidden("html").alias("html"))
-    return p.select(
-        "page_id",
-        html.text_of(html.select_first("html", "title")).alias("title"),
-        html.text_of(html.select_first("html", "h1")).alias("h1"),
-        text.word_count(html.text_of(html.select_first("html", "article"))).alias("article_words"),
-        html.text_of(html.select_first("html", "div", "class", "ad")).alias("ad"))
+    whole = lambda *selector: [(None, *selector)]
+    found = html.with_first(p, "html", {"_title": whole("title", None, None), "_h1": whole("h1", None, None),
+                                        "_article": whole("article", None, None), "_ad": whole("div", "class", "ad")})
+    texts = compute_once(found, **html.texts_of({"title": "_title", "h1": "_h1", "article": "_article", "ad": "_ad"}))
+    return texts.select("page_id", "title", "h1", text.word_count("article").alias("article_words"), "ad")
 
 
 @register("h2_title")
@@ -461,13 +461,9 @@ def h5_table_cells(spark, d):
 @register("h6_constituents")
 def h6_constituents(spark, d):
     docs = dv.customer_docs(spark, d)
-    out = None
-    for spec, col in (("id_constituents", "constituents"), ("id_companylist", "companylist"),
-                      ("class_quotetable", "quotetable")):
-        part = extract.constituents(docs.select("c_custkey", F.col(col).alias("html")), spec)
-        part = part.select("c_custkey", F.lit(spec).alias("spec"), "row_pos", "col_pos", "ticker")
-        out = part if out is None else out.unionByName(part)
-    return out
+    kinds = [("id_constituents", "constituents"), ("id_companylist", "companylist"), ("class_quotetable", "quotetable")]
+    each = F.inline(F.array(*[F.struct(F.lit(s).alias("spec"), F.col(c).alias("html")) for s, c in kinds]))
+    return extract.constituents(docs.select("c_custkey", each), F.col("spec")).select("c_custkey", "spec", "row_pos", "col_pos", "ticker")
 
 
 @register("h7_anchors")

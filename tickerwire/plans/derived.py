@@ -40,6 +40,11 @@ HOMEPAGE_PATH = {"bloomberg": "/quote/{t}:US", "seekingalpha": "/symbol/{t}",
                  "reuters": "/finance/stocks/overview/{t}",
                  "thestreet": "/quote/{t}/details/news.html", "investopedia": "/quote/{t}",
                  "wsj": "/quote/{t}", "marketwatch": "/quote/{t}"}
+# every ninth headline starts with references: an old name without its
+# semicolon, and one of the long table
+HEADLINE_MARK = "&copy 5 &bigstar; "
+# a date container of this source holds a container of the same tag
+NESTED_DATE = {"reuters": '<div class="stamp">at</div> '}
 DATE_FORMATS = ["yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "M/d/yyyy"]
 DECOY_DATE = "1/1/1999"
 PARSED_BEFORE = "2024-01-05"
@@ -99,9 +104,11 @@ def news_pages(spark: SparkSession, d: str) -> DataFrame:
     fmt_idx = (F.pmod(pid, F.lit(len(DATE_FORMATS))) + 1).cast("int")
     shown = F.element_at(F.array(*[F.date_format(pub, f) for f in DATE_FORMATS]), fmt_idx)
     has_date = pid % 13 != 0
-    container = F.when(has_date, F.concat(_case(F.col("source"), DATE_OPEN), shown,
+    nested = _case(F.col("source"), {s: NESTED_DATE.get(s, "") for s in NEWS_SOURCES})
+    container = F.when(has_date, F.concat(_case(F.col("source"), DATE_OPEN), nested, shown,
                                           _case(F.col("source"), DATE_CLOSE))).otherwise(F.lit(""))
-    html = F.replace(F.col("html"), F.lit("<h1>"), _case(F.col("source"), TITLE_OPEN))
+    mark = F.when(pid % 9 == 0, F.lit(HEADLINE_MARK)).otherwise(F.lit(""))
+    html = F.replace(F.col("html"), F.lit("<h1>"), F.concat(_case(F.col("source"), TITLE_OPEN), mark))
     html = F.replace(html, F.lit("<article>"), F.concat(F.lit("<article>"), container))
     html = F.replace(html, F.lit("<nav>"), F.lit(f"<nav><span>{DECOY_DATE}</span>"))
     return p.select("page_id", "ticker", "source",
@@ -114,7 +121,9 @@ def search_results(spark: SparkSession, d: str) -> DataFrame:
     """Stored search-result page per news page, attached to the query
     (ticker, source, string) that found it: three div.g blocks — the page's
     own link, a link of a foreign site, and a host-relative link — after the
-    driver page's own navigation anchors (which are not result blocks)."""
+    driver page's own navigation anchors (which are not result blocks). Every
+    sixth page goes on with a block inside a block: both give the inner link,
+    an address with escaped ampersands."""
     n = news_pages(spark, d)
     rel = F.split_part(F.col("url"), F.lit("://"), F.lit(2))
     html = F.concat(
@@ -124,6 +133,9 @@ def search_results(spark: SparkSession, d: str) -> DataFrame:
         F.lit('<div class="g"><a href="/url?q=https://www.example.com/'),
         F.col("page_id").cast("string"), F.lit('">other</a></div>'),
         F.lit('<div class="g big"><a class="l" href="/url?q=/'), rel, F.lit('">rel</a></div>'),
+        F.when(F.col("page_id") % 6 == 0, F.concat(
+            F.lit('<div class="g"><div class="m"><div class="x g"><a href="/url?q='), F.col("url"),
+            F.lit('?a=1&amp;b=&#50;&copy=3">in</a></div></div><a href="/url?q=http://second.example.com/">two</a></div>'))).otherwise(F.lit("")),
         F.lit("</body></html>"))
     return n.select("page_id", "ticker", "source",
                     query_string(F.col("ticker"), F.col("source")).alias("string"),
@@ -190,7 +202,10 @@ def customer_docs(spark: SparkSession, d: str) -> DataFrame:
     nk = letters(F.col("c_nationkey"))
     constituents = F.concat(
         F.lit('<table class="wikitable" id="constituents"><tr><th>Symbol</th><th>Security</th></tr>'),
-        F.lit("<tr><td> "), t, F.lit(" </td><td>"), F.col("c_name"), F.lit("</td></tr>"),
+        F.lit("<tr><td> "), t, F.lit(" </td><td>"), F.col("c_name"),
+        # every fourth customer: a table inside the name's cell, then one more cell
+        F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("<table><tr><td>in "), nk, F.lit("</td></tr></table></td><td>after")))
+        .otherwise(F.lit("")), F.lit("</td></tr>"),
         F.lit("<tr><td>"), F.col("c_mktsegment"), F.lit('</td><td><a href="/n">'),
         F.col("n_name"), F.lit("</a></td></tr></table>"))
     companylist = F.concat(
