@@ -3,6 +3,7 @@ ties at the probe instant, empty buckets, keys without ticks)."""
 
 import datetime as dt
 import random
+from collections import Counter
 
 from tickerwire.operators import asof
 
@@ -67,13 +68,42 @@ def test_null_keys_match_nothing(spark):
     assert got == {1: None, 2: 7.0, 3: None}
 
 
-def test_one_pass_labels_equal_two_pass(spark):
+def test_equal_rows_and_null_columns_stay(spark):
+    t0 = dt.datetime(2024, 1, 2, 12)
+    rows = [(None, "A", t0)] * 3 + [(7, None, t0)] * 2 + [(7, "A", None), (8, "A", t0), (None, None, None)]
+    p = spark.createDataFrame(rows, "pid INT, ticker STRING, ts TIMESTAMP")
+    t = spark.createDataFrame([("A", t0 - dt.timedelta(hours=30), 1.0), ("A", t0 + dt.timedelta(minutes=5), 2.0)], "ticker STRING, ts TIMESTAMP, price DOUBLE")
+    got = asof.label_articles(p, t)
+    assert got.columns == ["pid", "ticker", "ts", "t0", "t1", "classification"]
+    want = [(*r, 1.0, 2.0, 1) if r[1:] == ("A", t0) else (*r, None, None, -1000) for r in rows]
+    assert Counter(map(tuple, got.collect())) == Counter(want)
+    assert asof.label_articles(p.limit(0), t).count() == 0 and asof.label_articles(p, t.limit(0)).count() == len(rows)
+
+
+def test_old_prices_are_not_found(spark):
     probes, ticks = _data(3)
     p = spark.createDataFrame(probes, "pid INT, ticker STRING, ts TIMESTAMP")
     t = spark.createDataFrame(ticks, "ticker STRING, ts TIMESTAMP, price DOUBLE, tick_id INT")
-    two = {r.pid: tuple(r) for r in asof.label_articles(p, t, interval="3 hours", tick_order="tick_id").collect()}
-    one = {r.pid: tuple(r) for r in asof.label_articles(p, t, interval="3 hours", tick_order="tick_id",
-                                                        key="pid").collect()}
-    assert one == two and len(one) == len(probes)
-    t0 = brute(probes, ticks)
-    assert all(one[k][3] == t0[k] for k in one)
+    age, step = dt.timedelta(hours=2), dt.timedelta(hours=3)
+
+    def fresh(pid, key, at):
+        near = [x for x in ticks if x[0] == key and at - age <= x[1] <= at]
+        return max(near, key=lambda x: (x[1], x[3]))[2] if near else None
+    for bucket in ("hour", "day"):
+        got = asof.label_articles(p, t, interval="3 hours", tick_order="tick_id", max_age="2 hours", bucket=bucket).collect()
+        assert len(got) == len(probes)
+        for r in got:
+            a, b = fresh(r.pid, r.ticker, r.ts), fresh(r.pid, r.ticker, r.ts + step)
+            assert (r.t0, r.t1) == (a, b) and r.classification == (-1000 if a is None or b is None else (b > a) - (b < a))
+    assert {r.classification for r in got} >= {-1000, 1, -1}
+
+
+def test_ticks_and_articles_are_read_once(spark, tmpdir_path):
+    probes, ticks = _data(4)
+    spark.createDataFrame(probes, "pid INT, ticker STRING, ts TIMESTAMP").write.parquet(f"{tmpdir_path}/p")
+    spark.createDataFrame(ticks, "ticker STRING, ts TIMESTAMP, price DOUBLE, tick_id INT").write.parquet(f"{tmpdir_path}/t")
+    p, t = spark.read.parquet(f"{tmpdir_path}/p"), spark.read.parquet(f"{tmpdir_path}/t")
+    for job in (asof.label_articles(p, t, tick_order="tick_id"), asof.asof_price(p, t, tick_order="tick_id")):
+        job.collect()
+        plan = job._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("FileScan parquet") == 2 and plan.count("ReusedExchange") == 1

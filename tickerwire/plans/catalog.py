@@ -24,6 +24,8 @@ _REGISTRY: dict[str, Query] = {}
 
 # interval between the two prices of a label on the driver's sparse ticks
 LABEL_INTERVAL = "1 day"
+# age from which those ticks count as no price
+MAX_AGE = "36 hours"
 # label sources of host names in the driver's page URLs
 PAGE_LABELS = ["example", "com", "net", "org", "blog", "www", "m"]
 
@@ -59,7 +61,13 @@ def _batch(spark, d, opts: Options = Options()):
 @per_session
 def _labels(spark, d):
     return asof.label_articles(dv.publications(spark, d), dv.price_ticks(spark, d),
-                               interval=LABEL_INTERVAL, tick_order="tick_id", key="event_id")
+                               interval=LABEL_INTERVAL, tick_order="tick_id")
+
+
+@per_session
+def _fresh_labels(spark, d):
+    return asof.label_articles(dv.publications(spark, d), dv.price_ticks(spark, d),
+                               interval=LABEL_INTERVAL, tick_order="tick_id", max_age=MAX_AGE)
 
 
 @per_session
@@ -243,6 +251,18 @@ def j7_asof_horizon(spark, d):
                            tick_order="tick_id", offset=LABEL_INTERVAL, out="price")
 
 
+@register("j6_asof_fresh")
+def j6_asof_fresh(spark, d):
+    return asof.asof_price(dv.publications(spark, d), dv.price_ticks(spark, d),
+                           tick_order="tick_id", max_age=MAX_AGE, out="price")
+
+
+@register("j7_asof_horizon_fresh")
+def j7_asof_horizon_fresh(spark, d):
+    return asof.asof_price(dv.publications(spark, d), dv.price_ticks(spark, d), tick_order="tick_id",
+                           offset=LABEL_INTERVAL, max_age=MAX_AGE, out="price")
+
+
 # ---- A: aggregations ------------------------------------------------------------------
 
 @register("a1_source_stats")
@@ -511,6 +531,11 @@ def c4_labels(spark, d):
     return _labels(spark, d).select("event_id", "ticker", "ts", "t0", "t1", "classification")
 
 
+@register("c4_labels_fresh")
+def c4_labels_fresh(spark, d):
+    return _fresh_labels(spark, d).select("event_id", "ticker", "ts", "t0", "t1", "classification")
+
+
 @register("c5_summary")
 def c5_summary(spark, d):
     arts = _documents_labelled(spark, d)
