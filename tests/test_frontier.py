@@ -68,3 +68,39 @@ def test_company_joins(spark):
     assert got == {"wsj": "www.wsj.com", "WSJ": None, "nope": None}
     h = spark.createDataFrame([("www.wsj.com",)], "h STRING")
     assert company.source_translation(h, "h", to_host=False).first().source_name == "wsj"
+
+
+def test_bucketed_store_is_read_where_it_lies(spark, tmpdir_path):
+    """The store meets the candidates without an exchange; only they move."""
+    import os
+    from tickerwire.sources import parsed_store
+    old = [("aaa", "WSJ", f"http://x/{i % 50}") for i in range(120)] + [(None, "wsj", "http://x/1"), ("BBB", "wsj", None)]
+    name, path = "parsed_urls_test", os.path.join(tmpdir_path, "store")
+    assert parsed_store.attach(spark, name, path, 8).count() == 0
+    for part in (old[:70], old[70:]):
+        parsed_store.append(spark.createDataFrame(part, "ticker STRING, source STRING, url STRING"), name, 8)
+    # another session finds the same buckets
+    other = spark.newSession()
+    other.sql(f"DROP TABLE IF EXISTS {name}")
+    store = parsed_store.attach(spark, name, path, 8)
+    assert store.count() == len(old) and {r.source for r in store.collect()} == {"wsj"}
+    rows = [("AAA", f"http://x/{i % 60}") for i in range(150)] + [("bbb", "http://x/3"), (None, "http://x/1"), ("BBB", None)]
+    cands = spark.createDataFrame(rows, "ticker STRING, url STRING")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = frontier.first_query_only(frontier.drop_parsed(cands.selectExpr("*", "1 AS o"), store, keep_key=True, stored=True), ["o"])
+        got = sorted(str((r.ticker, r.url)) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    seen = {(t and t.upper(), u) for t, _, u in old if t and u}
+    want = [r for r in rows if not (r[0] and (r[0].upper(), r[1]) in seen)]
+    assert got == sorted(map(str, want))
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+    new = parsed_store.compact(spark, name, name + "_2", path + "2", 8)
+    assert new.count() == 52
+    compacted = spark.table(name).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in compacted
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"DROP TABLE {name}_2")

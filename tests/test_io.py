@@ -152,3 +152,24 @@ def test_nested_parts_are_bounded_for_a_hot_key(spark):
     assert len(hot_sizes) >= 15 and sum(hot_sizes) == 3000
     assert max(hot_sizes) <= 2 * 200                      # hash parts stay near the bound
     assert all(r.n == 1 for r in sizes if r.ticker != "HOT")
+
+
+def test_one_page_of_a_url_counts(spark):
+    from tickerwire.operators.articles import build_nodes
+    u = "https://www.wsj.com/a/1"
+    html = '<h1 class="wsj-article-headline">{}</h1><time>2024-01-0{}</time>'
+    store = [(u, html.format("old", 1), 1), (u, html.format("mid", 2), 2), (u, html.format("mid", 2), 2), (u, html.format("also mid", 3), 2),
+             (u, html.format("new", 4), 3), (u, None, None), (None, "x", 1)]
+    pages = spark.createDataFrame(store, "url STRING, html STRING, v INT")
+    urls = spark.createDataFrame([("T", "wsj", u), ("T", "wsj", u), ("T", "wsj", "https://www.wsj.com/a/2"), ("T", "wsj", None)], "ticker STRING, source STRING, url STRING")
+    companies = spark.createDataFrame([("T", "i", "s")], "ticker STRING, industry STRING, sector STRING")
+    def titles(**how):
+        return sorted(r.title for r in build_nodes(urls, pages, companies, **how).collect())
+    assert titles(version="v") == ["new"] * 2 and titles(version="v", at="1") == ["old"] * 2
+    mid = titles(version="v", at="2")
+    assert mid in (["mid"] * 2, ["also mid"] * 2) and mid == titles(version="v", at="2")
+    assert len(set(titles())) == 1 and len(titles()) == 2
+    for how in ({}, {"version": "v"}, {"version": "v", "at": "2"}):
+        rows_ = files.page_scan(urls, pages, **how).collect()
+        assert len(rows_) == 4 and [r.reject_reason for r in rows_].count("fetch") == 2
+    assert files.page_scan(urls, pages, version="v", at="1").where("html is not null").first().html == html.format("old", 1)

@@ -13,6 +13,7 @@ from tickerwire.operators.extract import has_title_selector, result_links, with_
 from tickerwire.operators.frontier import drop_parsed, first_query_only
 from tickerwire.operators.stats import source_stats
 from tickerwire.options import Options
+from tickerwire.sources.files import latest_versions
 
 # Node attributes in alphabetical order (the export order).
 NODE_COLUMNS = ["ArticleName", "Industry", "NewsSource", "PublishDate", "Sector",
@@ -57,14 +58,15 @@ def productive_only(df: DataFrame, nodes: DataFrame,
 
 
 def candidate_urls(queries: DataFrame, results: DataFrame, parsed: DataFrame | None = None,
-                   order_cols: tuple[str, ...] = ("ticker_pos", "source_pos", "sub")) -> DataFrame:
+                   order_cols: tuple[str, ...] = ("ticker_pos", "source_pos", "sub"), stored: bool = False) -> DataFrame:
     """Result links of each query (H4, F4, P11), kept when of the
     query's source (P4), minus URLs parsed before for the ticker (J2), and a
     URL met by several queries of one ticker only under the first (D16).
 
     ``queries``: (ticker, source, string, *order_cols); ``results``:
     (ticker, source, string, html) — the stored result page of a query.
-    Output: query columns + (link_pos, url)."""
+    ``stored``: ``parsed`` is a bucketed store. Output: query columns +
+    (link_pos, url)."""
     # links come out of the (wide) result pages first, in the scan stage;
     # only the narrow link rows meet the query list in the shuffle join
     res = results.select("ticker", "source", "string", "html")
@@ -72,20 +74,22 @@ def candidate_urls(queries: DataFrame, results: DataFrame, parsed: DataFrame | N
     q = queries.select("ticker", "source", "string", *order_cols)
     links = links.join(q, ["ticker", "source", "string"])
     if parsed is not None:
-        links = drop_parsed(links, parsed, keep_key=True)
+        links = drop_parsed(links, parsed, keep_key=True, stored=stored)
     return first_query_only(links, list(order_cols))
 
 
-def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
-                opts: Options = Options(), keep_rejected: bool = False) -> DataFrame:
+def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame, opts: Options = Options(),
+                keep_rejected: bool = False, at: str | None = None, version: str | None = None) -> DataFrame:
     """For each non-homepage candidate URL (not P5), look the page up
     (S10), extract title (H2) and date (H3), attach company fields (J3) and
     apply the optional checks (P6/P7, P8, P9). Title and date are
     extracted once per distinct (url, source). The URL set meets the page
     store without a hint: the planner broadcasts it when it is small enough.
 
-    ``candidates``: (ticker, source, url, ...); ``pages``: (url, html);
-    ``companies``: (ticker, industry, sector).
+    ``candidates``: (ticker, source, url, ...); ``pages``: (url, html), with a
+    ``version`` column where the store keeps several pages of a URL: the last
+    one at or before ``at`` is used, the newest without ``at``. A URL gives one
+    node whatever the store holds. ``companies``: (ticker, industry, sector).
     Output: candidate columns + title, publish_date, industry, sector,
     reject_reason. Only accepted rows (null reason) unless ``keep_rejected``,
     which keeps one row per candidate, homepages included."""
@@ -100,6 +104,8 @@ def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
     # queries (a hot copy) is fetched and parsed once, and only the narrow
     # extracted fields travel back to the candidate rows.
     wanted = c.filter("_fetch").select("url", "source").distinct()
+    if version:
+        pages = latest_versions(pages, wanted, at, version)
     p = pages.select(F.col("url").alias("_purl"), F.col("html").alias("_html"))
     got = wanted.join(p, wanted["url"] == p["_purl"]).drop("_purl")
     got = with_clean_html(got, "_html", "_clean")
@@ -108,7 +114,10 @@ def build_nodes(candidates: DataFrame, pages: DataFrame, companies: DataFrame,
     fields = ["url", "source", "title", "publish_date", F.lit(True).alias("_found")]
     if opts.length_check:
         fields.append(F.coalesce(word_count("_body"), F.lit(0)).alias("_words"))
-    got = got.select(*fields)
+    # one page of a URL counts; the join below needs this partitioning anyway
+    got = got.select(*fields, F.xxhash64("_html").alias("_page_hash"))
+    own = [c for c in got.columns if c not in ("url", "source", "_page_hash")]
+    got = got.groupBy("url", "source").agg(F.min_by(F.struct(*own), "_page_hash").alias("_got")).select("url", "source", "_got.*")
 
     j = c.join(got, ["url", "source"], "left")
     reason = (F.when(F.col("_home"), F.lit("homepage"))

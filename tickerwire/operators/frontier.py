@@ -48,13 +48,17 @@ def build_queries(tickers: DataFrame, sources: list[str] | None = None, depth: i
                     F.col("q.sub").alias("sub"))
 
 
-def drop_parsed(candidates: DataFrame, parsed: DataFrame, keep_key: bool = False) -> DataFrame:
+def drop_parsed(candidates: DataFrame, parsed: DataFrame, keep_key: bool = False, stored: bool = False) -> DataFrame:
     """Remove candidate URLs already parsed for the (upper-cased)
-    ticker; repeats inside the candidate list stay (bag semantics). The
-    parsed side is reduced to distinct keys with a partial aggregate first.
+    ticker; repeats inside the candidate list stay (bag semantics). With
+    ``stored``, ``parsed`` is a bucketed store (``sources.parsed_store``): its
+    tickers are upper case and it is read where it lies, without an exchange.
     ``keep_key`` keeps the join key column ``_t`` (upper ticker) so a later
     step keyed by (``_t``, url) reuses this join's partitioning."""
-    seen = parsed.select(F.upper("ticker").alias("_t"), "url").distinct()
+    ticker = F.col("ticker") if stored else F.upper("ticker")
+    seen = parsed.select(ticker.alias("_t"), "url")
+    if not stored:   # a plain list may hold a URL many times: combine before the shuffle
+        seen = seen.distinct()
     out = candidates.withColumn("_t", F.upper("ticker")).join(seen, ["_t", "url"], "left_anti")
     return out if keep_key else out.drop("_t")
 

@@ -16,7 +16,7 @@ from tickerwire.operators import articles, asof, company, extract, frontier, sta
 from tickerwire.functions.rows import compute_once
 from tickerwire.options import Options
 from tickerwire.plans import derived as dv
-from tickerwire.sources import files, registry
+from tickerwire.sources import files, parsed_store, registry
 from tickerwire.session import per_session, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,6 +128,13 @@ def s10_page_scan(spark, d):
                           F.col("html").isNotNull().alias("has_page"), "reject_reason")
 
 
+@register("s10_versions")
+def s10_versions(spark, d):
+    cands = _batch(spark, d)["candidates"].select("ticker", "source", "url", "link_pos")
+    scanned = files.page_scan(cands, dv.page_versions(spark, d), at=dv.VERSION_AT, version="fetched_at")
+    return scanned.select("ticker", "source", "url", "link_pos", F.md5("html").alias("html_md5"), "reject_reason")
+
+
 @register("s11_nested")
 def s11_nested(spark, d):
     nested = files.nested_articles(articles.to_nodes(_batch(spark, d)["nodes"]))
@@ -220,6 +227,21 @@ def j2_anti_join(spark, d):
     return frontier.drop_parsed(links, dv.parsed_before(spark, d))
 
 
+@register("j2_bucketed_store")
+def j2_bucketed_store(spark, d):
+    """J2 against the bucketed store: the parsed URLs are appended to it in two
+    parts, and the run's links meet it where it lies."""
+    base = _scratch_dir(spark, "parsed-store")
+    name = "parsed_" + base.rsplit("-", 1)[1]
+    parsed_store.attach(spark, name, base, 16)
+    before = dv.parsed_before(spark, d)
+    even = F.pmod(F.xxhash64("url"), F.lit(2)) == 0
+    parsed_store.append(before.filter(even), name, 16)
+    parsed_store.append(before.filter(~even), name, 16)
+    links = extract.result_links(dv.search_results(spark, d)).select("page_id", "ticker", "source", "link_pos", "url")
+    return frontier.drop_parsed(links, spark.table(name), stored=True)
+
+
 @register("j3_company")
 def j3_company(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", dv.letters(F.col("o_custkey")).alias("ticker"))
@@ -521,6 +543,14 @@ def c2_nodes_checked(spark, d):
     return _nodes(spark, d, opts)
 
 
+@register("c2_versions")
+def c2_versions(spark, d):
+    """C2 over a store that keeps several versions of a page."""
+    n = articles.build_nodes(_batch(spark, d)["candidates"], dv.page_versions(spark, d), dv.companies(spark, d),
+                             at=dv.VERSION_AT, version="fetched_at")
+    return articles.to_nodes(n).withColumn("PublishDate", F.date_format("PublishDate", "yyyy-MM-dd"))
+
+
 @register("c3_run_batch")
 def c3_run_batch(spark, d):
     return _batch(spark, d)["stats"]

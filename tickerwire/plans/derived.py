@@ -48,6 +48,7 @@ NESTED_DATE = {"reuters": '<div class="stamp">at</div> '}
 DATE_FORMATS = ["yyyy-MM-dd", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "M/d/yyyy"]
 DECOY_DATE = "1/1/1999"
 PARSED_BEFORE = "2024-01-05"
+VERSION_AT = "2024-02-20"
 
 
 def letters(c: Column) -> Column:
@@ -116,6 +117,22 @@ def news_pages(spark: SparkSession, d: str) -> DataFrame:
                     pub.alias("pub_date"), has_date.alias("has_date"), html.alias("html"))
 
 
+@per_session
+def page_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A store of page versions (url, html, fetched_at): a draft of every news
+    page, the page itself but for every fifth, and one fetched after the run.
+    What the run at VERSION_AT must see is the page, or the draft where there
+    is nothing later; repeated rows are stored twice for every fourth page."""
+    n = news_pages(spark, d)
+    changed = lambda mark: F.replace(F.replace("html", F.lit("</h1>"), F.lit(f" {mark}</h1>")), F.lit("</title>"), F.lit(f" {mark}</title>"))
+    page = F.when(F.col("page_id") % 5 != 0, F.col("html"))
+    each = [(changed("(draft)"), "2024-01-10"), (page, "2024-02-10"), (F.when(F.col("page_id") % 4 == 0, page), "2024-02-10"),
+            (changed("(late)"), "2024-03-10")]
+    each = F.filter(F.array(*[F.struct(h.alias("html"), F.lit(day).cast("date").alias("fetched_at")) for h, day in each]),
+                    lambda v: v["html"].isNotNull())
+    return n.select("url", F.inline(each))
+
+
 @per_session
 def search_results(spark: SparkSession, d: str) -> DataFrame:
     """Stored search-result page per news page, attached to the query

@@ -144,10 +144,27 @@ def export_survey_json(nodes: DataFrame, path: str) -> None:
     survey_payload(nodes).write.mode("overwrite").text(path)
 
 
-def page_scan(urls: DataFrame, pages: DataFrame) -> DataFrame:
+def latest_versions(pages: DataFrame, wanted: DataFrame, at: str | None = None, version: str = "fetched_at") -> DataFrame:
+    """Of a page store with several versions of a URL, the pages of ``wanted``
+    (url) in their last version at or before ``at`` (the newest without). The
+    choice reads URLs and versions alone; markup is joined to what was chosen.
+    Versions of one URL and time all come back."""
+    narrow = pages.select("url", F.col(version).alias("_version"))
+    if at is not None:
+        narrow = narrow.filter(F.col("_version") <= F.lit(at).cast(narrow.schema["_version"].dataType))
+    chosen = narrow.join(wanted.select("url"), "url", "left_semi").groupBy("url").agg(F.max("_version").alias("_version"))
+    return pages.join(chosen.withColumnRenamed("url", "_wanted"), (F.col("url") == F.col("_wanted")) & (F.col(version) == F.col("_version"))) \
+        .drop("_wanted", "_version")
+
+
+def page_scan(urls: DataFrame, pages: DataFrame, at: str | None = None, version: str | None = None) -> DataFrame:
     """The stored page of each URL (left join on url); a URL without a
-    stored page gets ``reject_reason = 'fetch'``."""
-    p = pages.select(F.col("url").alias("_purl"), "html")
+    stored page gets ``reject_reason = 'fetch'``. Each row gets one page: the
+    last ``version`` at or before ``at`` where the store has versions, and of
+    equal ones that with the least markup."""
+    wanted = urls.select("url").distinct()
+    found = latest_versions(pages, wanted, at, version) if version else pages.join(wanted, "url", "left_semi")
+    p = found.groupBy(F.col("url").alias("_purl")).agg(F.min("html").alias("html"))
     j = urls.join(p, urls["url"] == p["_purl"], "left").drop("_purl")
     return j.withColumn("reject_reason", F.when(F.col("html").isNull(), F.lit("fetch")))
 
