@@ -104,3 +104,11 @@ def test_bucketed_store_is_read_where_it_lies(spark, tmpdir_path):
     assert "Exchange" not in compacted
     spark.sql(f"DROP TABLE {name}")
     spark.sql(f"DROP TABLE {name}_2")
+
+
+def test_repeated_tickers_and_blank_names(spark):
+    t = spark.createDataFrame([("A", 0), ("A", 1), ("B", 2), ("C", 3)], "ticker STRING, ticker_pos BIGINT")
+    names = spark.createDataFrame([("A", "Acme Inc."), ("A", "Acme Inc."), ("B", ""), ("B", " "), ("C", None)], "ticker STRING, name STRING")
+    got = frontier.build_queries(t, ["wsj"], 2, names).orderBy("ticker_pos", "sub").collect()
+    assert [(r.ticker, r.string) for r in got] == [("A", "Acme+wsj+stock+news"), ("A", "A+wsj+stock+articles")] * 2 + [
+        ("B", "B+wsj+stock+articles"), ("C", "C+wsj+stock+articles")]

@@ -1,8 +1,11 @@
 """Streams equal the batch result; a replayed micro-batch is
 harmless."""
 
+import datetime as dt
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tickerwire.operators.articles import build_nodes
@@ -76,3 +79,93 @@ def test_dedupe_stream(spark, tmpdir_path):
     q.awaitTermination()
     got = sorted((r.ticker, r.url) for r in spark.read.parquet(out).collect())
     assert got == [("A", "u1"), ("A", "u2"), ("B", "u1")]
+
+
+def _arrivals(spark):
+    """Four files: a URL found by two queries of one file, and again later."""
+    url = "https://www.reuters.com/a/{}".format
+    return [[("AAA", "reuters", "q1", url(0), 1), ("AAA", "reuters", "q0", url(0), 0), ("AAA", "reuters", "q0", url(0), 0), ("aaa", "reuters", "q2", url(1), 2)],
+            [("aaa", "reuters", "q3", url(1), 0), ("AAA", "reuters", "q3", url(2), 0), ("BBB", "reuters", "q4", url(2), 1), ("AAA", "reuters", "q5", url(99), 2)],
+            [("AAA", "reuters", "q6", url(99), 0), ("AAA", "reuters", "q6", url(3), 0), ("AAA", "reuters", "q7", url(0), 1)],
+            [("AAA", "reuters", "q8", url(i), 0) for i in range(5)]]
+
+
+SCHEMA_ORDERED = SCHEMA + ", pos INT"
+
+
+def test_batches_are_runs_one_after_the_other(spark, tmpdir_path):
+    pages, companies = _inputs(spark)
+    paths = [os.path.join(tmpdir_path, x) for x in ("store", "parsed")]
+    stats = os.path.join(tmpdir_path, "stats")
+    batches = [spark.createDataFrame(b, SCHEMA_ORDERED) for b in _arrivals(spark)]
+
+    def run(n):
+        ingest.ingest_batch(batches[n], n, pages, companies, *paths, order_cols=("pos",), stats_path=stats, compact_every=2, buckets=4)
+
+    def state():
+        nodes = sorted((r.batch_id, r.ticker, r.string, r.url[-2:]) for r in spark.read.parquet(paths[0]).collect())
+        return nodes, sorted(tuple(r) for r in ingest.read_parsed_before(spark, paths[1]).distinct().collect()), sorted(tuple(r) for r in ingest.read_stats(spark, stats).collect())
+
+    for n in range(3):
+        run(n)
+        once = state()
+        run(n)          # a replayed batch changes nothing
+        assert state() == once, n
+    # batch 2 folded batches 0 and 1: they cannot run against their own output
+    assert ingest._numbered(spark, f"{paths[1]}/base", "upto=") == [1] and ingest._numbered(spark, f"{paths[1]}/delta", "batch_id=") == [2]
+    with pytest.raises(ValueError, match="folded"):
+        run(1)
+    run(3)
+    nodes, parsed, totals = state()
+    assert nodes == [(0, "AAA", "q0", "/0"), (0, "AAA", "q0", "/0"), (0, "aaa", "q2", "/1"), (1, "AAA", "q3", "/2"), (1, "BBB", "q4", "/2"),
+                     (2, "AAA", "q6", "/3"), (3, "AAA", "q8", "/4")]
+    # the page 99 does not exist: q5 built nothing, so q6 found its URL again
+    assert totals == [("reuters", 8, 7)] and len(parsed) == 7
+    assert ingest.read_stats(spark, f"{tmpdir_path}/none").count() == 0
+
+
+def test_an_interrupted_fold_changes_nothing(spark, tmpdir_path):
+    pages, companies = _inputs(spark)
+    paths = [os.path.join(tmpdir_path, x) for x in ("store", "parsed")]
+    for n, b in enumerate(_arrivals(spark)[:2]):
+        ingest.ingest_batch(spark.createDataFrame(b, SCHEMA_ORDERED), n, pages, companies, *paths, order_cols=("pos",), buckets=4)
+    before = sorted(map(str, ingest.read_parsed_before(spark, paths[1]).collect()))
+    # a base without its commit mark: written in part, then lost
+    spark.createDataFrame([("X", "y", "z", 1)], "ticker STRING, source STRING, url STRING, bucket INT") \
+        .write.partitionBy("bucket").parquet(f"{paths[1]}/base/upto=1")
+    os.remove(f"{paths[1]}/base/upto=1/_SUCCESS")
+    assert sorted(map(str, ingest.read_parsed_before(spark, paths[1]).collect())) == before
+    ingest.compact_parsed(spark, paths[1], 2)
+    assert sorted(map(str, ingest.read_parsed_before(spark, paths[1]).collect())) == sorted(set(before))
+
+
+def _horizon(rows, hours):
+    """In order of time a row stays unless one of its key stayed within the horizon before."""
+    last, stay = {}, []
+    for i, key, ts in sorted(rows, key=lambda r: r[2]):
+        if key not in last or ts > last[key] + dt.timedelta(hours=hours):
+            last[key] = ts
+            stay.append(i)
+    return sorted(stay)
+
+
+def test_horizon_does_not_depend_on_batch_borders(spark, tmpdir_path):
+    r = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    times = sorted(r.sample(range(60 * 24 * 5), 200))
+    rows = [(i, r.choice(["a", "b", "c", None]), base + dt.timedelta(minutes=m)) for i, m in enumerate(times)]
+    schema = "id INT, key STRING, ts TIMESTAMP"
+    for k, borders in enumerate(([200], [50, 100, 150, 200], [1, 2, 9, 130, 131, 200])):
+        land = os.path.join(tmpdir_path, f"land{k}")
+        start = 0
+        for n, end in enumerate(borders):
+            part = rows[start:end]
+            r.shuffle(part)
+            spark.createDataFrame(part, schema).coalesce(1).write.parquet(os.path.join(land, f"f{n}"))
+            start = end
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(os.path.join(land, "*"))
+        out = os.path.join(tmpdir_path, f"out{k}")
+        q = (ingest.dedupe_horizon_stream(s, ["key"], "ts", "7 hours").writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", os.path.join(tmpdir_path, f"ck{k}")).trigger(availableNow=True).start())
+        q.awaitTermination()
+        assert sorted(x.id for x in spark.read.parquet(out).collect()) == _horizon(rows, 7), borders

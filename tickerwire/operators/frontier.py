@@ -16,9 +16,11 @@ def build_queries(tickers: DataFrame, sources: list[str] | None = None, depth: i
     """J1 (+F2, F3): one query per (ticker, source); with depth > 1 and a
     company name, a name query is placed before the ticker query.
 
-    ``tickers``: (ticker[, ticker_pos]); ``names``: (ticker, name), one row
-    per ticker (see ``company.with_name``). The source list is configuration
-    sized, so the fan-out is an ``explode`` of a literal array: no join.
+    ``tickers``: (ticker[, ticker_pos]), repeats give their queries again;
+    ``names``: (ticker, name), of several names of a ticker the least counts
+    (see ``company.with_name``); a blank name gives no query. The source list
+    is configuration sized, so the fan-out is an ``explode`` of a literal
+    array: no join.
 
     Output: ticker, source, string, kind ('name' | 'ticker'), ticker_pos,
     source_pos, sub — (ticker_pos, source_pos, sub) is the run order.
@@ -32,7 +34,8 @@ def build_queries(tickers: DataFrame, sources: list[str] | None = None, depth: i
     fan = fan.select("ticker", "ticker_pos", F.col("s.pos").alias("source_pos"),
                      F.col("s.name").alias("source"))
     if depth > 1 and names is not None:
-        fan = fan.join(names.select("ticker", "name"), "ticker", "left")
+        known = names.filter(F.trim("name") != "").groupBy("ticker").agg(F.min("name").alias("name"))
+        fan = fan.join(known, "ticker", "left")
         by_name = company_query(F.col("name"), F.col("source"))
     else:
         by_name = F.lit(None).cast("string")

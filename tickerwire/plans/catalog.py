@@ -58,6 +58,15 @@ def _batch(spark, d, opts: Options = Options()):
                               c, dv.parsed_before(spark, d), opts)
 
 
+@per_session
+def _batch_depth2(spark, d):
+    """A run with a name query before each ticker query (D16 decides)."""
+    c = dv.companies(spark, d)
+    names = company.with_name(c.select("ticker"), dv.symbols(spark, d))
+    return articles.run_batch(c.select("ticker", "ticker_pos"), dv.NEWS_SOURCES, dv.search_results_by_name(spark, d),
+                              dv.news_pages(spark, d), c, dv.parsed_before(spark, d), Options(depth=2), names)
+
+
 @per_session
 def _labels(spark, d):
     return asof.label_articles(dv.publications(spark, d), dv.price_ticks(spark, d),
@@ -532,6 +541,11 @@ def c1_candidates(spark, d):
     return _batch(spark, d)["candidates"].select("ticker", "source", "string", "link_pos", "url")
 
 
+@register("c1_depth2")
+def c1_depth2(spark, d):
+    return _batch_depth2(spark, d)["candidates"].select("ticker", "source", "string", "link_pos", "url")
+
+
 @register("c2_nodes")
 def c2_nodes(spark, d):
     return _nodes(spark, d)
@@ -556,6 +570,11 @@ def c3_run_batch(spark, d):
     return _batch(spark, d)["stats"]
 
 
+@register("c3_depth2")
+def c3_depth2(spark, d):
+    return _batch_depth2(spark, d)["stats"]
+
+
 @register("c4_labels")
 def c4_labels(spark, d):
     return _labels(spark, d).select("event_id", "ticker", "ts", "t0", "t1", "classification")
@@ -601,17 +620,75 @@ def t2_stats_stream(spark, d):
     return ingest.read_latest_version(spark, f"{base}/out")
 
 
+def _landed(df: DataFrame, part, parts: int, base: str) -> str:
+    """``df`` as files that arrive one after the other, by number ``part``."""
+    staged = df.withColumn("_part", part)
+    for n in range(parts):   # a job each: the files' times give the order of arrival
+        staged.filter(F.col("_part") == n).drop("_part").repartition(1).write.parquet(f"{base}/file={n}")
+    return f"{base}/file=*"
+
+
+def _streamed(df: DataFrame, spark: SparkSession, base: str) -> DataFrame:
+    q = (df.writeStream.format("parquet").option("path", f"{base}/out")
+         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
 @register("t3_dedupe_stream")
 def t3_dedupe_stream(spark, d):
     """(user, event type) repeats dropped within a one-day watermark."""
     from tickerwire.streaming import ingest
     e = _event_stream(spark, d).select("user_id", "event_type", "ts")
     dd = ingest.dedupe_stream(e, ["user_id", "event_type"], "ts", "1 day").drop("ts")
-    base = _scratch_dir(spark, "dedupe")
-    q = (dd.writeStream.format("parquet").option("path", f"{base}/out")
-         .option("checkpointLocation", f"{base}/ckpt").trigger(availableNow=True).start())
+    return _streamed(dd, spark, _scratch_dir(spark, "dedupe"))
+
+
+@register("t3_horizon_stream")
+def t3_horizon_stream(spark, d):
+    """T3 by the exact horizon rule, over four files in order of event time,
+    one per micro-batch."""
+    from tickerwire.streaming import ingest
+    base = _scratch_dir(spark, "horizon")
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    span = e.select(F.struct(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi"))).scalar()
+    part = F.floor((F.unix_micros("ts") - span["lo"]) * 4 / (span["hi"] - span["lo"] + 1)).cast("int")
+    landing = _landed(e, part, 4, f"{base}/landing")
+    stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    kept = ingest.dedupe_horizon_stream(stream, ["user_id", "event_type"], "ts", "5 days")
+    return _streamed(kept, spark, base).select("event_id", "user_id", "event_type")
+
+
+def _ingested(spark, d):
+    """The links of a run with name queries land in three files, a query's
+    whole in one, and are ingested file by file: URLs repeat within a file
+    (two queries) and across files. Returns the folder of the stores."""
+    from tickerwire.streaming import ingest
+    base = _scratch_dir(spark, "repeats")
+    c = dv.companies(spark, d)
+    links = extract.result_links(dv.search_results_by_name(spark, d)).filter(urls.is_of_source("url", "source"))
+    links = links.join(_queries_depth2(spark, d), ["ticker", "source", "string"]).select(
+        "ticker", "source", "string", "url", "ticker_pos", "source_pos", "sub")
+    # every third ticker's name query arrives with its ticker query, others before it
+    part = F.when(F.col("sub") == 0, F.pmod("ticker_pos", F.lit(3)) % 2).otherwise(F.pmod("ticker_pos", F.lit(3)))
+    landing = _landed(links, part.cast("int"), 3, f"{base}/landing")
+    q = ingest.ingest_stream(spark, landing, links.schema, dv.news_pages(spark, d).select("url", "html"), c, f"{base}/store",
+                             f"{base}/parsed", f"{base}/ckpt", max_files_per_trigger=1, stats_path=f"{base}/stats",
+                             order_cols=("ticker_pos", "source_pos", "sub"), compact_every=2)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return base
+
+
+@register("t1_repeats")
+def t1_repeats(spark, d):
+    nodes = spark.read.parquet(f"{_ingested(spark, d)}/store")
+    return nodes.select("batch_id", "ticker", "source", "string", "url", "title", _day("publish_date"))
+
+
+@register("t1_stats")
+def t1_stats(spark, d):
+    from tickerwire.streaming import ingest
+    return ingest.read_stats(spark, f"{_ingested(spark, d)}/stats")
 
 
 @register("t1_ingest_stream")

@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerwire.functions.text import query_string
+from tickerwire.functions.text import company_query, query_string
+from tickerwire.operators.company import with_name
 from tickerwire.session import per_session, table
 
 # Fixed values of the derivation (mirrored in plans.oracle).
@@ -159,6 +160,17 @@ def search_results(spark: SparkSession, d: str) -> DataFrame:
                     html.alias("html"))
 
 
+@per_session
+def search_results_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Result pages of a run with name queries: a company whose name is known
+    is searched by it too, and the name query finds the page of the ticker
+    query, so every such URL is met by two queries of its ticker."""
+    r = search_results(spark, d)
+    names = with_name(companies(spark, d).select("ticker"), symbols(spark, d)).filter(F.col("name").isNotNull())
+    by_name = r.join(names, "ticker").withColumn("string", company_query(F.col("name"), F.col("source"))).drop("name")
+    return r.unionByName(by_name.select(*r.columns))
+
+
 @per_session
 def parsed_before(spark: SparkSession, d: str) -> DataFrame:
     """URLs parsed by an earlier run: news pages published before a cut-off

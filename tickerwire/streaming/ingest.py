@@ -1,90 +1,167 @@
 """Incremental ingestion with Structured Streaming: T1-T3.
 
 T1 turns the batch job into micro-batches: each batch of candidate URLs is
-deduplicated against everything parsed by *earlier* batches, built into
-nodes and written. foreachBatch is at-least-once, so every output is written
-with ``overwrite`` into a ``batch_id=N`` directory and the anti-join reads
-only ``batch_id < N``: a replayed batch rewrites the same rows instead of
-removing or duplicating them. The parsed store is further partitioned by a
-hash bucket of the ticker so that a batch probes only the buckets it needs.
-
-T2 keeps per-source totals as streaming aggregation state (checkpointed),
-T3 bounds the dedupe state with a watermark.
+deduplicated against everything parsed by *earlier* batches, a URL that
+several queries of the batch found stays under the first of them (D16), nodes
+are built and written, with the batch's totals per source. foreachBatch is
+at-least-once, so every output is written with ``overwrite`` into a
+``batch_id=N`` directory and batch N reads only what batches below N wrote: a
+replayed batch rewrites the same rows instead of removing or duplicating them.
+
+The parsed store is a base (the distinct URLs of all batches up to one) and
+the deltas after it, both laid out by a hash bucket of the ticker, so a batch
+probes only the buckets it needs. Every ``compact_every`` batches the deltas
+are folded into a new base; a base counts once its write has committed, and a
+batch that a base already holds is refused instead of being run against its
+own output.
+
+T2 keeps per-source totals as streaming aggregation state (checkpointed).
+T3 drops repeats of a key: ``dedupe_stream`` with the built-in operator, whose
+answer for repeats beyond the horizon depends on where micro-batches end, and
+``dedupe_horizon_stream`` by an exact rule of event time that does not.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickerwire.operators.articles import build_nodes, productive_only
+from tickerwire.operators.articles import build_nodes, query_outcomes
+from tickerwire.operators.frontier import first_query_only
 from tickerwire.operators.stats import source_stats
 from tickerwire.options import Options
 from tickerwire.sources.files import PARSED_SCHEMA
 
-
 # the parsed store is laid out by a hash bucket of the upper-cased ticker
 PARSED_BUCKETS = 64
-
-
-def _bucket(ticker_col: Column) -> Column:
-    return F.pmod(F.xxhash64(F.upper(ticker_col)), F.lit(PARSED_BUCKETS)).cast("int")
-
-
-def _read_store(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.parquet(path)
-    except Exception as exc:  # a store that does not exist yet is empty
-        if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc) \
-                or "UNABLE_TO_INFER_SCHEMA" in str(exc):
-            return spark.createDataFrame([], PARSED_SCHEMA + ", batch_id INT, bucket INT")
-        raise
+COMPACT_EVERY = 50
+STATS_SCHEMA = "source STRING, num_urls BIGINT, num_nodes BIGINT"
+
+
+def _bucket(ticker_col: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.upper(ticker_col)), F.lit(buckets)).cast("int")
+
+
+def _numbered(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    """Numbers N of the committed directories ``folder/<prefix>N``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    done = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS"))
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix) and done(n))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def read_parsed_before(spark: SparkSession, parsed_path: str, batch_id: int | None = None) -> DataFrame:
+    """(ticker, source, url, bucket) parsed by batches below ``batch_id`` (by
+    all without): the newest base and the deltas after it."""
+    bases = _numbered(spark, f"{parsed_path}/base", "upto=")
+    upto = bases[-1] if bases else -1
+    if batch_id is not None and upto >= batch_id:
+        raise ValueError(f"batch {batch_id} is folded into the base up to batch {upto} and cannot run again")
+    deltas = [n for n in _numbered(spark, f"{parsed_path}/delta", "batch_id=") if n > upto and (batch_id is None or n < batch_id)]
+    folders = [f"{parsed_path}/base/upto={upto}"] * bool(bases) + [f"{parsed_path}/delta/batch_id={n}" for n in deltas]
+    schema = f"{PARSED_SCHEMA}, bucket INT"
+    out = spark.createDataFrame([], schema)
+    for f in folders:   # bounded by compact_every
+        out = out.unionByName(spark.read.schema(schema).parquet(f))
+    return out
+
+
+def compact_parsed(spark: SparkSession, parsed_path: str, batch_id: int) -> None:
+    """Fold what batches below ``batch_id`` parsed into a new base, then drop
+    what it replaces. To be called before batch ``batch_id`` runs, when all
+    below it have committed; a fold that is interrupted leaves the old base and
+    the deltas in force."""
+    deltas = [n for n in _numbered(spark, f"{parsed_path}/delta", "batch_id=") if n < batch_id]
+    if not deltas:
+        return
+    bases = _numbered(spark, f"{parsed_path}/base", "upto=")
+    rows = read_parsed_before(spark, parsed_path, batch_id).distinct()
+    (rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket")
+     .parquet(f"{parsed_path}/base/upto={deltas[-1]}"))
+    for n in deltas:
+        _delete(spark, f"{parsed_path}/delta/batch_id={n}")
+    for n in bases:
+        if n < deltas[-1]:
+            _delete(spark, f"{parsed_path}/base/upto={n}")
 
 
 def ingest_batch(batch: DataFrame, batch_id: int, pages: DataFrame, companies: DataFrame,
                  store_path: str, parsed_path: str, opts: Options = Options(),
-                 keys: tuple[str, ...] = ("ticker", "source", "string")) -> None:
+                 keys: tuple[str, ...] = ("ticker", "source", "string"), order_cols: tuple[str, ...] = (),
+                 stats_path: str | None = None, compact_every: int = COMPACT_EVERY, buckets: int = PARSED_BUCKETS) -> None:
     """One T1 micro-batch (also usable on its own as a batch step).
 
-    The parsed store (``parsed_path/batch_id=N/bucket=B``) is read only in
-    the buckets the batch's tickers fall into: their ids (at most
-    PARSED_BUCKETS small integers, a planning input) become a partition
-    filter, so a batch scans the slice of the store it can hit, not all of
-    it. The probe is a semi-join on (bucket, ticker, url)."""
+    ``batch``: (ticker, source, string, url, *order_cols); ``order_cols`` is
+    the run order of the queries, by which a URL belongs to the first query
+    that found it. The parsed store is read only in the buckets the batch's
+    tickers fall into: their ids (at most ``buckets`` small integers, a
+    planning input) become a partition filter, so a batch scans the slice of
+    the store it can hit, not all of it."""
     spark = batch.sparkSession
+    done = _numbered(spark, f"{parsed_path}/delta", "batch_id=")
+    if len([n for n in done if n < batch_id]) >= compact_every:
+        compact_parsed(spark, parsed_path, batch_id)
     key_cols = ["bucket", "_t", "url"]
-    b = batch.withColumn("_t", F.upper("ticker")).withColumn("bucket", _bucket(F.col("ticker")))
-    touched = [r[0] for r in b.select("bucket").distinct().collect()]   # <= PARSED_BUCKETS ints
-    earlier = (_read_store(spark, parsed_path)
-               .filter((F.col("batch_id") < batch_id) & F.col("bucket").isin(touched)))
+    b = batch.withColumn("_t", F.upper("ticker")).withColumn("bucket", _bucket(F.col("ticker"), buckets))
+    touched = [r[0] for r in b.select("bucket").distinct().collect()]   # <= buckets ints
+    earlier = read_parsed_before(spark, parsed_path, batch_id).filter(F.col("bucket").isin(touched))
     hits = (earlier.select("bucket", F.upper("ticker").alias("_t"), "url")
             .join(b.select(*key_cols).distinct(), key_cols, "left_semi"))
-    fresh = b.join(hits.distinct(), key_cols, "left_anti").drop("_t", "bucket")
-    nodes = build_nodes(fresh, pages, companies, opts).persist()
+    fresh = b.join(hits.distinct(), key_cols, "left_anti").drop("bucket")
+    fresh = first_query_only(fresh, list(order_cols)) if order_cols else fresh.drop("_t")
+    outcomes = build_nodes(fresh, pages, companies, opts, keep_rejected=True).persist()
     try:
+        nodes = outcomes.filter(F.col("reject_reason").isNull())
         nodes.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
-        parsed = productive_only(fresh, nodes, keys).select(
+        productive = query_outcomes(outcomes, keys).filter(F.col("nodes_built") > 0)
+        if stats_path:
+            source_stats(productive.select("source", F.col("urls_found").alias("num_urls"), F.col("nodes_built").alias("num_nodes"))) \
+                .write.mode("overwrite").parquet(f"{stats_path}/batch_id={batch_id}")
+        parsed = outcomes.join(productive.select(*keys), list(keys), "left_semi").select(
             F.upper("ticker").alias("ticker"), F.lower("source").alias("source"), "url")
-        (parsed.withColumn("bucket", _bucket(F.col("ticker"))).write.mode("overwrite")
-         .partitionBy("bucket").parquet(f"{parsed_path}/batch_id={batch_id}"))
+        # the parsed URLs last: a batch that fails before them is run again as a whole
+        (parsed.withColumn("bucket", _bucket(F.col("ticker"), buckets)).write.mode("overwrite")
+         .partitionBy("bucket").parquet(f"{parsed_path}/delta/batch_id={batch_id}"))
     finally:
-        nodes.unpersist()
+        outcomes.unpersist()
+
+
+def read_stats(spark: SparkSession, stats_path: str) -> DataFrame:
+    """A1 over all batches: every batch's totals are kept once, under its
+    number, and added up when read."""
+    batches = _numbered(spark, stats_path, "batch_id=")
+    if not batches:
+        return spark.createDataFrame([], STATS_SCHEMA)
+    return source_stats(spark.read.schema(STATS_SCHEMA).parquet(*[f"{stats_path}/batch_id={n}" for n in batches]))
 
 
 def ingest_stream(spark: SparkSession, landing_path: str, schema: str, pages: DataFrame,
                   companies: DataFrame, store_path: str, parsed_path: str, checkpoint: str,
                   opts: Options = Options(), max_files_per_trigger: int | None = None,
-                  available_now: bool = True) -> StreamingQuery:
-    """Candidate URL files landing in ``landing_path`` -> article store
-    and parsed-URL store, exactly the batch result once all files are in."""
+                  available_now: bool = True, **how) -> StreamingQuery:
+    """Candidate URL files landing in ``landing_path`` -> article store,
+    parsed-URL store and totals, as if each file were a run after the ones
+    before it. ``how``: further arguments of ``ingest_batch``."""
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(landing_path)
 
     def run(batch_df: DataFrame, batch_id: int) -> None:
-        ingest_batch(batch_df, batch_id, pages, companies, store_path, parsed_path, opts)
+        ingest_batch(batch_df, batch_id, pages, companies, store_path, parsed_path, opts, **how)
 
     w = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w
@@ -122,10 +199,43 @@ def dedupe_stream(urls: DataFrame, keys: list[str], event_time: str,
                   horizon: str = "1 day") -> DataFrame:
     """Drop repeats of ``keys`` seen within ``horizon`` of event time;
     state older than the watermark is dropped, so a repeat arriving later
-    than the horizon is kept. Event time must be TIMESTAMP (an NTZ column is
+    than the horizon is kept. The watermark moves between micro-batches only:
+    a repeat beyond the horizon is dropped where both fall into one batch and
+    kept where they do not. Event time must be TIMESTAMP (an NTZ column is
     cast with the session time zone)."""
     ts = F.col(event_time).cast("timestamp")
     return (urls.withColumn("_event_time", ts)
             .withWatermark("_event_time", horizon)
             .dropDuplicatesWithinWatermark(keys)
             .drop("_event_time"))
+
+
+def _within(horizon: pd.Timedelta):
+    def kept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames)).sort_values("_event_time", kind="stable")
+        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        stay = []
+        for t in rows["_event_time"]:
+            stay.append(last is None or t > last + horizon)
+            last = t if stay[-1] else last
+        state.update((last.value // 1000,))
+        state.setTimeoutTimestamp(max(int((last + horizon).timestamp() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield rows[stay]
+    return kept
+
+
+def dedupe_horizon_stream(urls: DataFrame, keys: list[str], event_time: str, horizon: str = "1 day",
+                          late: str = "0 seconds") -> DataFrame:
+    """T3 by an exact rule: in order of event time a row stays unless a row of
+    its key stayed at most ``horizon`` before it. Rows may arrive out of order
+    within a micro-batch, and across micro-batches by no more than ``late``;
+    then the result does not depend on where batches end. The state is one
+    time per key of the last horizon. Null event times are dropped."""
+    rows = (urls.withColumn("_event_time", F.col(event_time).cast("timestamp")).filter(F.col("_event_time").isNotNull())
+            .withWatermark("_event_time", late))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return (rows.groupBy(*keys).applyInPandasWithState(_within(pd.Timedelta(horizon)), out, "last BIGINT", "append",
+                                                       GroupStateTimeout.EventTimeTimeout).drop("_event_time"))
