@@ -69,6 +69,12 @@ def registry_host(source) -> Column:
     return F.try_element_at(mapping, _c(source))
 
 
+def site_of(url) -> Column:
+    """Source whose registered host is the URL's, else null."""
+    mapping = F.create_map(*[F.lit(x) for source, host in HOSTS for x in (host, source)])
+    return F.try_element_at(mapping, url_hostname(url))
+
+
 def is_valid_url(url, source, curious: bool | Column = False) -> Column:
     """http(s) scheme, non-empty host, and host equal to the source's
     registered host unless ``curious``."""

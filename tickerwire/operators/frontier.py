@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerwire.functions.text import company_query, query_string
+from tickerwire.functions.text import company_query, querify, query_string
 from tickerwire.sources.registry import VALID_SOURCES
 
 
@@ -51,6 +51,16 @@ def build_queries(tickers: DataFrame, sources: list[str] | None = None, depth: i
                     F.col("q.sub").alias("sub"))
 
 
+def own_queries(queries: DataFrame) -> DataFrame:
+    """J1 for queries of the user's own: (ticker, source, string[, query_pos])
+    in place of the generated work list. A null source asks for no particular
+    site. Words are joined as F1 joins them; ``query_pos`` (a tie where it is
+    missing) gives the run order."""
+    pos = F.col("query_pos") if "query_pos" in queries.columns else F.lit(0)
+    return queries.select("ticker", "source", querify("string").alias("string"), F.lit("own").alias("kind"),
+                          pos.cast("bigint").alias("ticker_pos"), F.lit(0).alias("source_pos"), F.lit(0).alias("sub"))
+
+
 def drop_parsed(candidates: DataFrame, parsed: DataFrame, keep_key: bool = False, stored: bool = False) -> DataFrame:
     """Remove candidate URLs already parsed for the (upper-cased)
     ticker; repeats inside the candidate list stay (bag semantics). With

@@ -9,7 +9,8 @@ from dataclasses import dataclass
 class Options:
     # depth > 1 adds a company-name query per (ticker, source)
     depth: int = 1
-    # skip the host check of the URL validity test
+    # take links of any site: neither the source check of result links nor
+    # the host check of the URL validity test applies
     curious: bool = False
     # drop candidates whose URL fails the validity test
     validate_url: bool = False
@@ -18,3 +19,8 @@ class Options:
     # drop articles shorter than min_length words
     length_check: bool = False
     min_length: int = 30
+    # node attributes beside title, date, source, ticker and URL
+    industry: bool = True
+    sector: bool = True
+    # the class of the price move after publication; needs labelled nodes
+    classification: bool = False

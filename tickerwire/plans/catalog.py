@@ -67,6 +67,13 @@ def _batch_depth2(spark, d):
                               dv.news_pages(spark, d), c, dv.parsed_before(spark, d), Options(depth=2), names)
 
 
+@per_session
+def _own_batch(spark, d):
+    """A run of the users' own queries; links of any site are taken."""
+    return articles.run_batch(None, [], dv.own_results(spark, d), dv.news_pages(spark, d), dv.companies(spark, d),
+                              dv.parsed_before(spark, d), Options(curious=True), queries=dv.own_queries(spark, d))
+
+
 @per_session
 def _labels(spark, d):
     return asof.label_articles(dv.publications(spark, d), dv.price_ticks(spark, d),
@@ -541,6 +548,22 @@ def c1_candidates(spark, d):
     return _batch(spark, d)["candidates"].select("ticker", "source", "string", "link_pos", "url")
 
 
+@register("c1_own_queries")
+def c1_own_queries(spark, d):
+    return _own_batch(spark, d)["candidates"].select("ticker", "source", "string", "link_pos", "url")
+
+
+@register("c2_own_queries")
+def c2_own_queries(spark, d):
+    n = articles.to_nodes(_own_batch(spark, d)["nodes"])
+    return n.withColumn("PublishDate", F.date_format("PublishDate", "yyyy-MM-dd"))
+
+
+@register("c3_own_queries")
+def c3_own_queries(spark, d):
+    return _own_batch(spark, d)["yield"]
+
+
 @register("c1_depth2")
 def c1_depth2(spark, d):
     return _batch_depth2(spark, d)["candidates"].select("ticker", "source", "string", "link_pos", "url")
@@ -773,3 +796,15 @@ def s8_export_csv(spark, d):
     path = _scratch_dir(spark, "export")
     files.export_csv(articles.to_nodes(_batch(spark, d)["nodes"]), path)
     return spark.read.option("header", True).option("multiLine", True).csv(path)
+
+
+@register("s8_export_labelled")
+def s8_export_labelled(spark, d):
+    """Articles to labels to CSV: the class of the price move stands in every
+    row, the sector is left out by option."""
+    opts = Options(classification=True, sector=False)
+    labelled = articles.label_nodes(_batch(spark, d)["nodes"], dv.company_ticks(spark, d), interval=LABEL_INTERVAL,
+                                    tick_order="tick_id", max_age=MAX_AGE)
+    path = _scratch_dir(spark, "export-labelled")
+    files.export_csv(articles.to_nodes(labelled, opts), path)
+    return spark.read.option("header", True).option("multiLine", True).options(**files.CSV).csv(path)

@@ -171,6 +171,29 @@ def search_results_by_name(spark: SparkSession, d: str) -> DataFrame:
     return r.unionByName(by_name.select(*r.columns))
 
 
+OWN_WORDS = "most recent articles"
+
+
+@per_session
+def own_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of the user's own (ticker, source, string, query_pos): for every
+    second company one that names no source, for the others one for each of
+    two sources."""
+    c = companies(spark, d)
+    sources = F.when(F.col("ticker_pos") % 2 == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array(F.lit("wsj"), F.lit("reuters")))
+    return c.select("ticker", F.explode(sources).alias("source"),
+                    F.concat("ticker", F.lit(f" {OWN_WORDS}")).alias("string"), F.col("ticker_pos").alias("query_pos"))
+
+
+@per_session
+def own_results(spark: SparkSession, d: str) -> DataFrame:
+    """Result pages of the users' own queries: those of the ticker queries,
+    under the query without a source where the company has one."""
+    r = search_results(spark, d).join(companies(spark, d).select("ticker", "ticker_pos"), "ticker")
+    source = F.when(F.col("ticker_pos") % 2 == 1, F.col("source"))
+    return r.select("page_id", "ticker", source.alias("source"), F.replace(F.concat("ticker", F.lit(f" {OWN_WORDS}")), F.lit(" "), F.lit("+")).alias("string"), "html")
+
+
 @per_session
 def parsed_before(spark: SparkSession, d: str) -> DataFrame:
     """URLs parsed by an earlier run: news pages published before a cut-off
@@ -188,6 +211,12 @@ def price_ticks(spark: SparkSession, d: str) -> DataFrame:
                     F.col("event_id").alias("tick_id"))
 
 
+@per_session
+def company_ticks(spark: SparkSession, d: str) -> DataFrame:
+    """The price ticks under company tickers."""
+    return price_ticks(spark, d).withColumn("ticker", letters(F.col("ticker")))
+
+
 @per_session
 def publications(spark: SparkSession, d: str) -> DataFrame:
     """Article publications: view events (ticker = user)."""

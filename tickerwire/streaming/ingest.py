@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickerwire.operators.articles import build_nodes, query_outcomes
+from tickerwire.operators.articles import build_nodes, parsed_rows, query_outcomes
 from tickerwire.operators.frontier import first_query_only
 from tickerwire.operators.stats import source_stats
 from tickerwire.options import Options
@@ -100,7 +100,7 @@ def compact_parsed(spark: SparkSession, parsed_path: str, batch_id: int) -> None
 
 def ingest_batch(batch: DataFrame, batch_id: int, pages: DataFrame, companies: DataFrame,
                  store_path: str, parsed_path: str, opts: Options = Options(),
-                 keys: tuple[str, ...] = ("ticker", "source", "string"), order_cols: tuple[str, ...] = (),
+                 order_cols: tuple[str, ...] = (),
                  stats_path: str | None = None, compact_every: int = COMPACT_EVERY, buckets: int = PARSED_BUCKETS) -> None:
     """One T1 micro-batch (also usable on its own as a batch step).
 
@@ -126,12 +126,11 @@ def ingest_batch(batch: DataFrame, batch_id: int, pages: DataFrame, companies: D
     try:
         nodes = outcomes.filter(F.col("reject_reason").isNull())
         nodes.write.mode("overwrite").parquet(f"{store_path}/batch_id={batch_id}")
-        productive = query_outcomes(outcomes, keys).filter(F.col("nodes_built") > 0)
+        productive = query_outcomes(outcomes).filter(F.col("nodes_built") > 0)
         if stats_path:
             source_stats(productive.select("source", F.col("urls_found").alias("num_urls"), F.col("nodes_built").alias("num_nodes"))) \
                 .write.mode("overwrite").parquet(f"{stats_path}/batch_id={batch_id}")
-        parsed = outcomes.join(productive.select(*keys), list(keys), "left_semi").select(
-            F.upper("ticker").alias("ticker"), F.lower("source").alias("source"), "url")
+        parsed = parsed_rows(outcomes, productive)
         # the parsed URLs last: a batch that fails before them is run again as a whole
         (parsed.withColumn("bucket", _bucket(F.col("ticker"), buckets)).write.mode("overwrite")
          .partitionBy("bucket").parquet(f"{parsed_path}/delta/batch_id={batch_id}"))
