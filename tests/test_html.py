@@ -218,3 +218,9 @@ def test_references_in_attribute_values(spark):
 def test_hidden_blocks_match_any_case(spark):
     df = spark.createDataFrame([("<SCRIPT>var t='<title>bad</title>'</SCRIPT><title>good</title>",)], "html string")
     assert first(df.select(html.strip_hidden("html").alias("h")), "title", None, None) == ["good"]
+
+
+def test_body_of_a_page_without_an_article(spark):
+    pages = [(1, "<h1>T</h1><nav>n</nav><article>a <b>b</b> c</article>"), (2, "<title>t</title><p>one two</p><script>x y</script><p> three</p>"), (3, "")]
+    df = extract.with_clean_html(spark.createDataFrame([(k, "wsj", h) for k, h in pages], "k INT, source STRING, html STRING"))
+    assert [r.b for r in extract.with_fields(df, body="b").orderBy("k").collect()] == ["a b c", "tone two three", None]

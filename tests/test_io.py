@@ -6,6 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from tickerwire.operators.articles import NODE_COLUMNS
 from tickerwire.sources import files
 
 NODE_SCHEMA = ("ArticleName STRING, Industry STRING, NewsSource STRING, PublishDate DATE, "
@@ -91,21 +92,67 @@ def test_page_scan(spark):
     assert got == {"u1": None, "u2": "fetch"}
 
 
-def test_nested_forms_round_trip(spark):
-    n = _nodes(spark)
-    nested = files.nested_articles(n, max_per_part=1)
-    sizes = {r.store_key: r.n for r in nested.groupBy("store_key").agg(F.sum(F.size("nodes")).alias("n")).collect()}
-    assert sizes == {"AAPL+reuters": 1, "AAPL+wsj": 1, "XOM+reuters": 1}
-    back = nested.select(F.explode("nodes").alias("n")).select("n.*")
-    assert sorted(back.columns) == sorted(n.columns) and back.count() == 3
+NASTY = ['a"b', "a\\", "é\n😀", "", "{}", "a+b", "]", "null"]
 
-    u = spark.createDataFrame([("aapl", "reuters", f"u{i}") for i in range(20)] + [("MSFT", "wsj", "x")],
-                              "ticker STRING, source STRING, url STRING")
-    nu = files.nested_urls(u, max_per_part=5)
-    assert nu.filter("ticker = 'AAPL'").count() > 1                   # a hot ticker is split
-    assert nu.filter("ticker = 'MSFT'").count() == 1
-    flat = sorted(tuple(r) for r in files.flatten_nested_urls(nu).collect())
-    assert flat == sorted([("AAPL", "reuters", f"u{i}") for i in range(20)] + [("MSFT", "wsj", "x")])
+
+def _whole_document(path):
+    """The files' documents put together as their readers do."""
+    def merge(a, b):
+        for k, v in b.items():
+            if isinstance(v, list):
+                a.setdefault(k, []).extend(v)
+            else:
+                merge(a.setdefault(k, {}), v)
+        return a
+    out, names = {}, sorted(x for x in os.listdir(path) if x.startswith("part-"))
+    for name in names:
+        with open(os.path.join(path, name), encoding="utf-8") as f:
+            text = f.read()
+        merge(out, json.loads(text) if text.strip() else {})
+    return out, len(names)
+
+
+def test_nested_articles_are_json_documents(spark, tmpdir_path):
+    import datetime as dt
+    rows = [(f"t{i}", None, s, dt.date(2024, 1, 1 + i % 9), None, t, f"u{i}") for i, (t, s) in enumerate((t, s) for t in NASTY for s in ("wsj", "r"))]
+    rows += [("same", None, "hot", None, None, "HOT", "u")] * 3 + [(f"h{i}", "x", "hot", None, None, "HOT", f"u{i}") for i in range(3000)]
+    rows += [("no key", None, None, None, None, None, "u")]
+    n = spark.createDataFrame(rows, NODE_SCHEMA).repartition(3)
+    path = os.path.join(tmpdir_path, "docs")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        files.write_nested_articles(n, path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    doc, parts = _whole_document(path)
+    key = lambda r: "" if r[5] is None else f"{r[5]}+{r[2]}"
+    want = {}
+    for r in rows:
+        want.setdefault(key(r), []).append(dict(zip(NODE_COLUMNS, (x.isoformat() if isinstance(x, dt.date) else x for x in r))))
+    order = lambda d: {k: sorted(v, key=str) for k, v in d.items()}
+    assert order(doc) == order(want) and parts >= 3       # the hot key goes over several files
+    back = files.read_nested_articles(spark, path)
+    assert sorted(str((r.store_key, r.Url, r.PublishDate)) for r in back.collect()) == sorted(str((key(r), r[6], r[3])) for r in rows)
+    files.write_nested_articles(n.limit(0), os.path.join(tmpdir_path, "none"))
+    assert files.read_nested_articles(spark, os.path.join(tmpdir_path, "none")).count() == 0
+
+
+def test_nested_urls_are_json_documents(spark, tmpdir_path):
+    rows = [("aapl", "Reuters", f"u{i % 15}") for i in range(20)] + [("MSFT", s, u) for s in NASTY for u in (*NASTY, None)]
+    path = os.path.join(tmpdir_path, "urls")
+    files.write_nested_urls(spark.createDataFrame(rows, "ticker STRING, source STRING, url STRING"), path)
+    doc, _ = _whole_document(path)
+    assert set(doc) == {"AAPL", "MSFT"} and doc["AAPL"] == {"reuters": sorted(f"u{i % 15}" for i in range(20))}
+    got = files.read_nested_urls(spark, path).collect()
+    assert sorted(str((r.ticker, r.source, r.url)) for r in got) == sorted(str((t.upper(), s.lower(), u)) for t, s, u in rows)
+    # a document of the old kind, one file written by hand
+    one = os.path.join(tmpdir_path, "links.json")
+    with open(one, "w") as f:
+        json.dump({"A": {"wsj": ["x", "x"], "r": []}, "B": {}}, f, indent=4)
+    assert [tuple(r) for r in files.read_nested_urls(spark, one).collect()] == [("A", "wsj", "x")] * 2
 
 
 def test_write_run_accumulates(spark, tmpdir_path):
@@ -140,18 +187,18 @@ def test_registries_and_exports(spark, tmpdir_path):
     assert len(lines) == 3 and all(set(x) == {"values"} for x in lines)
 
 
-def test_nested_parts_are_bounded_for_a_hot_key(spark):
-    from pyspark.sql import functions as F
-    hot = [("HOT", "reuters", f"u{i}") for i in range(3000)]
-    cold = [(f"C{i}", "wsj", f"v{i}") for i in range(30)]
-    u = spark.createDataFrame(hot + cold, "ticker STRING, source STRING, url STRING")
-    nu = files.nested_urls(u, max_per_part=200)
-    sizes = nu.select("ticker", F.aggregate(F.map_values("urls"), F.lit(0),
-                                            lambda acc, a: acc + F.size(a)).alias("n")).collect()
-    hot_sizes = [r.n for r in sizes if r.ticker == "HOT"]
-    assert len(hot_sizes) >= 15 and sum(hot_sizes) == 3000
-    assert max(hot_sizes) <= 2 * 200                      # hash parts stay near the bound
-    assert all(r.n == 1 for r in sizes if r.ticker != "HOT")
+def test_node_attributes_by_option(spark):
+    from tickerwire.operators.articles import label_nodes, to_nodes
+    from tickerwire.options import Options
+    import datetime as dt
+    df = spark.createDataFrame([("T", None, "wsj", dt.date(2024, 1, 2), "i", "s", "aa", "u"), ("T2", "R", "wsj", None, "i", "s", "aa", "u2")],
+                               "title STRING, source STRING, site STRING, publish_date DATE, industry STRING, sector STRING, ticker STRING, url STRING")
+    ticks = spark.createDataFrame([("AA", dt.datetime(2024, 1, 1, 23), 1.0), ("AA", dt.datetime(2024, 1, 2, 0, 5), 3.0)], "ticker STRING, ts TIMESTAMP, price DOUBLE")
+    assert to_nodes(df).columns == NODE_COLUMNS
+    assert to_nodes(df, Options(industry=False, sector=False)).columns == ["ArticleName", "NewsSource", "PublishDate", "Ticker", "Url"]
+    got = to_nodes(label_nodes(df, ticks), Options(classification=True)).orderBy("Url").collect()
+    assert [(r.Classification, r.NewsSource) for r in got] == [(1, "wsj"), (-1000, "r")]
+    assert [r.Classification for r in to_nodes(label_nodes(df, ticks, max_age="30 minutes"), Options(classification=True)).collect()] == [-1000, -1000]
 
 
 def test_one_page_of_a_url_counts(spark):

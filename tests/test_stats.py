@@ -36,7 +36,9 @@ def test_histogram_matches_numpy(spark):
     const = spark.createDataFrame([(4,), (4,)], "classification INT")
     counts, edges = np.histogram([4, 4], bins=3)
     got = sorted((r.bin, r.n) for r in stats.class_histogram(const).collect())
-    assert got == [(i + 1, int(c)) for i, c in enumerate(counts) if c]
+    assert got == [(i + 1, int(c)) for i, c in enumerate(counts)]
+    none = spark.createDataFrame([(None,), (float("nan"),)], "classification DOUBLE")
+    assert [(r.bin, r.lower, r.n) for r in stats.class_histogram(none, bins=2).orderBy("bin").collect()] == [(1, 0.0, 0), (2, 0.5, 0)]
 
 
 def test_first_match_odd_rows_yield(spark):
@@ -62,3 +64,20 @@ def test_corpus_summary(spark):
     assert got[("source_count", "s2")] == 0.0
     assert got[("mean_len", None)] == 1.5
     assert got[("accuracy", "s1")] == 0.25
+    assert [got[("class_histogram", str(b))] for b in (1, 2, 3)] == [0.0, 1.0, 0.0]
+
+
+def test_groups_come_in_order(spark):
+    """L2: classes and sources ascend."""
+    df = spark.createDataFrame([(s, "a", c) for s, c in zip("zbxaycz", (5, -3, 11, 0, -1000, 2, None))], "source STRING, article STRING, classification INT").repartition(4)
+    assert [r.classification for r in stats.class_counts(df).collect()] == [-1000, -3, 0, 2, 5, 11]
+    for out in (stats.source_counts(df), stats.mean_len_by_source(df)):
+        assert [r.source for r in out.collect()] == sorted(set("zbxayc"))
+
+
+def test_empty_links_are_dropped(spark):
+    """A redirect without a target gives no link."""
+    from tickerwire.operators import extract
+    blocks = "".join(f'<div class="g"><a href="{h}">x</a></div>' for h in ("/url?q=", "/url?q=/", "/url", "", "/url?q=http://a.com/"))
+    df = spark.createDataFrame([(1, blocks)], "k INT, html STRING")
+    assert [r.url for r in extract.result_links(df).orderBy("link_pos").collect()] == ["http://", "http://a.com/"]

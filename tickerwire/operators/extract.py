@@ -46,11 +46,13 @@ def with_fields(df: DataFrame, clean: str = "_clean", html: str = "html", source
     name is given, from one pass over the markup: the title's text (tags
     removed, references decoded, white space collapsed), the first date (F9)
     of the source's date container with its attributes, and the article's
-    text. Sources without a date container are searched whole; a configured
+    text (the page's where it has no ``article``). Sources without a date container are searched whole; a configured
     container that is missing gives null."""
     wanted = {"_title_html": title and _choices("title", source), "_date_html": date and _choices("date", source),
               "_body_html": body and [(None, "article", None, None)]}
     df = with_first(df, clean, {k: c for k, c in wanted.items() if c}, outer=["_date_html"])
+    if body:   # a page without an article element is its own body
+        df = df.withColumn("_body_html", F.coalesce("_body_html", F.col(clean)))
     out = texts_of({n: k for k, n in (("_title_html", title), ("_body_html", body)) if n})
     if date:
         configured = _c(source).isin(*[n for n, *_ in selectors("date")])

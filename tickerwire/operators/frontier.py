@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerwire.functions.text import company_query, querify, query_string
@@ -101,6 +101,6 @@ def shuffle_rows(df: DataFrame, seed: int = 0) -> DataFrame:
     return df.orderBy(F.rand(seed))
 
 
-def head(df: DataFrame, n: int = 5, *keys: str) -> DataFrame:
-    """L3: first n rows in key order (top-k per partition, then merge)."""
-    return df.orderBy(*keys).limit(n)
+def head(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """L3: first n rows in the given order (top-k per partition, then merge)."""
+    return df.orderBy(*order).limit(n)

@@ -51,31 +51,33 @@ def mean_len_by_source(df: DataFrame, text: str = "article", by: str = "source")
 
 
 def class_histogram(df: DataFrame, col: str = "classification", bins: int = 3) -> DataFrame:
-    """Equal-width bin counts between the column's min and max; the last
-    bin is closed on the right; a constant column is binned over
-    [v - 0.5, v + 0.5] as numpy does.
-
-    min and max come from one scalar subquery (a global partial aggregate),
-    so the data is never gathered into one partition."""
+    """Equal-width bin counts between the column's min and max, empty bins
+    included; the last bin is closed on the right; a constant column is binned
+    over [v - 0.5, v + 0.5] and an empty one over [0, 1], as numpy does. NaN
+    counts as missing.
+
+    One partial aggregate per distinct value feeds the edges (a scalar
+    subquery) and the counts, which are joined to generated bins; the two share
+    its shuffle stage, and the data is never gathered into one partition."""
     x = F.col(col).cast("double")
-    # one partial aggregate per distinct value feeds both the edges (scalar
-    # subquery) and the bins; the two share its shuffle stage
-    per_value = (df.select(x.alias("_x")).filter(F.col("_x").isNotNull())
+    per_value = (df.select(x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
                  .groupBy("_x").agg(F.count(F.lit(1)).alias("_n")))
+    return _histogram(per_value, bins)
+
+
+def _histogram(per_value: DataFrame, bins: int) -> DataFrame:
+    """A7 from (_x, _n): values and how often they occur."""
     lo0, hi0 = F.min("_x"), F.max("_x")
-    # numpy widens an empty range to [v - 0.5, v + 0.5]
-    edges = per_value.select(F.struct(
-        F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0).alias("lo"),
-        F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0).alias("hi"))).scalar()
-    vals = per_value.withColumn("_e", edges)
-    lo, hi = F.col("_e.lo"), F.col("_e.hi")
-    width = (hi - lo) / F.lit(float(bins))
-    b = F.least(F.floor((F.col("_x") - lo) / width).cast("int") + 1, F.lit(bins))
-    hist = vals.groupBy(b.alias("bin"), "_e").agg(F.sum("_n").cast("bigint").alias("n"))
-    return hist.select("bin", (lo + (F.col("bin") - 1) * width).alias("lower"),
-                       F.when(F.col("bin") == bins, hi)
-                       .otherwise(lo + F.col("bin") * width).alias("upper"),
-                       "n")
+    edges = per_value.agg(F.coalesce(F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0), F.lit(0.0)).alias("lo"),
+                          F.coalesce(F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0), F.lit(1.0)).alias("hi"))
+    width = (F.col("_e.hi") - F.col("_e.lo")) / F.lit(float(bins))
+    bin_ = F.least(F.floor((F.col("_x") - F.col("_e.lo")) / width).cast("int") + 1, F.lit(bins))
+    counts = (per_value.withColumn("_e", edges.select(F.struct("lo", "hi")).scalar()).groupBy(bin_.alias("bin"))
+              .agg(F.sum("_n").cast("bigint").alias("n")))
+    spine = edges.select(F.struct("lo", "hi").alias("_e"), F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
+    lower = F.col("_e.lo") + (F.col("bin") - 1) * width
+    upper = F.when(F.col("bin") == bins, F.col("_e.hi")).otherwise(F.col("_e.lo") + F.col("bin") * width)
+    return spine.join(counts, "bin", "left").select("bin", lower.alias("lower"), upper.alias("upper"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def per_query_yield(urls: DataFrame, nodes: DataFrame,
@@ -133,25 +135,27 @@ def running_stats(runs: DataFrame, run_order: str = "run") -> DataFrame:
 
 def corpus_summary(articles: DataFrame, stats: DataFrame | None = None, *,
                    text: str = "article", by: str = "source",
-                   classification: str = "classification") -> DataFrame:
+                   classification: str = "classification", bins: int = 3) -> DataFrame:
     """The notebook's summary as one long table (metric, key, value):
-    class counts (A3), classified rows per source (A4), mean length overall
-    (A5) and per source (A6), and accuracy per source (A2) when ``stats`` is
-    given.
+    class counts (A3) and their histogram (A7, key: the bin), classified rows
+    per source (A4), mean length overall (A5) and per source (A6), and accuracy
+    per source (A2) when ``stats`` is given.
 
-    Two scans of the articles: one grouped by class, one grouped by source
-    that yields A4, A6 and — from its per-source sums — the exact global
-    mean A5 (both readers share the per-source shuffle stage)."""
+    Two scans of the articles: one grouped by class, which the counts and the
+    histogram share, and one grouped by source that yields A4, A6 and — from
+    its per-source sums — the exact global mean A5."""
     s = F.col(by).cast("string")
     per_source = articles.groupBy(by).agg(
         F.count(classification).alias("_classified"),
         F.sum(word_count(text)).alias("_words"),
         F.count(text).alias("_texts"))
+    per_class = articles.filter(F.col(classification).isNotNull()).groupBy(classification).agg(F.count(F.lit(1)).alias("n"))
+    values = per_class.select(F.col(classification).cast("double").alias("_x"), F.col("n").alias("_n"))
     parts = [
-        class_counts(articles, classification)
-        .select(F.lit("class_count").alias("metric"),
-                F.col(classification).cast("string").alias("key"),
-                F.col("n").cast("double").alias("value")),
+        per_class.select(F.lit("class_count").alias("metric"), F.col(classification).cast("string").alias("key"),
+                         F.col("n").cast("double").alias("value")),
+        _histogram(values.filter(F.col("_x").isNotNull() & ~F.isnan("_x")), bins)
+        .select(F.lit("class_histogram").alias("metric"), F.col("bin").cast("string").alias("key"), F.col("n").cast("double").alias("value")),
         per_source.select(F.lit("source_count").alias("metric"), s.alias("key"),
                           F.col("_classified").cast("double").alias("value")),
         per_source.agg((F.sum("_words") / F.sum("_texts")).alias("value"))

@@ -153,13 +153,16 @@ def s10_versions(spark, d):
 
 @register("s11_nested")
 def s11_nested(spark, d):
-    nested = files.nested_articles(articles.to_nodes(_batch(spark, d)["nodes"]))
-    return nested.groupBy("store_key").agg(F.sum(F.size("nodes")).cast("bigint").alias("n_nodes"))
+    path = _scratch_dir(spark, "nested-articles")
+    files.write_nested_articles(articles.to_nodes(_batch(spark, d)["nodes"]), path)
+    return files.read_nested_articles(spark, path).withColumn("PublishDate", F.date_format("PublishDate", "yyyy-MM-dd"))
 
 
 @register("s12_nested_urls")
 def s12_nested_urls(spark, d):
-    return files.flatten_nested_urls(files.nested_urls(_batch(spark, d)["parsed"]))
+    path = _scratch_dir(spark, "nested-urls")
+    files.write_nested_urls(_batch(spark, d)["parsed"], path)
+    return files.read_nested_urls(spark, path)
 
 
 # ---- P: projections and predicates -------------------------------------------
@@ -226,7 +229,9 @@ def p9_min_length(spark, d):
 
 @register("p10_productive")
 def p10_productive(spark, d):
-    return _batch(spark, d)["parsed"]
+    run = _batch(spark, d)
+    kept = articles.productive_only(run["candidates"], run["nodes"])
+    return articles.normalise_keys(kept).select("ticker", "source", "url")
 
 
 # ---- J: joins -------------------------------------------------------------------
@@ -348,7 +353,8 @@ def a7_histogram(spark, d):
 
 @register("a8_yield")
 def a8_yield(spark, d):
-    return _batch(spark, d)["yield"]
+    run = _batch(spark, d)
+    return stats.per_query_yield(run["candidates"], run["nodes"])
 
 
 @register("a9_distinct")
@@ -393,7 +399,7 @@ def l1_shuffle(spark, d):
 @register("l3_head")
 def l3_head(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
-    return docs.orderBy(F.col("n_chars").desc(), F.col("doc_id")).limit(5)
+    return frontier.head(docs, 5, F.col("n_chars").desc(), "doc_id")
 
 
 def _ticker_lists(spark, d):
@@ -781,13 +787,18 @@ def s6_parsed_store(spark, d):
 
 @register("s7_write_stats")
 def s7_write_stats(spark, d):
-    """S7 (with S5, S6 through the checkpointed run sinks): two runs
-    accumulate into stats version 1."""
+    """S7 (with S5, S6 through the checkpointed run sinks): a second run, over
+    the first one's parsed URLs, adds its totals to stats version 1. The first
+    has the companies with an even position, the second all."""
     base = _scratch_dir(spark, "run")
-    run = _batch(spark, d)
     paths = (f"{base}/store", f"{base}/parsed", f"{base}/stats")
-    articles.write_run(run, *paths, 0)
-    return articles.write_run(run, *paths, 1)
+    c = dv.companies(spark, d)
+    inputs = dv.search_results(spark, d), dv.news_pages(spark, d), c
+    first = c.filter(F.col("ticker_pos") % 2 == 0).select("ticker", "ticker_pos")
+    articles.write_run(articles.run_batch(first, dv.NEWS_SOURCES, *inputs), *paths, 0)
+    seen = files.read_parsed(spark, paths[1])
+    again = articles.run_batch(c.select("ticker", "ticker_pos"), dv.NEWS_SOURCES, *inputs, parsed=seen)
+    return articles.write_run(again, *paths, 1)
 
 
 @register("s8_export_csv")

@@ -7,7 +7,9 @@ write is distributed and appends add files instead of rewriting a document.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -169,42 +171,72 @@ def page_scan(urls: DataFrame, pages: DataFrame, at: str | None = None, version:
     return j.withColumn("reject_reason", F.when(F.col("html").isNull(), F.lit("fetch")))
 
 
-def _bounded_parts(df: DataFrame, key: str, salt: Column, max_per_part: int) -> DataFrame:
-    """Adds ``part``: rows of one key spread over ceil(rows / max_per_part)
-    hash parts, so no collected list exceeds ~max_per_part elements however
-    hot the key. The per-key counts are a partial aggregate (one row per
-    key); joining them back is left to AQE (broadcast when small, skew
-    split otherwise)."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_rows") / F.lit(max_per_part)))
-    return (df.join(counts, key)
-            .withColumn("part", F.pmod(salt, parts).cast("int")).drop("_rows"))
-
-
-def nested_articles(nodes: DataFrame, max_per_part: int = 10_000) -> DataFrame:
-    """The nested ``{ticker+source: [node, ...]}`` export form, one row
-    per (store_key, part): a key's list is cut into parts of at most about
-    ``max_per_part`` nodes (readers concatenate the parts of a key).
-    Output: (store_key, part, nodes array<struct>)."""
-    cols = sorted(nodes.columns)
-    keyed = nodes.select(store_key(F.col("Ticker"), F.col("NewsSource")).alias("store_key"),
-                         F.struct(*[F.col(c) for c in cols]).alias("node"))
-    keyed = _bounded_parts(keyed, "store_key", F.xxhash64("node"), max_per_part)
-    return keyed.groupBy("store_key", "part").agg(F.collect_list("node").alias("nodes"))
-
-
-def nested_urls(parsed: DataFrame, max_per_part: int = 10_000) -> DataFrame:
-    """The nested ``{TICKER: {source: [url, ...]}}`` form, one row per
-    (ticker, part) with parts of at most about ``max_per_part`` URLs.
-    Output: (ticker, part, urls map<string, array<string>>)."""
-    flat = parsed.select(F.upper("ticker").alias("ticker"), F.lower("source").alias("source"), "url")
-    flat = _bounded_parts(flat, "ticker", F.xxhash64("url"), max_per_part)
-    per_source = flat.groupBy("ticker", "part", "source").agg(F.collect_list("url").alias("urls"))
-    return (per_source.groupBy("ticker", "part")
-            .agg(F.map_from_entries(F.collect_list(F.struct("source", "urls"))).alias("urls")))
-
-
-def flatten_nested_urls(nested: DataFrame) -> DataFrame:
-    """Inverse of S12: (ticker, source, url) rows."""
-    ex = nested.select("ticker", F.explode("urls").alias("source", "_urls"))
-    return ex.select("ticker", "source", F.explode("_urls").alias("url"))
+def _json_text(value: Column) -> Column:
+    """A string as JSON; null: ``null``."""
+    one = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substring(one, 2, F.length(one) - 2)
+
+
+def _document(levels: int):
+    """Sorted rows of ``levels`` keys and a value, all JSON texts, to the lines
+    of one nested document: objects by key with arrays of values inside. Only
+    the keys of the row before are kept."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for batch in batches:
+            lines = []
+            for *keys, value in zip(*(c.to_pylist() for c in batch.columns)):
+                same = next((i for i in range(levels) if before is None or keys[i] != before[i]), levels)
+                close = "" if before is None else ", " if same == levels else "]" + "}" * (levels - 1 - same) + ", "
+                opening = "" if same == levels else ": {".join(keys[same:]) + ": ["
+                lines.append(("{" if before is None else "") + close + opening + value)
+                before = keys
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+        if before is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(["]" + "}" * levels], pa.string())], names=["line"])
+    return run
+
+
+def _write_documents(rows: DataFrame, levels: int, path: str) -> None:
+    """Rows of ``levels`` keys and a JSON ``value`` as a folder of nested JSON
+    documents. Rows are range-partitioned and sorted by key and value, so each
+    file is a whole document of a run of keys; a key too hot for one file goes
+    on in the next, and readers put its lists together. The same at any size:
+    no list is ever gathered, files are as large as Spark cuts partitions."""
+    keys = [_json_text(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(f"k{i}") for i, c in enumerate(rows.columns[:levels])]
+    order = [f"k{i}" for i in range(levels)]
+    (rows.select(*keys, "value").repartitionByRange(*order, F.xxhash64("value")).sortWithinPartitions(*order, "value")
+     .mapInArrow(_document(levels), "line STRING").write.mode("overwrite").text(path))
+
+
+def _read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    text = spark.read.text(path, wholetext=True).filter(F.trim("value") != "")
+    return text.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("doc"))
+
+
+def write_nested_articles(nodes: DataFrame, path: str) -> None:
+    """Nodes as ``{"ticker+source": [node, ...]}`` documents; attributes
+    in alphabetical order, nulls kept, dates as yyyy-MM-dd."""
+    node = F.struct(*[F.col(c) for c in sorted(nodes.columns)])
+    value = F.to_json(node, {"ignoreNullFields": "false", "dateFormat": "yyyy-MM-dd"})
+    _write_documents(nodes.select(store_key(F.col("Ticker"), F.col("NewsSource")).alias("key"), value.alias("value")), 1, path)
+
+
+def read_nested_articles(spark: SparkSession, path: str, schema: str = NODE_SCHEMA) -> DataFrame:
+    """Nested article documents (one file or a folder of them) as rows:
+    store_key and the node's attributes. A document is read by one task."""
+    docs = _read_documents(spark, path, f"MAP<STRING, ARRAY<STRUCT<{schema.replace(' ', ': ').replace(',:', ',')}>>>")
+    return docs.select(F.explode("doc").alias("store_key", "_nodes")).select("store_key", F.inline("_nodes"))
+
+
+def write_nested_urls(parsed: DataFrame, path: str) -> None:
+    """Parsed URLs as ``{"TICKER": {"source": [url, ...]}}`` documents."""
+    _write_documents(parsed.select(F.upper("ticker").alias("ticker"), F.lower("source").alias("source"),
+                                   _json_text(F.col("url")).alias("value")), 2, path)
+
+
+def read_nested_urls(spark: SparkSession, path: str) -> DataFrame:
+    """Nested URL documents as (ticker, source, url) rows."""
+    docs = _read_documents(spark, path, "MAP<STRING, MAP<STRING, ARRAY<STRING>>>")
+    by_source = docs.select(F.explode("doc").alias("ticker", "_sources")).select("ticker", F.explode("_sources").alias("source", "_urls"))
+    return by_source.select("ticker", "source", F.explode("_urls").alias("url"))
