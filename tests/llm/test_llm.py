@@ -318,8 +318,9 @@ def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
-    odd = [(200 + i, t, "en", "s", 0, "k", "r") for i, t in enumerate(["  a  b", " \n x", "it's  we'll ", "<|endoftext|> a", "日本 語 😀", "q\r\n c "])]
+    odd = [(200 + i, t, "en", "s", 0, "k", "r") for i, t in enumerate(["  a  b", " \n x", "it's  we'll ", "<|endoftext|> a", "日本 語 😀", "q\r\n c ",
+           "x<|endoftext|><|endoftext|>y <|endoftext| > <|endoftext|>", "<|endoftext|>"])]
+    assert reference.encode("<|endoftext|> a", add_special_tokens=False).ids == [50256, 257]
     got = packing.pack(docs.unionByName(spark.createDataFrame(odd, DOCS)), task_chars=20_000).collect()
     places = defaultdict(list)
     for p in got:

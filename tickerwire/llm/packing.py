@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -46,22 +47,36 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 class Tokens:
     """Texts to their ids and ``end_id`` as little-endian unsigned 32-bit
-    numbers. ``tokenizer``: a byte-level BPE among the public tokenizers; its
-    special strings in a text are ordinary text."""
+    numbers. ``tokenizer``: a byte-level BPE among the public tokenizers. Its
+    added tokens count wherever a text holds their strings, as in the
+    tokenizers library."""
 
     def __init__(self, tokenizer: str, end_id: int):
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
 
-        vocabulary = Tokenizer.from_file(public_tokenizers.path(tokenizer)).get_vocab(with_added_tokens=False)
+        library = Tokenizer.from_file(public_tokenizers.path(tokenizer))
+        added = library.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{tokenizer}: added tokens that take blanks or whole words are not supported")
+        self.added = {t.content: [i] for i, t in added.items()}
+        self.split = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or "(?!)")
         to_byte = _byte_alphabet()
-        ranks = {bytes(map(to_byte.__getitem__, t)): rank for t, rank in vocabulary.items() if t != "<|endoftext|>"}
+        vocabulary = library.get_vocab(with_added_tokens=False)
+        ranks = {bytes(map(to_byte.__getitem__, t)): rank for t, rank in vocabulary.items() if t not in self.added}
         self.encode = tiktoken.Encoding(tokenizer, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.end = [end_id]
 
+    def ids(self, text: str) -> list[int]:
+        out, at = [], 0
+        for m in self.split.finditer(text):
+            out += self.encode(text[at:m.start()]) + self.added[m.group()]
+            at = m.end()
+        return out + self.encode(text[at:]) if at else self.encode(text)
+
     def __call__(self, text: str | None) -> bytes:
-        return np.array(self.encode(text or "") + self.end, "<u4").tobytes()
+        return np.array(self.ids(text or "") + self.end, "<u4").tobytes()
 
 
 @functools.cache
@@ -158,8 +173,9 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     part = F.pmod("hash", F.lit(PARTS))
     lengths = rows.groupBy("source", part.alias("part")).agg(F.sum("n").alias("n"))
     queue = Window.partitionBy("source")
-    placed = lengths.select("source", "part", (F.sum("n").over(queue.orderBy("part")) - F.col("n")).alias("before"), "n",
-                            F.sum("n").over(queue).alias("total"))
+    # a row per source and part, written: Spark knows its size and broadcasts it to the ids if it is small
+    placed = cut(lengths.select("source", "part", (F.sum("n").over(queue.orderBy("part")) - F.col("n")).alias("before"), "n",
+                                F.sum("n").over(queue).alias("total")), "packing-places")
     sums = lengths.groupBy("source").agg(F.sum("n").alias("total"))
     whole, chars = (x or 1 for x in rows.agg(F.sum("n"), F.sum("chars")).first())
     share = F.col("total") / F.lit(float(whole))
