@@ -7,15 +7,21 @@ or run twice leaves an archive that no index row names, so the index alone
 says what exists. ``read`` sorts selected index rows by file and offset, joins
 neighbouring ranges into one read of at most ``CHUNK`` bytes, and parses the
 records; it never reads what was not selected beyond gaps of ``GAP`` bytes.
+The reading tasks are cut by archive bytes, not by the size of the index.
 
 Records with equal payloads are stored once: of at least ``least`` bytes, the
 one with the smallest id is a ``response``, the others ``revisit`` it without
-a body; smaller payloads are all responses. The revisit states the length of
-the payload it stands for in an extension field.
+a body; smaller payloads are all responses. Which payloads occur twice is told
+by digests and ids alone; the payloads themselves are not written beforehand.
+Record ids follow from digest, row id and URL, and the date is an argument, so
+a second run writes the same records. A revisit names its response, and states
+the length of the payload that it stands for in an extension field.
 
 Defined results: null payload: empty; null id comes after all others and is
-read back as null, as is a null URL; rows equal in id and payload are one
-response and revisits of the same id; an empty table gives an empty index.
+read back as null, as is a null URL; line ends in a URL are percent-escaped in
+the archive and read back as they were; of rows equal in id and payload the
+one with the least URL is the response (null last), of rows equal in all three
+one is, the others revisit it; an empty table gives an empty index.
 """
 
 from __future__ import annotations
@@ -24,8 +30,10 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tickerwire.llm.common import cut, scratch, ship
 
-CHUNK, GAP = 8 << 20, 64 << 10
+CHUNK, GAP, TASK_BYTES = 8 << 20, 64 << 10, 32 << 20
 INDEX = "id long, file string, offset long, length long, url string, payload_digest string, record_type string, refers_to long"
 RECORD = "id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -49,23 +57,29 @@ def digest(payload: bytes) -> str:
 
 def _line(value: str) -> str:
     """A header value holds no line end: such characters are percent-escaped."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    return value.replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _plain(value: str) -> str:
-    return value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+def record_id(sha: str, rid: int | None, url: str | None) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, json.dumps([sha, rid, url]))}>"
 
 
-def record(rid: int | None, url: str | None, payload: bytes, sha: str, kind: str, refers_to: int | None) -> bytes:
-    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Payload-Digest", f"sha1:{sha}"),
-            ("X-Row-Id", "" if rid is None else str(rid)), ("X-Payload-Length", str(len(payload)))]
+def record(rid: int | None, url: str | None, payload: bytes, sha: str, date: str, first: tuple | None) -> bytes:
+    """A response, or a revisit of the record of (id, url) ``first``."""
+    head = [("WARC-Type", "revisit" if first else "response"), ("WARC-Record-ID", record_id(sha, rid, url)), ("WARC-Date", date),
+            ("WARC-Payload-Digest", f"sha1:{sha}")]
     if url is not None:
         head.append(("WARC-Target-URI", _line(url)))
-    if kind == "revisit":
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-        head += [("X-Refers-To-Row", str(refers_to))] if refers_to is not None else []
+        if url != _line(url):
+            head.append(("X-Target-URI-JSON", json.dumps(url)))
+    if first:
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
+                 ("WARC-Refers-To", record_id(sha, *first)), ("WARC-Refers-To-Date", date)]
+        head += [("WARC-Refers-To-Target-URI", _line(first[1]))] if first[1] is not None else []
+        head += [("X-Refers-To-Row", str(first[0]))] if first[0] is not None else []
+    head += [("X-Row-Id", "" if rid is None else str(rid)), ("X-Payload-Length", str(len(payload)))]
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    block += b"\r\n" if kind == "revisit" else b"Content-Length: %d\r\n\r\n" % len(payload) + payload
+    block += b"\r\n" if first else b"Content-Length: %d\r\n\r\n" % len(payload) + payload
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head) + "\r\n").encode() + block + b"\r\n\r\n"
 
@@ -80,12 +94,15 @@ def parse(data: bytes) -> dict:
     if kind == "response" and digest(body) != sha:
         raise ValueError("payload does not match its digest")
     number = lambda k: int(fields[k]) if fields.get(k) else None
-    return {"id": number("X-Row-Id"), "url": _plain(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None,
+    url = json.loads(fields["X-Target-URI-JSON"]) if "X-Target-URI-JSON" in fields else fields.get("WARC-Target-URI")
+    return {"id": number("X-Row-Id"), "url": url,
             "payload": body if kind == "response" else None, "payload_bytes": int(fields["X-Payload-Length"]),
             "payload_digest": sha, "record_type": kind, "refers_to": number("X-Refers-To-Row")}
 
 
-def _archive(folder: str):
+def _archive(folder: str, date: str):
+    """(id, url, text, sha, first) -> index rows; ``first`` is null for a
+    response, else the id and URL of the record that this one revisits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(folder)
         out, name, offset = None, f"{uuid.uuid4().hex}.warc.gz", 0
@@ -94,13 +111,13 @@ def _archive(folder: str):
                 fs.create_dir(base, recursive=True)
                 out = fs.open_output_stream(f"{base}/{name}", compression=None)
             rows = []
-            for rid, url, text, sha, first, refers in zip(*(batch.column(i) for i in range(6))):
+            for rid, url, text, sha, first in zip(*(batch.column(i) for i in range(5))):
                 payload, sha = (text.as_py() or "").encode(), base64.b32encode(sha.as_py()).decode()
-                kind = "response" if first.as_py() else "revisit"
-                to = None if first.as_py() else refers.as_py()
-                data = gzip.compress(record(rid.as_py(), url.as_py(), payload, sha, kind, to), 5, mtime=0)
+                rid, url, first = rid.as_py(), url.as_py(), first.as_py()
+                first = first and (first["id"], first["url"])
+                data = gzip.compress(record(rid, url, payload, sha, date, first), 5, mtime=0)
                 out.write(data)
-                rows.append((rid.as_py(), name, offset, len(data), url.as_py(), sha, kind, to))
+                rows.append((rid, name, offset, len(data), url, sha, "revisit" if first else "response", first[0] if first else None))
                 offset += len(data)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
@@ -111,20 +128,31 @@ def _archive(folder: str):
     return run
 
 
-def write(pages: DataFrame, folder: str, rid: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """Archives of ``pages`` under ``folder``; returns the written index."""
+def write(pages: DataFrame, folder: str, rid: str = "page_id", url: str = "url", payload: str = "html", least: int = 0,
+          date: str | None = None) -> DataFrame:
+    """Archives of ``pages`` under ``folder``; returns the written index.
+    ``date``: the records' WARC-Date, now if none is given."""
     ship(pages.sparkSession)
-    # rows get a number once: evaluated anew, a shuffle above could order them otherwise
-    rows = cut(pages.select(F.col(rid).cast("long").alias("id"), F.col(url).alias("url"), F.col(payload).alias("text"),
-                        F.unhex(F.sha1(F.coalesce(F.col(payload), F.lit("")))).alias("sha"), F.monotonically_increasing_id().alias("row")), "warc-rows")
-    # the smallest id of each payload; ids equal to it are told apart by row
-    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))
-    firsts = rows.groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    own = F.octet_length(F.coalesce("text", F.lit(""))) < least
-    marked = rows.join(firsts, "sha", "left").select(
-        "id", "url", "text", "sha", (F.col("first").isNull() | own | (F.col("first.row") == F.col("row"))).alias("is_first"),
-        F.col("first.id").alias("refers_to"))
-    return cut(marked.mapInArrow(_archive(folder), INDEX), "warc-index")
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    rows = pages.select(F.col(rid).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.col(payload).alias("text"),
+                        F.unhex(F.sha1(F.coalesce(F.col(payload), F.lit("")))).alias("sha"))
+    # per payload that occurs twice, its first record: by id and URL, nulls last
+    narrow = rows.where(F.octet_length(F.coalesce("text", F.lit(""))) >= least).groupBy("sha", "id", "url").agg(F.count("*").alias("copies"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("url").isNull(), F.col("url"))
+    firsts = (narrow.groupBy("sha").agg(F.sum("copies").alias("n"), F.min_by(F.struct("id", "url", "copies"), order).alias("first"))
+              .where("n > 1").select("sha", F.struct("first.id", "first.url").alias("first"), F.col("first.copies").alias("copies")))
+    firsts = cut(firsts, "warc-firsts")
+    own = F.col("id").eqNullSafe(F.col("first.id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    small = F.octet_length(F.coalesce("text", F.lit(""))) < least
+    marked = rows.join(firsts, "sha", "left").withColumn("first", F.when(~small, F.col("first")))
+    records = marked.where(F.col("first").isNull() | ~own | (F.col("copies") == 1)).select(
+        "id", "url", "text", "sha", F.when(~own, F.col("first")).alias("first"))
+    several = firsts.where("copies > 1")
+    if not several.isEmpty():   # rows equal to the first in all respects: one response, the others revisit it
+        equal = marked.where(F.col("first").isNotNull() & own & (F.col("copies") > 1)).groupBy("sha", "first", "copies").agg(F.first("text").alias("text"))
+        each = equal.select("sha", "text", "first", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("k"))
+        records = records.unionByName(each.select("first.id", "first.url", "text", "sha", F.when(F.col("k") > 1, F.col("first")).alias("first")))
+    return cut(records.mapInArrow(_archive(folder, date), INDEX), "warc-index")
 
 
 def _ranges(files: list[str], offsets: list[int], lengths: list[int]) -> Iterator[tuple[str, int, int, int, int]]:
@@ -163,7 +191,9 @@ def read(selected: DataFrame, folder: str, bodies: bool = True) -> DataFrame:
     """The records of the index rows ``selected``. Without ``bodies`` payloads
     are checked and measured but not returned."""
     ship(selected.sparkSession)
-    ranges = selected.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    ranges = selected.select("file", "offset", "length")
+    tasks = -(-(ranges.agg(F.sum("length")).first()[0] or 1) // TASK_BYTES)
+    ranges = ranges.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_fetch(folder, bodies), RECORD)
 
 
