@@ -2,7 +2,7 @@
 
 Rows are turns; a turn's content is an array of typed parts
 ``struct<type, text, uri, units>``. A visitor flattens the parts in order:
-text is escaped, every other part becomes a placeholder ``<|type|>`` with its
+neighbouring texts are joined and escaped, every other part becomes a placeholder ``<|type|>`` with its
 attachment reference and the number of tokens it expands to
 (``units`` times the type's rate) recorded. The template marks each turn as
 
@@ -67,8 +67,17 @@ def visit(parts: Column) -> tuple[Column, Column]:
     parts = F.coalesce(parts, F.array().cast(PARTS))
     attached = lambda p: F.coalesce(p["type"].isin(*RATES), F.lit(False))
     rate = lambda p: F.coalesce(*[F.when(p["type"] == k, F.lit(v)) for k, v in RATES.items()])
-    flat = F.array_join(F.transform(parts, lambda p: F.when(attached(p), F.concat(F.lit("<|"), p["type"], F.lit("|>")))
-                                    .otherwise(escape(F.coalesce(p["text"], F.lit(""))))), "")
+    said = lambda p: F.coalesce(p["text"], F.lit(""))
+    # neighbouring texts are one run and are escaped as such: a control string
+    # may lie across their borders
+    flat = F.aggregate(
+        parts, F.struct(F.lit("").alias("done"), F.lit("").alias("run")),
+        lambda a, p: F.struct(
+            F.when(attached(p), F.concat(a["done"], escape(a["run"]), F.lit("<|"), p["type"], F.lit("|>"))).otherwise(a["done"]).alias("done"),
+            F.when(attached(p), F.lit("")).otherwise(F.concat(a["run"], said(p))).alias("run")),
+        lambda a: F.concat(a["done"], escape(a["run"])))
+    one = F.get(parts, 0)
+    flat = F.when((F.size(parts) == 1) & ~attached(one), escape(said(one))).otherwise(flat)
     refs = F.transform(F.filter(parts, attached), lambda p: F.struct(
         p["type"].alias("type"), p["uri"].alias("uri"), (F.coalesce(p["units"], F.lit(0)) * rate(p)).cast("bigint").alias("tokens")))
     return flat, refs
