@@ -8,6 +8,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -57,7 +58,7 @@ def tokens(text):
 
 def test_sql_queries(spark):
     con = duckdb.connect()
-    for t in ("pages", "conversations"):
+    for t in ("pages", "conversations", "documents"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     for name, sql in oracle.oracle_sql().items():
         got = queries.queries()[name](spark, SMALL)
@@ -326,6 +327,25 @@ def test_removable_parts_keep_a_copy(spark):
     assert not next(r for r in got if r.doc_id == 5).removable and want[5] == set(range(100)) and want[9] == set(range(150))
 
 
+def test_personal_data_many_matches_in_one_text(spark):
+    """Linear in matches and length: spans past block and chunk borders."""
+    r = random.Random(8)
+    texts = [" ".join(r.choice([f"10.{r.randrange(300)}.1.2", "a@b.c", "w\U0001f600é" * r.randrange(400), "+12345678901"]) for _ in range(n)) for n in (63, 64, 65, 129, 3000)]
+    texts.append(" ".join(f"10.0.{i % 250}.7" for i in range(20000)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    for row in pii.sanitise(df, support=10**6).select("row.*", "found", "clean_text").collect():
+        spans = sorted((s.start, s.end, k) for k in pii.KINDS for s in row.found[k])
+        assert all(row.text[s.start:s.end] == s.value for k in pii.KINDS for s in row.found[k])
+        out, at = [], 0
+        for a, b, k in spans:
+            if a >= at:
+                out += [row.text[at:a], f"[{k.upper()}]"]
+            at = max(at, b)
+        assert row.clean_text == "".join(out) + row.text[at:]
+    assert time.time() - start < 90 and len(spans) > 0
+
+
 def test_quality(spark, docs, rows, empty):
     got = quality.judge(docs).select("row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
     assert len(got) == len(rows)

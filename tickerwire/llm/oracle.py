@@ -35,6 +35,19 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id"""
 
 
+# base32 of a hexadecimal SHA-1: five digits give four letters
+_GROUP = "CAST('0x' || substr(hex, {}, 5) AS BIGINT)"
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(({_GROUP.format(5 * g + 1)} >> {shift}) & 31 AS BIGINT) + 1, 1)"
+                      for g in range(8) for shift in (15, 10, 5, 0))
+
+OP5 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+f AS (SELECT payload, min(page_id) AS first FROM p GROUP BY payload),
+h AS (SELECT page_id, payload, first, sha1(payload) AS hex FROM p JOIN f USING (payload))
+SELECT page_id, strlen(payload) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM h"""
+
 OP11 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)
@@ -60,4 +73,4 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BI
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": OP1, "op2_chat_format": OP2, "op11_exact_dedup": OP11, "op13_fill_in_middle": OP13}
+    return {"op1_url_filters": OP1, "op2_chat_format": OP2, "op5_warc": OP5, "op11_exact_dedup": OP11, "op13_fill_in_middle": OP13}

@@ -29,6 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickerwire.functions.rows import compute_once
 from tickerwire.llm.common import cut, text_key
 
 # The patterns of the contract. The look-behinds and possessive
@@ -67,18 +68,26 @@ def _raw(kind: str, text: Column) -> Column:
     return F.when(may, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g")))
 
 
+_BLOCK = 64
+
+
+def _running(values: Column, step: str, start: str = "0") -> Column:
+    """Running totals of an int array by ``step`` (SQL of a and x), in blocks:
+    near linear, where a fold that grows an array would be quadratic."""
+    fold = lambda xs, x="x": f"aggregate({xs}, {start}, (a, {x}) -> {step.replace('x', x)})"
+    block = f"transform(b, (v, i) -> get(transform(array({fold('slice(b, 1, i + 1)', 'y')}), x -> get(transform(array(base), a -> {step}), 0)), 0))"
+    blocks = f"transform(sequence(0, cast((size(xs) - 1) / {_BLOCK} as int)), k -> slice(xs, k * {_BLOCK} + 1, {_BLOCK}))"
+    based = f"get(transform(array({fold('slice(ts, 1, k)')}), base -> {block}), 0)"
+    whole = (f"xs -> CASE WHEN size(xs) = 0 THEN xs ELSE get(transform(array({blocks}), bs -> get(transform(array(transform(bs, b -> {fold('b')})), "
+             f"ts -> flatten(transform(bs, (b, k) -> {based}))), 0)), 0) END")
+    return F.get(F.call_function("transform", F.array(values), F.expr(whole)), 0)
+
+
 def _spans(kind: str, raw: Column) -> Column:
     """Valid matches with their places in code points."""
-    placed = F.aggregate(
-        F.zip_with(raw["m"], F.slice(raw["g"], 1, F.size(raw["m"])), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("all")),
-        lambda a, x: F.struct(
-            (a["at"] + x["g"] + F.length(x["m"])).alias("at"),
-            F.when(_valid(kind, x["m"]), F.concat(a["all"], F.array(F.struct(
-                (a["at"] + x["g"]).alias("start"), (a["at"] + x["g"] + F.length(x["m"])).alias("end"), x["m"].alias("value")))))
-            .otherwise(a["all"]).alias("all")),
-        lambda a: a["all"])
-    return F.when(F.size(raw["m"]) > 0, placed).otherwise(F.array().cast(SPAN))
+    ends = _running(F.zip_with(raw["m"], F.slice(raw["g"], 1, F.size(raw["m"])), lambda m, g: F.length(g) + F.length(m)), "a + x")
+    placed = F.zip_with(raw["m"], ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), m.alias("value")))
+    return F.when(F.size(raw["m"]) > 0, F.filter(placed, lambda s: _valid(kind, s["value"]))).otherwise(F.array().cast(SPAN))
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -104,51 +113,81 @@ def _tokens(text: Column) -> Column:
     return F.split(text, r"[\x20\x09-\x0D]", -1)
 
 
-def disclosing(found: DataFrame, text: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT) -> DataFrame:
+def entities(found: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key, entity) of the distinct texts that hold any, and those texts as
+    (key, text), each written."""
+    holders = cut(found.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"), F.array_distinct(_entities()).alias("entities"))
+                  .where("size(entities) > 0").dropDuplicates(["key"]), "pii-holders")
+    return cut(holders.select("key", F.explode_outer("entities").alias("entity")), "pii-entities"), holders.select("key", "text")
+
+
+def _terms(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.array_distinct(_tokens(F.coalesce(text, F.lit("")))), _term))
+
+
+def _text_counts(docs: DataFrame, text: str) -> tuple[int, DataFrame]:
+    """The number of distinct texts, and (term, n_t): in how many of them a
+    term occurs. Every row's terms are counted, summed before the shuffle, and
+    what repeated texts add is taken off again, so no text is shuffled but one
+    of each that repeats, and the shuffle is bounded by the vocabulary."""
+    keyed = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
+    copies = cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "pii-copies")
+    n_texts = keyed.agg(F.count("*")).first()[0] - (copies.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
+    repeated = keyed.join(copies, "key").groupBy("key", "n").agg(F.first("text").alias("text"))
+    each = lambda d, w: d.select(w.alias("w"), F.explode_outer(_terms(F.col("text"))).alias("term"))
+    both = each(keyed, F.lit(1).cast("long")).unionByName(each(repeated, 1 - F.col("n")))
+    return n_texts, both.where("term <> ''").groupBy("term").agg(F.sum("w").alias("n_t"))
+
+
+def disclosing(docs: DataFrame, of_entity: DataFrame, holders: DataFrame, text: str = "text", support: int = SUPPORT,
+               generalise_at: float = GENERALISE_AT) -> DataFrame:
     """(entity, term, disclosure) of the terms that reveal an entity."""
-    texts = found.select(text_key(F.col(text)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-                         F.array_distinct(_entities()).alias("entities"))
-    holders = texts.where("size(entities) > 0").dropDuplicates(["key"])
-    of_entity = cut(holders.select("key", F.explode_outer("entities").alias("entity")), "pii-entities")
     known = of_entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     held = of_entity.join(known, "entity").select("key", "entity", "n_e")
-    inside = cut(holders.select("key", "text").join(held.select("key").distinct(), "key", "left_semi")
-                 .select("key", F.explode_outer(F.array_distinct(F.transform(_tokens(F.col("text")), _term))).alias("term")).where("term <> ''"), "pii-terms")
+    inside = cut(holders.join(held.select("key").distinct(), "key", "left_semi")
+                 .select("key", F.explode_outer(_terms(F.col("text"))).alias("term")).where("term <> ''"), "pii-terms")
     pairs = cut(held.join(inside, "key").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    # how often the terms in question occur in the whole corpus
-    if terms.isEmpty():
+    if pairs.isEmpty():
         return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
-    n_texts = texts.select("key").distinct().count()
-    spread = (texts.select("key", F.explode_outer(F.array_distinct(F.transform(F.array_distinct(_tokens(F.col("text"))), _term))).alias("term"))
-              .join(terms, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t")))
+    n_texts, spread = _text_counts(docs, text)
+    spread = cut(spread.join(pairs.select("term").distinct(), "term", "left_semi"), "pii-spread")
     n = F.lit(float(n_texts))
     # an entity in every text has an information content of 0
     share = F.coalesce(F.try_divide(F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log2(n / F.col("n_e"))), F.lit(0.0))
     return pairs.join(spread, "term").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
 
 
+_CHUNK = 1024
+
+
+def _piece(chunks: Column, begin: Column, end: Column) -> Column:
+    """Code points begin..end of a text given as chunks of ``_CHUNK``: the work
+    is the piece's length, not its place in the text."""
+    first = F.floor(begin / _CHUNK).cast("int")
+    near = F.array_join(F.slice(chunks, first + 1, F.greatest(F.floor((end - 1) / _CHUNK).cast("int") - first + 1, F.lit(0))), "")
+    return F.when(end > begin, F.substring(near, begin - first * _CHUNK + 1, end - begin)).otherwise("")
+
+
 def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise_at: float = GENERALISE_AT,
              remove_at: float = REMOVE_AT) -> DataFrame:
     """Every row of ``docs`` as the struct ``row`` with ``found`` (see
     ``find``), ``terms`` (array of struct<start, end, replacement>) and the
-    sanitised ``clean_text``."""
+    sanitised ``clean_text``. The time is near linear in a text's length and
+    matches."""
     packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
-    found = find(packed)
-    shown = cut(disclosing(found, "text", support, generalise_at), "pii-disclosing")
-    # the few texts that hold an entity with such terms get their lists
-    holders = (found.select(text_key(F.col("text")).alias("key"), F.explode_outer(F.array_distinct(_entities())).alias("entity")).distinct()
-               .join(shown, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
-               .groupBy("key").agg(F.collect_list(F.struct("term", "disclosure")).alias("bad")))
-    rows = found.withColumn("key", text_key(F.col("text"))).join(holders, "key", "left")
-    given = F.coalesce(F.col("text"), F.lit(""))
-    pieces = F.transform(_tokens(given), lambda w: F.struct(w.alias("w"), F.length(w).alias("n")))
+    of_entity, holders = entities(find(packed.select("text")))
+    shown = cut(disclosing(packed, of_entity, holders, "text", support, generalise_at), "pii-disclosing")
+    # the few texts that hold an entity with such terms get their lists; written,
+    # so that Spark knows their size and moves no text where they can be broadcast
+    bad = cut(of_entity.join(shown, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
+              .groupBy("key").agg(F.collect_list(F.struct("term", "disclosure")).alias("bad")), "pii-bad")
+    rows = find(packed.withColumn("key", text_key(F.col("text"))).join(bad, "key", "left"))
+    words = _tokens(F.coalesce(F.col("text"), F.lit("")))
     base = F.flatten(F.array(*[F.col(f"found.{k}") for k in KINDS]))
-    placed = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start: int, end: int, term: string>>").alias("all")),
-                         lambda a, x: F.struct((a["at"] + x["n"] + 1).alias("at"), F.when(
-                             F.array_contains(F.col("bad.term"), _term(x["w"])),
-                             F.concat(a["all"], F.array(F.struct(a["at"].alias("start"), (a["at"] + x["n"]).alias("end"), _term(x["w"]).alias("term")))))
-                             .otherwise(a["all"]).alias("all")), lambda a: a["all"])
+    ends = _running(F.transform(words, lambda w: F.length(w) + 1), "a + x")
+    placed = F.filter(F.zip_with(words, ends, lambda w, e: F.struct((e - 1 - F.length(w)).alias("start"), (e - 1).alias("end"), _term(w).alias("term"))),
+                      lambda t: F.array_contains(F.col("bad.term"), t["term"]))
     free = F.filter(placed, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     worth = lambda t: F.element_at(F.map_from_entries("bad"), t["term"])
     terms = F.when(F.col("bad").isNotNull(), F.transform(free, lambda t: F.struct(
@@ -157,15 +196,16 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
     marked = rows.select("row", "text", "found", terms.alias("terms"))
     mask = lambda k: F.transform(F.col(f"found.{k}"), lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), F.lit(f"[{k.upper()}]").alias("replacement")))
-    every = F.concat(*[mask(k) for k in KINDS], F.col("terms"))
-    cleaned = F.aggregate(
-        F.array_sort(every), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), s["replacement"]))
-            .otherwise(a["out"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text") - a["at"])))
-    return marked.select("row", "found", "terms", F.when(F.size(every) > 0, cleaned).otherwise(F.col("text")).alias("clean_text"))
+    every = F.sort_array(F.concat(*[mask(k) for k in KINDS], F.col("terms")))
+    marked = compute_once(marked, every=every)
+    marked = compute_once(marked, reach=_running(F.transform("every", lambda s: s["end"]), "greatest(a, x)"),
+                          chunks=F.when(F.size("every") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))))
+    # a span that begins before an earlier one ends leaves no replacement
+    before = lambda i: F.when(i == 0, 0).otherwise(F.get("reach", i - 1))
+    pieces = F.transform("every", lambda s, i: F.when(s["start"] >= before(i), F.concat(
+        _piece(F.col("chunks"), before(i), s["start"]), s["replacement"])).otherwise(""))
+    cleaned = F.concat(F.array_join(pieces, ""), _piece(F.col("chunks"), F.get("reach", F.size("reach") - 1), F.length("text")))
+    return marked.select("row", "found", "terms", F.when(F.size("every") > 0, cleaned).otherwise(F.col("text")).alias("clean_text"))
 
 
 def span_list(kind: str, spans: Column) -> Column:
