@@ -131,6 +131,52 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert minhash.classes(empty).count() == 0
 
 
+def test_near_duplicate_classes_by_brute_force(spark):
+    """A large group of drifting copies, most pairs of which are not similar,
+    texts that share a passage only, and unrelated ones: single linkage."""
+    def grams(t):
+        return Counter(tuple(t[i:i + 5]) for i in range(len(t) - 4))
+
+    def similar(a, b):
+        return (a & b).total() >= 0.8 * (a | b).total()
+    r = random.Random(11)
+    base, passage = words(150, 70), words(60, 71)
+    texts = []
+    for i in range(160):   # each has some of twelve edits
+        t = list(base)
+        for e in r.sample(range(12), r.randrange(6)):
+            t[12 * e + 5] = f"edit{e}"
+        texts.append(t)
+    texts += [words(40, 500 + i, 10**6) + passage + words(20, 900 + i, 10**6) for i in range(120)]
+    texts += [words(100, 2000 + i, 10**6) for i in range(60)]
+    bags = [grams(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if similar(bags[i], bags[j])]
+    for i, j in links:
+        root[find(i)] = find(j)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in df.select("doc_id", text_key(F.col("text")).alias("key")).join(minhash.classes(df), "key").collect()}
+    found = sum(got[i] == got[j] for i, j in links)
+    print(f"links found: {found} of {len(links)}")
+    same = lambda of: {frozenset(i for i in range(len(texts)) if of(i) == k) for k in {of(i) for i in range(len(texts))}}
+    assert len(links) > 1000 and found >= 0.999 * len(links)
+    assert same(got.get) == same(find)
+
+
+def test_sketches_differ_by_similarity():
+    import numpy as np
+    h = minhash.mix(np.arange(4000, dtype=np.uint64))
+    one = lambda a, b: (h[a:b], np.ones(b - a, int))
+    s = minhash.sketches(minhash.signatures([one(0, 1000), one(110, 1110), one(0, 1000), one(2000, 3000)]))
+    apart = [sum(bin(int(x) & (1 << 64) - 1).count("1") for x in s[0] ^ s[k]) for k in (1, 2, 3)]
+    assert apart[0] < 50 and apart[1] == 0 and apart[2] > 80
+
+
 def test_dart_signature_estimates_weighted_similarity():
     import numpy as np
     h = minhash.mix(np.arange(2000, dtype=np.uint64))

@@ -11,15 +11,17 @@ strips up to rank t / (total weight) are opened, which costs about t darts a
 text however many elements it has; texts left with an empty coordinate look
 further up.
 
-Bands of ``ROWS`` coordinates give bucket keys. In each bucket every text is
-compared with the smallest one (no pairs of one group are multiplied out); texts of
-buckets that then still hold several components meet once more, where they
-agree in two bands at most ``NEAR`` apart, and are compared across components:
-texts that only share a passage seldom do, similar ones share ten bands of
-forty. The verification is exact, on the whole texts. At similarity 0.8 a pair
-shares no band with probability (1 - 0.8**6)**40 < 1e-5, and no two near bands
-with less than 1e-3; the latter matters only where no chain of smallest texts
-links the pair already.
+Bands of ``ROWS`` coordinates give bucket keys, and one bit of each coordinate
+a sketch of the text. In each bucket whose texts lie in several components the
+largest component sends one text, another each round, to be compared with the
+bucket's texts of the other components: no group's pairs are multiplied out,
+and a group of near copies grows together in a few rounds. What still lies
+apart after ``ROUNDS`` rounds is compared across components without exception,
+where the sketches allow it: texts of similarity 0.8 differ in a tenth of the
+bits, and pairs that differ in more than ``FAR`` of the 240 (seven standard
+deviations more) are not looked at. The verification is exact, on the whole
+texts. At similarity 0.8 a pair shares no band with probability
+(1 - 0.8**6)**40 < 1e-5 and is too far apart by sketch with less than 1e-9.
 
 Defined results: equal texts are one node and always of one class; null counts
 as the empty text; texts without words are alike only if equal; a text of
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerwire.llm.common import cut, ship, text_key
@@ -43,7 +45,9 @@ from tickerwire.llm.wordhash import grams, mix, slices, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
-NEAR = 8
+ROUNDS, FAR = 3, 56
+# A text that meets more others than this is sent to several tasks.
+FAN = 1000
 # Expected darts of a text: leaves a coordinate empty for 2 % of the texts.
 DARTS = COORDINATES * (np.log(COORDINATES) + 4)
 _LOWEST = 1 / 64   # rank strips: [0, 1/64), then fourfold steps
@@ -131,19 +135,26 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def sketches(signature: np.ndarray) -> np.ndarray:
+    """(texts x 4) words with one bit per coordinate."""
+    bits = (mix(signature.view(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(np.pad(bits, ((0, 0), (0, 256 - COORDINATES))), axis=1).view(np.int64)
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, doc_id, text) -> (key, doc_id, bands)."""
+    """(key, doc_id, text) -> (key, doc_id, bands, sketch)."""
     for batch in batches:
-        for part in slices(batch, "text", 2 << 20):
+        for part in slices(batch, "text", 1 << 20):
             hashes, first = word_hashes(part.column("text"))
             bands: list = [None] * part.num_rows
+            sketch: list = [None] * part.num_rows
             some = [i for i in range(part.num_rows) if first[i + 1] > first[i]]
             if some:
-                keys = band_keys(signatures([shingles(hashes[first[i]:first[i + 1]]) for i in some]))
-                for i, k in zip(some, keys):
-                    bands[i] = k
-            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(bands, pa.list_(pa.int64()))],
-                                             names=["key", "doc_id", "bands"])
+                found = signatures([shingles(hashes[first[i]:first[i + 1]]) for i in some])
+                for i, k, s in zip(some, band_keys(found), sketches(found)):
+                    bands[i], sketch[i] = k, s
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("doc_id"), pa.array(bands, pa.list_(pa.int64())),
+                                              pa.array(sketch, pa.list_(pa.int64()))], names=["key", "doc_id", "bands", "sketch"])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -164,51 +175,79 @@ def _verify(least: float):
     return run
 
 
+def _close(a: str, b: str) -> Column:
+    """Whether two sketches differ in few bits."""
+    return sum(F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(4)) <= FAR
+
+
+def _pairs(df: DataFrame) -> DataFrame:
+    """(a, b) of columns x and y, the smaller first, each pair once."""
+    return df.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _rooted(df: DataFrame, roots: DataFrame, key: str, out: str) -> DataFrame:
+    """``df`` with the component ``out`` of ``key``, itself where it has no link."""
+    up = roots.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    return df.join(up, F.col(key) == F.col("_node"), "left").withColumn(out, F.coalesce("_root", key)).drop("_node", "_root")
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: they join components, and what belongs to
+    one follows it."""
+    ends = _rooted(_rooted(links, roots, "a", "x"), roots, "b", "y").where("x <> y")
+    upper = cut(components(_pairs(ends)), "minhash-upper")
+    below = _rooted(roots, upper, "root", "top").select("node", F.col("top").alias("root"))
+    return cut(below.unionByName(upper.join(roots.select("node"), "node", "left_anti")), "minhash-roots")
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(key, class_key, class_id, n_docs) per distinct text: ``key`` is
     ``text_key`` of the text, ``class_key`` that of the class, class_id the
     smallest doc_id of the class and n_docs its number of documents."""
     ship(docs.sparkSession)
     base = docs.select(text_key(F.col(text)).alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    nodes = cut(base.mapInArrow(_sign, "key binary, doc_id long, bands array<long>").groupBy("key")
-                .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands")), "minhash-nodes")
-    rows = nodes.select("key", F.explode("bands").alias("bucket"))
-    pivots = rows.groupBy("bucket").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
-    buckets = cut(rows.join(pivots, "bucket"), "minhash-buckets")
-    stars = cut(buckets.where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "minhash-stars")
-    needed = buckets.select("key").distinct()
-    texts = cut(base.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "minhash-texts")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda c: texts.select(F.col("key").alias(c), F.col("text").alias(f"t{c}"))
-        return cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(least), "a binary, b binary"), name)
-
-    edges = verified(stars, "minhash-links")
-    roots = components(edges)
-    placed = (buckets.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left")
-              .select("bucket", "key", F.coalesce("root", "key").alias("root")))
-    apart = placed.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    # texts of such buckets meet again where they agree in two bands
-    open_ = cut(placed.join(apart, "bucket", "left_semi").select("key", "root").distinct(), "minhash-open")
-    band = lambda k: F.get("bands", k % BANDS)
-    doubles = F.transform(F.sequence(F.lit(0), F.lit(NEAR * BANDS - 1)),
-                          lambda k: F.xxhash64(k, band(k), band(k + F.floor(k / BANDS).cast("int") + 1)))
-    again = nodes.join(open_, "key").select("key", "root", F.explode_outer(doubles).alias("bucket"))
-    mixed = again.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-    again = cut(again.join(mixed, "bucket"), "minhash-doubles")
-    left = again.select("bucket", F.col("key").alias("a"), F.col("root").alias("ra"))
-    right = again.select("bucket", F.col("key").alias("b"), F.col("root").alias("rb"))
-    pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    across = left.join(right, "bucket").where("ra < rb").select(pair.alias("p")).select("p.a", "p.b").distinct().join(stars, ["a", "b"], "left_anti")
-    # links across components join their roots; what hangs below a root follows it
-    bridges = verified(cut(across, "minhash-across"), "minhash-links")
-    at = lambda c, r: roots.select(F.col("node").alias(c), F.col("root").alias(r))
-    bridges = (bridges.join(at("a", "ra"), "a", "left").join(at("b", "rb"), "b", "left")
-               .select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"))
-               .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
-    upper = components(bridges).select(F.col("node").alias("r"), F.col("root").alias("upper"))
-    placed = (nodes.select("key", "doc_id", "n").join(roots.withColumnRenamed("node", "key"), "key", "left")
-              .withColumn("r", F.coalesce("root", "key")).join(upper, "r", "left")
-              .select("key", "doc_id", "n", F.coalesce("upper", "r").alias("class_key")))
+    nodes = cut(base.mapInArrow(_sign, "key binary, doc_id long, bands array<long>, sketch array<long>").groupBy("key")
+                .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"),
+                     F.first("sketch").alias("sketch")), "minhash-nodes")
+    rows = nodes.select("key", "sketch", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    met = cut(rows.join(shared, "bucket"), "minhash-buckets")
+    texts = cut(base.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "minhash-texts")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The similar ones of ``pairs``. A text of very many pairs is sent to
+        several tasks, each of which gets a share of the others."""
+        often = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("shares"))
+        left = (texts.join(often, F.col("key") == F.col("a")).select("a", F.col("text").alias("ta"), "shares")
+                .withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares"))
+        dealt = pairs.join(often, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
+        right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
+        both = dealt.join(left, ["a", "share"]).join(right, "b").select("a", "b", "ta", "tb")
+        return cut(both.mapInArrow(_verify(least), "a binary, b binary"), "minhash-links")
+
+    roots = nodes.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
+    tested = nodes.limit(0).select(F.col("key").alias("a"), F.col("key").alias("b"))
+    for turn in range(ROUNDS + 1):
+        placed = _rooted(met, roots, "key", "root")
+        member = F.struct("key", "sketch")
+        heads = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min_by(member, F.xxhash64(F.lit(turn), "key")).alias("head"))
+        heads = (heads.groupBy("bucket").agg(F.max_by(F.struct("root", "head"), F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
+                 .where("parts > 1").select("bucket", "top"))
+        open_ = placed.join(heads, "bucket")
+        met = cut(open_.select("bucket", "key", "sketch", "root", "top"), "minhash-open")
+        if met.isEmpty():
+            break
+        if turn < ROUNDS:
+            near = met.where((F.col("root") != F.col("top.root")) & _close("sketch", "top.head.sketch"))
+            found = near.select(F.col("top.head.key").alias("x"), F.col("key").alias("y"))
+        else:   # whatever still lies apart
+            left = met.select("bucket", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("sketch").alias("sx"))
+            right = met.select("bucket", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("sketch").alias("sy"))
+            found = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("rx") < F.col("ry")) & _close("sx", "sy")).select("x", "y")
+        new = cut(_pairs(found).join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+        tested = tested.unionByName(new)
+        roots = _merged(roots, verified(new))
+        met = met.select("bucket", "key", "sketch")
+    placed = _rooted(nodes.select("key", "doc_id", "n"), roots, "key", "class_key")
     named = placed.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_docs"))
     return cut(placed.select("key", "class_key").join(named, "class_key").select("key", "class_key", "class_id", "n_docs"), "minhash-classes")
