@@ -27,18 +27,21 @@ rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerwire.llm.common import cut, ship, text_key
+from tickerwire.llm.common import cut, drop, ship, text_key
 from tickerwire.llm.wordhash import grams, rolling, slices, word_hashes
 
 LEAST, SPAN, GRAM = 50, 20, 8
 PREFIX = LEAST - SPAN + 1
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def minimisers(words: np.ndarray) -> np.ndarray:
@@ -71,14 +74,17 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes those equal to a neighbour. A partition's first and
-    last suffix stay, as their other neighbour is elsewhere."""
+    """Of sorted suffixes those equal to a neighbour of another place; what
+    copies of a text gave again is one. A partition's first and last suffix
+    stay, as their other neighbour is elsewhere."""
     held = None   # the last row so far, and whether it stays anyway
     for batch in batches:
         if not batch.num_rows:
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        again = pc.and_(pc.equal(batch.column("node")[1:], batch.column("node")[:-1]), pc.equal(batch.column("at")[1:], batch.column("at")[:-1]))
+        batch = batch.filter(pa.concat_arrays([pa.array([True]), pc.invert(again)]))
         key = batch.column("suffix").to_numpy(zero_copy_only=False)
         same = key[1:] == key[:-1]
         stay = np.zeros(len(key), bool)
@@ -95,12 +101,13 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text, spots) -> (h, g, node, at): the passages of ``LEAST``
-    words whose first minimiser is among ``spots``."""
+    """(node, text, spots) -> (h, g, node, at, char_begin, char_end): the
+    passages of ``LEAST`` words whose first minimiser is among ``spots``."""
+    names = ["h", "g", "node", "at", "char_begin", "char_end"]
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             hashes, first = word_hashes(part.column("text"))
-            out = [[], [], [], []]
+            out: list[list] = [[] for _ in names]
             for i in range(part.num_rows):
                 words = hashes[first[i]:first[i + 1]]
                 n = len(words) - LEAST + 1
@@ -110,43 +117,34 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(near, np.clip(spots + 1, 0, max(n, 0)), -1)
                 at = np.flatnonzero(np.cumsum(near)[:-1] > 0)
                 if len(at):
-                    out[0].append(rolling(words, LEAST, 0x2545F4914F6CDD1D)[at])
-                    out[1].append(rolling(words, LEAST, 0x9FB21C651E98DF25)[at])
-                    out[2].append(np.full(len(at), i))
-                    out[3].append(at)
+                    begins, ends = _word_places(part.column("text")[i].as_py())
+                    for column, values in zip(out, (rolling(words, LEAST, 0x2545F4914F6CDD1D)[at], rolling(words, LEAST, 0x9FB21C651E98DF25)[at],
+                                                    np.full(len(at), i), at, begins[at], ends[at + LEAST - 1])):
+                        column.append(values)
             if out[0]:
-                h, g, row, at = map(np.concatenate, out)
+                h, g, row, *places = map(np.concatenate, out)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), part.column("node").take(pa.array(row)),
-                                                  pa.array(at.astype(np.int32))], names=["h", "g", "node", "at"])
+                                                  *(pa.array(c.astype(np.int32)) for c in places)], names=names)
 
 
 _PART = pa.struct([(c, pa.int64()) for c in ("begin", "end", "char_begin", "char_end", "first_id", "first_at")])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text, id, n, repeats: [(at, first id, first at)]) -> maximal spans
-    in words and code points, with where the passage at the begin came first
-    and the parts that came first in one place each."""
-    schema = pa.schema([("node", pa.binary()), *[(c, pa.int64()) for c in ("begin", "end", "char_begin", "char_end", "first_id", "first_at")],
-                        ("parts", pa.list_(_PART))])
+    """(node, repeats: [(at, first id, first at, char_begin, char_end)]) ->
+    maximal spans in words and code points, with where the passage at the
+    begin came first and the parts that came first in one place each."""
+    schema = pa.schema([("node", pa.binary()), *[(c, pa.int64()) for c in _PART.names], ("parts", pa.list_(_PART))])
     for batch in batches:
         rows = []
         lists = batch.column("repeats")
-        bounds, given = lists.offsets.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
-        values = lists.values
-        ats, firsts = (values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "first_at"))
+        bounds, values = lists.offsets.to_numpy(), lists.values
+        column = lambda c: values.field(c).to_numpy(zero_copy_only=False).astype(np.int64)  # noqa: B023, E731
+        ats, firsts, char_begins, char_ends = map(column, ("at", "first_at", "char_begin", "char_end"))
         ids = values.field("id")
         null, numbers = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
-        for i, (node, text, own, copies) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "text", "id", "n")))):
-            own_ones = slice(bounds[i], bounds[i + 1]) if given[i] else slice(0, 0)
-            order = np.argsort(ats[own_ones]) + own_ones.start
-            places = _word_places(text) if copies > 1 or len(order) else None
-            span = lambda a, b, first, at: (a, b, places[0][a], places[1][b - 1], first, at)  # noqa: B023, E731
-            if copies > 1 and len(places[0]) >= LEAST:
-                whole = span(0, len(places[0]), own, 0)
-                rows.append((node, *whole, [dict(zip(_PART.names, whole))]))
-            if not len(order):
-                continue
+        for i, node in enumerate(batch.column("node").to_pylist()):
+            order = np.argsort(ats[bounds[i]:bounds[i + 1]]) + bounds[i]
             at, first, number, no = ats[order], firsts[order], numbers[order], null[order]
             apart = np.diff(at) > 1
             turns = apart | (np.diff(first - at) != 0) | (np.diff(number) != 0) | (no[1:] != no[:-1])
@@ -154,20 +152,24 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.concatenate([begins[1:], [len(at)]]) - 1
             fresh = np.concatenate([[True], apart])[begins]
             parts: list = []
-            for new, a, b, id_, is_null, where in zip(fresh.tolist(), at[begins].tolist(), at[ends].tolist(), number[begins].tolist(),
-                                                      no[begins].tolist(), first[begins].tolist()):
+
+            def done() -> tuple:
+                a, b = parts[0], parts[-1]  # noqa: B023
+                return (node, a["begin"], b["end"], a["char_begin"], b["char_end"], a["first_id"], a["first_at"], parts)  # noqa: B023
+            for new, a, b, id_, is_null, where, chars, until in zip(
+                    fresh.tolist(), at[begins].tolist(), at[ends].tolist(), number[begins].tolist(), no[begins].tolist(), first[begins].tolist(),
+                    char_begins[order][begins].tolist(), char_ends[order][ends].tolist()):
                 if new and parts:
-                    rows.append((node, *span(parts[0]["begin"], parts[-1]["end"], parts[0]["first_id"], parts[0]["first_at"]), parts))
+                    rows.append(done())
                     parts = []
-                parts.append(dict(zip(_PART.names, span(a, b + LEAST, None if is_null else id_, where))))
-            rows.append((node, *span(parts[0]["begin"], parts[-1]["end"], parts[0]["first_id"], parts[0]["first_at"]), parts))
+                parts.append(dict(zip(_PART.names, (a, b + LEAST, chars, until, None if is_null else id_, where))))
+            rows.append(done())
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-def _word_places(text: str) -> tuple[list[int], list[int]]:
-    import re
-    found = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-    return [a for a, _ in found], [b for _, b in found]
+def _word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    found = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
+    return found[:, 0], found[:, 1]
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -177,22 +179,34 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     the same columns, removable if it is not the first place."""
     ship(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_key(F.col(text)).alias("node"))
-    # equal texts are one node; its first document, nulls last
-    nodes = cut(base.groupBy("node").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "suffix-nodes")
-    found = cut(base.select("node", "text").mapInArrow(_suffixes, "suffix long, node binary, at int").distinct(), "suffixes")
-    ordered = found.repartitionByRange("suffix", "node", "at").sortWithinPartitions("suffix")
-    spots = cut(ordered.mapInArrow(_neighbours, "node binary, at int"), "suffix-repeated").groupBy("node").agg(F.collect_list("at").alias("spots"))
-    involved = nodes.join(spots, "node", "left").where("n > 1 OR spots IS NOT NULL")
-    texts = cut(base.join(involved, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("text", "id", "n", "spots")]), "suffix-texts")
-    passages = cut(texts.where("spots IS NOT NULL").select("node", "text", "spots").mapInArrow(_passages, "h long, g long, node binary, at int"), "passages")
+    # equal texts are one node; its first document, nulls last. What a whole copy
+    # spans is told by counts, so no text goes on with it
+    white = F.lit(" \t\n\x0b\x0c\r")
+    whole = {"words": F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
+             "char_begin": (F.length("text") - F.length(F.ltrim("text", white))).cast("long"), "char_end": F.length(F.rtrim("text", white)).cast("long")}
+    nodes = cut(base.select("node", "doc_id", *[c.alias(k) for k, c in whole.items()]).groupBy("node")
+                .agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), *[F.max(k).alias(k) for k in whole]), "suffix-nodes")
+    # written before the splitters are sampled: suffixes are cut once
+    found = cut(base.select("node", "text").mapInArrow(_suffixes, "suffix long, node binary, at int"), "suffixes")
+    ordered = found.repartitionByRange("suffix", "node", "at").sortWithinPartitions("suffix", "node", "at")
+    spots = cut(ordered.mapInArrow(_neighbours, "node binary, at int"), "suffix-repeated")
+    drop(found)
+    spots = spots.groupBy("node").agg(F.collect_list("at").alias("spots"))
+    texts = base.select("node", "text").join(spots, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("spots").alias("spots"))
+    place = ["at", "char_begin", "char_end"]
+    passages = cut(texts.mapInArrow(_passages, "h long, g long, node binary, " + ", ".join(f"{c} int" for c in place)), "passages")
     where = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("at").alias("at"))
-    placed = passages.join(texts.select("node", "id"), "node")
-    twice = placed.groupBy("h", "g").agg(F.count("*").alias("k"), F.min(where).alias("first")).where("k > 1")
-    hits = (passages.join(twice.select("h", "g", "first"), ["h", "g"]).groupBy("node")
-            .agg(F.collect_list(F.struct("at", F.col("first.id").alias("id"), F.col("first.at").alias("first_at"))).alias("repeats")))
-    place = "begin long, end long, char_begin long, char_end long, first_id long, first_at long"
-    spans = cut(texts.select("node", "text", "id", "n").join(hits, "node", "left").where("n > 1 OR repeats IS NOT NULL").mapInArrow(
-        _spans, f"node binary, {place}, parts array<struct<{place.replace(' long', ': long')}>>"), "suffix-spans")
+    twice = (passages.select("h", "g", "node", "at").join(nodes.select("node", "id"), "node").groupBy("h", "g")
+             .agg(F.count("*").alias("k"), F.min(where).alias("first")).where("k > 1").select("h", "g", "first"))
+    hits = (passages.join(twice, ["h", "g"]).groupBy("node")
+            .agg(F.collect_list(F.struct(F.col("first.id").alias("id"), F.col("first.at").alias("first_at"), *place)).alias("repeats")))
+    fields = ", ".join(f"{c} long" for c in _PART.names)
+    parts_type = f"array<struct<{fields.replace(' long', ': long')}>>"
+    spans = hits.mapInArrow(_spans, f"node binary, {fields}, parts {parts_type}")
+    copies = nodes.where(f"n > 1 AND words >= {LEAST}").select(
+        "node", F.lit(0).cast("long").alias("begin"), F.col("words").alias("end"), "char_begin", "char_end", F.col("id").alias("first_id"),
+        F.lit(0).cast("long").alias("first_at"))
+    spans = cut(spans.unionByName(copies.withColumn("parts", F.array(F.struct(*_PART.names)).cast(parts_type))), "suffix-spans")
     rows = base.select("doc_id", "node").join(spans, "node")
     parts = F.transform("parts", lambda p: F.struct(
         *[p[c].alias(c) for c in ("begin", "end", "char_begin", "char_end")], p["first_id"].alias("first_doc_id"), p["first_at"].alias("first_begin"),
