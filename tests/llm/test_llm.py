@@ -220,6 +220,50 @@ def test_decontamination_of_cut_items(spark):
     assert got == want and 400 < len(want) < 720
 
 
+def test_decontamination_against_every_window(spark):
+    """Items quoted whole, edited, turned round and scattered in long texts,
+    against all windows of each text."""
+    def grams(t):
+        return Counter(tuple(t[i:i + 5]) for i in range(len(t) - 4))
+
+    def similarity(a, b):
+        a, b = grams(a), grams(b)
+        return (a & b).total() / ((a | b).total() or 1)
+    r = random.Random(21)
+    items = [words(r.choice([5, 6, 25, 50, 50, 81]), 300 + i, 10**6) for i in range(24)]
+    items.append(["again"] * 30)
+    texts = []
+    for i, item in enumerate(items):
+        half, k = len(item) // 2, max(len(item) // 12, 1)
+        forms = [item[half:] + item[:half], item[k:] + words(k, 700 + i, 10**6), item[:half] + ["in"] + item[half:], item[:-k], item[:half] * 2,
+                 [w if (j + 3) % 17 else "x" for j, w in enumerate(item)], item[:len(item) // 3], item * 2]
+        for f, form in enumerate(forms):
+            before = words(r.randrange(60), 9000 + 10 * i + f, 10**6)
+            texts.append(before + form + words(r.choice([0, 0, 3, 40]), 12000 + 10 * i + f, 10**6))
+    texts.append(words(20000, 77, 10**6) + items[3][25:] + items[3][:25] + words(20000, 78, 10**6))
+    texts += [["again"] * 27, ["again"] * 400]
+    want = {}
+    for d, t in enumerate(texts):
+        where = {}
+        for i in range(len(t) - 4):
+            where.setdefault(tuple(t[i:i + 5]), []).append(i)
+        for k, item in enumerate(items):
+            if not any(g in where for g in grams(item)):
+                continue
+            last = max(len(t) - len(item), 0)
+            near = range(last + 1) if len(t) < 2000 else {min(max(0, i - j), last) for g in grams(item) for i in where.get(g, []) for j in range(len(item))}
+            best = max(similarity(t[b:b + len(item)], item) for b in near)
+            if best >= 0.8:
+                want[(d, k)] = round(best, 9)
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = decontaminate.find(df, bench).collect()
+    assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in got} == want and len(got) == len(want) > 60
+    for r in got:
+        assert abs(similarity(texts[r.doc_id][r.begin:r.begin + len(items[r.item_id])], items[r.item_id]) - r.similarity) < 1e-9
+    assert any(d == len(texts) - 3 for d, _ in want)
+
+
 def test_warc(spark):
     given = [(3, "u", "x"), (2, "u\r\nv%", "x"), (2, "u", "x"), (None, None, "x"), (5, "k", None), (6, "k", ""), (7, "k", "é\r\n\r\nWARC/1.1")]
     df = spark.createDataFrame([(*g, "clash") for g in given], "page_id long, url string, html string, offset string").repartition(2)

@@ -2,10 +2,12 @@
 
 A text is contaminated by a benchmark item if one of its windows, as many
 words long as the item, has a weighted Jaccard similarity of ``SIMILARITY`` or
-more with it over runs of five words. A window and an item that share no run
-have similarity 0, so the windows to look at are those that a shared run lines
-up: the run at place p of the text and q of an item gives the window from
-p - q on. Windows of equal words are one, however many texts hold them. Two
+more with it over runs of five words. Every place of a text is a possible
+window, but only those need a look that begin with a run of the item and hold
+enough such runs for the similarity: a window that begins with another run
+loses nothing, and may win, by beginning at the next run that the item holds.
+That leaves the windows of quoted items, in whatever order their parts stand.
+Windows of equal words are one, however many texts hold them. Two
 multisets of similarity t share at least t of the runs of either, so, both
 sorted by hash, the first n - ceil(t * n) + 1 of the n runs of each have one
 in common: an equi-join over (length, run) of these prefixes finds every pair
@@ -17,10 +19,10 @@ DataFrame expression. The benchmark's runs are joined, not collected: Spark
 sends them to every task only while their written table is under its limit.
 
 Defined results: null texts are empty; items of under five words have no run
-and match nothing; a text shorter than an item is one window; a window over
-the end is cut there; equal items are reported each; repeated documents are
-reported each; empty tables give no rows. Of several windows of a text that
-match an item, the most similar and then first is reported.
+and match nothing; a text shorter than an item is one window; equal items are
+reported each; repeated documents are reported each; empty tables give no rows.
+Of several windows of a text that match an item, the most similar and then
+first is reported.
 """
 
 from __future__ import annotations
@@ -55,14 +57,24 @@ def _jaccard(a: Column, b: Column) -> Column:
 def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
          item_text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, begin, similarity, text_key) of every document and
-    item that it holds; begin: the window's first word."""
+    item that it holds; begin: the window's first word, which begins a run of
+    five words that the benchmark holds, or the text's last window."""
     bench = cut(gram_hashes(items.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("words")), "words", "runs")
                 .where("size(words) >= 5").select("item_id", F.size("words").alias("n"), "words", "runs"), "bench-items")
     base = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
-    # places of the benchmark's runs, by item length
-    runs = cut(bench.select("n", F.posexplode_outer("runs").alias("q", "run")).distinct(), "bench-runs")
-    places = gram_hashes(base.select("key", _words(F.col("text")).alias("words")), "words", "runs").select("key", F.posexplode_outer("runs").alias("p", "run"))
-    windows = cut(places.join(runs, "run").select("key", F.greatest(F.col("p") - F.col("q"), F.lit(0)).alias("begin"), "n").distinct(), "bench-windows")
+    # the benchmark's runs, by item length
+    runs = cut(bench.select("n", F.explode_outer("runs").alias("run")).distinct(), "bench-runs")
+    places = gram_hashes(base.select("key", _words(F.col("text")).alias("words")), "words", "runs").select(
+        "key", F.size("runs").alias("total"), F.posexplode_outer("runs").alias("p", "run"))
+    hits = (places.join(runs, "run").groupBy("key", "total", "n")
+            .agg(F.sort_array(F.collect_set("p")).alias("places")))
+    # a window of M runs needs so many of the item's N for the similarity; the last
+    # window of a text stands for those that would begin after it
+    own, last = F.col("n") - 4, F.greatest(F.col("total") - F.col("n") + 4, F.lit(0))
+    need = F.ceil(F.lit(least / (1 + least)) * (own + F.least(own, F.col("total"))) - F.lit(1e-6)).cast("int")
+    full = F.filter(F.transform("places", lambda p, i: F.when((p < last) & (F.get("places", i + need - 1) < p + own), p)), lambda p: p.isNotNull())
+    begins = F.concat(full, F.when(F.get("places", F.size("places") - need) >= last, F.array(last)).otherwise(F.array().cast("array<int>")))
+    windows = cut(hits.select("key", "n", F.explode(begins).alias("begin")), "bench-windows")
     texts = (base.select("key", "text").join(windows.select("key").distinct(), "key", "left_semi")
              .groupBy("key").agg(_words(F.first("text")).alias("words")))
     held = cut(windows.join(texts, "key").select("key", "begin", "n", F.slice("words", F.col("begin") + 1, F.col("n")).alias("words"))
