@@ -37,3 +37,28 @@ def test_stages_take_effect(spark, tmp_path):
     pieces = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == kept[3]
     assert pieces.agg(F.sum("length")).first()[0] == pieces.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_stages_with_an_empty_table_and_clashing_names(spark, tmp_path, empty):
+    rows = [(1, " ".join(words(40, 1)), "s"), (2, " ".join(words(40, 1)), None), (2, " ".join(words(40, 1)), None), (None, None, None), (3, "", "s"),
+            (4, "a@b.c", "s"), (5, " ".join(words(30_000, 9)), "s")]
+    names = ["key", "row", "p", "found", "terms", "text_key", "class_key", "id", "begin"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    data = {"documents": ([(i, t, "en", s, len(t or ""), *names) for i, t, s in rows], schema),
+            "labels": ([(1, 1, 0), (2, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int"),
+            "benchmark": ([(0, " ".join(words(20, 30))), (1, None)], "item_id long, text string")}
+    for name, (values, types) in data.items():
+        spark.createDataFrame([] if name == empty else values, types).write.parquet(f"{tmp_path}/{name}.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = now.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        now = spark.read.parquet(f"{tmp_path}/{k}")
+        assert now.columns == columns, name
+        assert all(tuple(r)[5:] == tuple(names) for r in now.collect()), name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    if empty == "documents":
+        assert not pieces
+    elif empty == "labels":     # no label, no toxic document; one of the equal ones stays
+        assert {r.doc_id for r in pieces} == {1, 3, 4, 5}
