@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tickerwire.functions import urls
 
+# The golden cases of both predicates.
 HOMEPAGE_CASES = [
     ("http://www.bloomberg.com/quote/SAP:US", "bloomberg", True),
     ("http://www.bloomberg.com/quote/SAP:GR", "bloomberg", True),
