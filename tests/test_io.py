@@ -220,3 +220,18 @@ def test_one_page_of_a_url_counts(spark):
         rows_ = files.page_scan(urls, pages, **how).collect()
         assert len(rows_) == 4 and [r.reject_reason for r in rows_].count("fetch") == 2
     assert files.page_scan(urls, pages, version="v", at="1").where("html is not null").first().html == html.format("old", 1)
+
+
+def test_one_line_csv_is_split_by_size(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "one.csv")
+    with open(path, "w", encoding="latin-1") as f:
+        f.write("url,source,article,t0\n" + "".join(f'http://x/{i},wsj,"word ""é"", {i}",{i}.5\n' for i in range(30000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200k")
+    try:
+        one, many = files.read_articles_csv(spark, path), files.read_articles_csv(spark, path, multi_line=False)
+        assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() > 3
+        assert many.count() == 30000 and many.exceptAll(one).count() == 0
+        assert many.filter("t0 = 7.5").first().article == 'word "é", 7'
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

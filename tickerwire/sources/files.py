@@ -29,12 +29,16 @@ CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreT
 CSV_OUT = CSV | {"emptyValue": '""', "nullValue": ""}
 
 
-def read_articles_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_articles_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """S3: labelled examples CSV with a header, Latin-1 encoded. Columns are
     taken by header name (no schema inference pass): price columns t0, t1,
-    ... become DOUBLE, everything else stays STRING."""
+    ... become DOUBLE, everything else stays STRING.
+
+    A field may hold line ends, so a file is read by one task (a folder of them
+    by many). ``multi_line=False`` is for files whose fields hold none: they
+    are split by size."""
     raw = (spark.read.options(**CSV).option("encoding", "ISO-8859-1")
-           .option("multiLine", True).csv(path))
+           .option("multiLine", multi_line).csv(path))
     return raw.select(*[F.col(c).try_cast("double").alias(c) if re.fullmatch(r"t[0-9]+", c)
                         else F.col(c) for c in raw.columns])
 
