@@ -336,6 +336,48 @@ def test_disclosing_terms_go(spark):
     assert got[0] == "common w0   [EMAIL] now0" and got[10] == texts[10]
 
 
+def test_disclosing_terms_are_generalised(spark):
+    """Against the definition: counts over distinct texts, the broader term by them."""
+    import math
+    r = random.Random(6)
+    texts = []
+    for i in range(300):
+        entity = r.choice([None] * 5 + ["boss@corp.example", "10.0.0.7", "x@y.zz"])
+        near = {"boss@corp.example": ["Chief,", "office"], "10.0.0.7": ["server", "rack"], "x@y.zz": ["chief", "rack"], None: []}[entity]
+        more = [w for w in near if r.random() < 0.9] + [w for w in ("office", "rack", "common", "server") if r.random() < 0.15]
+        texts.append(" ".join([f"w{r.randrange(40)}" for _ in range(6)] + more + ([entity] if entity else [])))
+    texts += texts[:60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    distinct = sorted(set(texts))
+    term = lambda w: re.sub(r"^[\W_]+|[\W_]+$", "", w).lower()
+    bags = {t: {term(w) for w in t.split()} - {""} for t in distinct}
+    entities = {"boss@corp.example": "[EMAIL]", "10.0.0.7": "[IP]", "x@y.zz": "[EMAIL]"}
+    n, n_t = len(distinct), Counter(w for t in distinct for w in bags[t])
+    bad = {}
+    for e in entities:
+        held = [t for t in distinct if e in t.split()]
+        both = Counter(w for t in held for w in bags[t])
+        share = {w: math.log2(n * k / (len(held) * n_t[w])) / math.log2(n / len(held)) for w, k in both.items() if k >= 3}
+        broad = max((both[w], -n_t[w], w) for w in share if share[w] < 0.6)[2]
+        for w in share:
+            if share[w] >= 0.6:
+                bad.setdefault(w, {})[e] = (share[w], broad)
+    seen = set()
+    for row in pii.sanitise(df, generalise_at=0.6, remove_at=0.9).select("row.*", "clean_text").collect():
+        out = []
+        for w in row.text.split(" "):
+            worst = max((bad[term(w)][e] for e in bad.get(term(w), {}) if e in row.text.split()), default=None)
+            if w in entities:
+                out.append(entities[w])
+            elif worst:
+                out.append("" if worst[0] >= 0.9 else f"[{worst[1]}]")
+                seen.add(out[-1])
+            else:
+                out.append(w)
+        assert row.clean_text == " ".join(out)
+    assert any(x.startswith("[") for x in seen)
+
+
 def test_entity_in_every_text_discloses_nothing(spark):
     df = spark.createDataFrame([(i, f"nickname w{i} boss@corp.example") for i in range(4)], "doc_id long, text string")
     got = {r.doc_id: r.clean_text for r in pii.sanitise(df).select("row.doc_id", "clean_text").collect()}

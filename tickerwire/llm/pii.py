@@ -10,8 +10,10 @@ texts, n(e) with the entity, n(t) with the term and n(e,t) with both,
     IC(e)     = log2(N / n(e))                   all there is to tell
 
 A term's disclosure is PMI / IC, at most 1. In a text that holds the entity, a
-term that discloses at least ``generalise_at`` of it is generalised (to
-``[TERM]``), at least ``remove_at`` removed. Pairs seen in fewer than
+term that discloses at least ``remove_at`` of it is removed; one that discloses
+at least ``generalise_at`` is replaced by a term of less information that the
+entity's texts share: of those that do not disclose it the one in most of its
+texts, then the rarest in the corpus (``[TERM]`` where there is none). Pairs seen in fewer than
 ``support`` distinct texts are no evidence and are left alone.
 
 Terms are the words ``[^\\x20\\x09-\\x0D]+`` that touch no pattern match,
@@ -142,20 +144,24 @@ def _text_counts(docs: DataFrame, text: str) -> tuple[int, DataFrame]:
 
 def disclosing(docs: DataFrame, of_entity: DataFrame, holders: DataFrame, text: str = "text", support: int = SUPPORT,
                generalise_at: float = GENERALISE_AT) -> DataFrame:
-    """(entity, term, disclosure) of the terms that reveal an entity."""
+    """(entity, term, disclosure, broader) of the terms that reveal an entity;
+    ``broader``: what to say in their place, null where nothing is known."""
     known = of_entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     held = of_entity.join(known, "entity").select("key", "entity", "n_e")
     inside = cut(holders.join(held.select("key").distinct(), "key", "left_semi")
                  .select("key", F.explode_outer(_terms(F.col("text"))).alias("term")).where("term <> ''"), "pii-terms")
     pairs = cut(held.join(inside, "key").groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support), "pii-pairs")
     if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
+        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"), F.lit(None).cast("string").alias("broader"))
     n_texts, spread = _text_counts(docs, text)
     spread = cut(spread.join(pairs.select("term").distinct(), "term", "left_semi"), "pii-spread")
     n = F.lit(float(n_texts))
     # an entity in every text has an information content of 0
     share = F.coalesce(F.try_divide(F.log2(n * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log2(n / F.col("n_e"))), F.lit(0.0))
-    return pairs.join(spread, "term").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= generalise_at)
+    told = cut(pairs.join(spread, "term").select("entity", "term", "n_et", "n_t", share.alias("disclosure")), "pii-told")
+    broader = (told.where(F.col("disclosure") < generalise_at).groupBy("entity")
+               .agg(F.max_by("term", F.struct("n_et", -F.col("n_t"), "term")).alias("broader")))
+    return told.where(F.col("disclosure") >= generalise_at).join(broader, "entity", "left").select("entity", "term", "disclosure", "broader")
 
 
 _CHUNK = 1024
@@ -180,8 +186,8 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
     shown = cut(disclosing(packed, of_entity, holders, "text", support, generalise_at), "pii-disclosing")
     # the few texts that hold an entity with such terms get their lists; written,
     # so that Spark knows their size and moves no text where they can be broadcast
-    bad = cut(of_entity.join(shown, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
-              .groupBy("key").agg(F.collect_list(F.struct("term", "disclosure")).alias("bad")), "pii-bad")
+    bad = cut(of_entity.join(shown, "entity").groupBy("key", "term").agg(F.max(F.struct("disclosure", "broader")).alias("worst"))
+              .groupBy("key").agg(F.collect_list(F.struct("term", "worst")).alias("bad")), "pii-bad")
     rows = find(packed.withColumn("key", text_key(F.col("text"))).join(bad, "key", "left"))
     words = _tokens(F.coalesce(F.col("text"), F.lit("")))
     base = F.flatten(F.array(*[F.col(f"found.{k}") for k in KINDS]))
@@ -191,7 +197,8 @@ def sanitise(docs: DataFrame, text: str = "text", support: int = SUPPORT, genera
     free = F.filter(placed, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
     worth = lambda t: F.element_at(F.map_from_entries("bad"), t["term"])
     terms = F.when(F.col("bad").isNotNull(), F.transform(free, lambda t: F.struct(
-        t["start"].alias("start"), t["end"].alias("end"), F.when(worth(t) >= remove_at, "").otherwise("[TERM]").alias("replacement")))
+        t["start"].alias("start"), t["end"].alias("end"), F.when(worth(t)["disclosure"] >= remove_at, "")
+        .otherwise(F.concat(F.lit("["), F.coalesce(worth(t)["broader"], F.lit("TERM")), F.lit("]"))).alias("replacement")))
     ).otherwise(F.array().cast("array<struct<start: int, end: int, replacement: string>>"))
     marked = rows.select("row", "text", "found", terms.alias("terms"))
     mask = lambda k: F.transform(F.col(f"found.{k}"), lambda s: F.struct(
