@@ -168,6 +168,28 @@ def test_near_duplicate_classes_by_brute_force(spark):
     assert same(got.get) == same(find)
 
 
+def test_blocks_of_texts_are_compared_in_full(spark, monkeypatch):
+    """Without rounds all links come from blocks of a few texts."""
+    monkeypatch.setattr(minhash, "ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    base = words(60, 5)
+    texts = [base[:i % 9] + base[i % 9 + 1:] + [f"e{i % 4}"] for i in range(90)] + [words(50, i) for i in range(9)] + [["a"] * 30, ["a"] * 31, ["a"]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in df.select("doc_id", text_key(F.col("text")).alias("key")).join(minhash.classes(df), "key").collect()}
+    assert {got[i] for i in range(90)} == {0} and [got[i] for i in range(90, 102)] == [*range(90, 99), 99, 99, 101]
+
+
+def test_common_runs_by_brute_force():
+    import numpy as np
+    r = random.Random(3)
+    rows = [minhash.mix(np.array([r.randrange(3) for _ in range(r.choice([0, 1, 4, 5, 40]))], np.uint64)) for _ in range(20)]
+    got = minhash.common(rows, chunk=5)
+    bags = [Counter(dict(zip(*(x.tolist() for x in minhash.shingles(w))))) for w in rows]
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags):
+            assert got[i, j] == (a & b).total() or i == j, (i, j)
+
+
 def test_sketches_differ_by_similarity():
     import numpy as np
     h = minhash.mix(np.arange(4000, dtype=np.uint64))

@@ -16,12 +16,14 @@ a sketch of the text. In each bucket whose texts lie in several components the
 largest component sends one text, another each round, to be compared with the
 bucket's texts of the other components: no group's pairs are multiplied out,
 and a group of near copies grows together in a few rounds. What still lies
-apart after ``ROUNDS`` rounds is compared across components without exception,
-where the sketches allow it: texts of similarity 0.8 differ in a tenth of the
-bits, and pairs that differ in more than ``FAR`` of the 240 (seven standard
-deviations more) are not looked at. The verification is exact, on the whole
-texts. At similarity 0.8 a pair shares no band with probability
-(1 - 0.8**6)**40 < 1e-5 and is too far apart by sketch with less than 1e-9.
+apart after ``ROUNDS`` rounds is compared without exception, in blocks: the
+smaller components' texts of a bucket, ``BLOCK`` at a time, against blocks of
+all the bucket's texts. A block pair is one unit of work of bounded size, and
+gives back only links that join components. The verification is exact, on the
+whole texts; before it, rounds pass over pairs whose sketches differ in more
+than ``FAR`` of the 240 bits (at similarity 0.8 a tenth of them differ, ``FAR``
+is seven standard deviations more). At similarity 0.8 a pair shares no band
+with probability (1 - 0.8**6)**40 < 1e-5.
 
 Defined results: equal texts are one node and always of one class; null counts
 as the empty text; texts without words are alike only if equal; a text of
@@ -45,7 +47,7 @@ from tickerwire.llm.wordhash import grams, mix, slices, word_hashes
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 40, 6
 COORDINATES = BANDS * ROWS
-ROUNDS, FAR = 3, 56
+ROUNDS, FAR, BLOCK = 2, 56, 128
 # A text that meets more others than this is sent to several tasks.
 FAN = 1000
 # Expected darts of a text: leaves a coordinate empty for 2 % of the texts.
@@ -175,6 +177,82 @@ def _verify(least: float):
     return run
 
 
+def common(rows: list[np.ndarray], chunk: int = 1 << 15) -> np.ndarray:
+    """How many runs each two of some arrays of word hashes share, counted with
+    their repeats. Only runs of several arrays are laid out, some at a time."""
+    runs, owner = [], []
+    for i, words in enumerate(rows):
+        run, count = shingles(words)
+        times = np.repeat(run, count)   # the k-th time that a run occurs is an element of its own
+        nth = np.arange(len(times)) - np.repeat(np.cumsum(count) - count, count)
+        runs.append(mix(times + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        owner.append(np.full(len(times), i))
+    _, element, seen = np.unique(np.concatenate(runs), return_inverse=True, return_counts=True)
+    owner = np.concatenate(owner)
+    shared = seen[element] > 1
+    number = np.cumsum(seen > 1) - 1
+    column, owner = number[element[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, chunk):
+        a, b = np.searchsorted(column, [begin, begin + chunk])
+        laid = np.zeros((len(rows), chunk), np.float32)
+        laid[owner[a:b], column[a:b] - begin] = 1
+        both += laid @ laid.T
+    return both
+
+
+def _linked(keys: list[bytes], roots: list[bytes], texts: pa.Array, least: float) -> list[tuple[bytes, bytes]]:
+    """Links between texts of different components, as many as join them."""
+    hashes, first = word_hashes(texts)
+    rows = [hashes[first[i]:first[i + 1]] for i in range(len(keys))]
+    both = common(rows)
+    total = np.array([max(len(r) - SHINGLE + 1, 1 if len(r) else 0) for r in rows], np.float32)
+    number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+    own = np.array([number[r] for r in roots])
+    top = list(range(len(number)))
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = top[top[i]]
+            i = top[i]
+        return i
+    out = []
+    near = (both >= least * (total[:, None] + total[None, :] - both) - 1e-3) & (own[:, None] < own[None, :])
+    for i, j in zip(*np.nonzero(near)):
+        x, y = find(own[i]), find(own[j])
+        if x != y and similarity(rows[i], rows[j]) >= least:
+            top[x] = y
+            out.append((keys[i], keys[j]))
+    return out
+
+
+def _units(least: float):
+    """Sorted (unit.., key, root, text) -> links; a unit's rows are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, held = None, []
+
+        def done() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            links = _linked(table.column("key").to_pylist(), table.column("root").to_pylist(), table.column("text").chunk(0), least)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            units = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j"))))
+            cuts = [0, *(k for k in range(1, len(units)) if units[k] != units[k - 1]), len(units)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and units[a] != unit:
+                    yield done()
+                    held = []
+                unit = units[a]
+                held.append(batch.slice(a, b - a).select(["key", "root", "text"]))
+        if held:
+            yield done()
+    return run
+
+
 def _close(a: str, b: str) -> Column:
     """Whether two sketches differ in few bits."""
     return sum(F.bit_count(F.get(a, k).bitwiseXOR(F.get(b, k))) for k in range(4)) <= FAR
@@ -209,7 +287,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     nodes = cut(base.mapInArrow(_sign, "key binary, doc_id long, bands array<long>, sketch array<long>").groupBy("key")
                 .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), F.first("bands").alias("bands"),
                      F.first("sketch").alias("sketch")), "minhash-nodes")
-    rows = nodes.select("key", "sketch", F.explode("bands").alias("bucket"))
+    rows = nodes.select("key", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     met = cut(rows.join(shared, "bucket"), "minhash-buckets")
     texts = cut(base.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "minhash-texts")
@@ -225,29 +303,40 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
         both = dealt.join(left, ["a", "share"]).join(right, "b").select("a", "b", "ta", "tb")
         return cut(both.mapInArrow(_verify(least), "a binary, b binary"), "minhash-links")
 
+    def compared(open_: DataFrame) -> DataFrame:
+        """Links of the buckets' smaller components, by blocks of texts."""
+        block = lambda n: F.pmod(F.xxhash64("key"), n).cast("int")
+        up = lambda n: F.sequence(F.lit(0), n - 1)
+        # blocks 0.. of the smaller components' texts, then those of the largest one's
+        few, many = F.ceil((F.col("n") - F.col("n_top")) / BLOCK).cast("int"), F.ceil(F.col("n_top") / BLOCK).cast("int")
+        sized = open_.withColumns({"few": few, "many": many}).withColumn("is_top", F.col("root") == F.col("top_root"))
+        sized = sized.withColumn("block", F.when(F.col("is_top"), F.col("few") + block(F.col("many"))).otherwise(block(F.col("few"))))
+        partners = F.when(F.col("is_top"), up(F.col("few"))).otherwise(up(F.col("few") + F.col("many")))
+        units = sized.select("bucket", "key", "root", "block", F.explode(partners).alias("other")).select(
+            "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "root")
+        laid = units.join(texts, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        return cut(laid.mapInArrow(_units(least), "a binary, b binary"), "minhash-links")
+
     roots = nodes.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
     tested = nodes.limit(0).select(F.col("key").alias("a"), F.col("key").alias("b"))
+    sketch = lambda c: nodes.select(F.col("key").alias(c), F.col("sketch").alias(f"s{c}"))
     for turn in range(ROUNDS + 1):
         placed = _rooted(met, roots, "key", "root")
-        member = F.struct("key", "sketch")
-        heads = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min_by(member, F.xxhash64(F.lit(turn), "key")).alias("head"))
-        heads = (heads.groupBy("bucket").agg(F.max_by(F.struct("root", "head"), F.struct("n", "root")).alias("top"), F.count("*").alias("parts"))
-                 .where("parts > 1").select("bucket", "top"))
-        open_ = placed.join(heads, "bucket")
-        met = cut(open_.select("bucket", "key", "sketch", "root", "top"), "minhash-open")
-        if met.isEmpty():
+        heads = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.min_by("key", F.xxhash64(F.lit(turn), "key")).alias("head"))
+        heads = (heads.groupBy("bucket").agg(F.max(F.struct("n", "root", "head")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("parts"))
+                 .where("parts > 1").select("bucket", "n", F.col("top.n").alias("n_top"), F.col("top.root").alias("top_root"), "top.head"))
+        open_ = cut(placed.join(heads, "bucket"), "minhash-open")
+        if open_.isEmpty():
+            break
+        if turn == ROUNDS:
+            roots = _merged(roots, compared(open_))
             break
-        if turn < ROUNDS:
-            near = met.where((F.col("root") != F.col("top.root")) & _close("sketch", "top.head.sketch"))
-            found = near.select(F.col("top.head.key").alias("x"), F.col("key").alias("y"))
-        else:   # whatever still lies apart
-            left = met.select("bucket", F.col("key").alias("x"), F.col("root").alias("rx"), F.col("sketch").alias("sx"))
-            right = met.select("bucket", F.col("key").alias("y"), F.col("root").alias("ry"), F.col("sketch").alias("sy"))
-            found = left.join(right, (left["bucket"] == right["bucket"]) & (F.col("rx") < F.col("ry")) & _close("sx", "sy")).select("x", "y")
-        new = cut(_pairs(found).join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+        new = cut(_pairs(open_.where("root <> top_root").select(F.col("head").alias("x"), F.col("key").alias("y")))
+                  .join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
         tested = tested.unionByName(new)
-        roots = _merged(roots, verified(new))
-        met = met.select("bucket", "key", "sketch")
+        close = new.join(sketch("a"), "a").join(sketch("b"), "b").where(_close("sa", "sb")).select("a", "b")
+        roots = _merged(roots, verified(cut(close, "minhash-close")))
+        met = open_.select("bucket", "key")
     placed = _rooted(nodes.select("key", "doc_id", "n"), roots, "key", "class_key")
     named = placed.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.sum("n").alias("n_docs"))
     return cut(placed.select("key", "class_key").join(named, "class_key").select("key", "class_key", "class_id", "n_docs"), "minhash-classes")
