@@ -101,9 +101,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text, spots) -> (h, g, node, at, char_begin, char_end): the
-    passages of ``LEAST`` words whose first minimiser is among ``spots``."""
-    names = ["h", "g", "node", "at", "char_begin", "char_end"]
+    """(node, id, text, spots) -> (h, g, node, id, at, char_begin, char_end):
+    the passages of ``LEAST`` words whose first minimiser is among ``spots``."""
+    names = ["h", "g", "row", "at", "char_begin", "char_end"]
     for batch in batches:
         for part in slices(batch, "text", 2 << 20):
             hashes, first = word_hashes(part.column("text"))
@@ -123,8 +123,9 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         column.append(values)
             if out[0]:
                 h, g, row, *places = map(np.concatenate, out)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), part.column("node").take(pa.array(row)),
-                                                  *(pa.array(c.astype(np.int32)) for c in places)], names=names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), *(part.column(c).take(pa.array(row)) for c in ("node", "id")),
+                     *(pa.array(c.astype(np.int32)) for c in places)], names=["h", "g", "node", "id", *names[3:]])
 
 
 _PART = pa.struct([(c, pa.int64()) for c in ("begin", "end", "char_begin", "char_end", "first_id", "first_at")])
@@ -191,14 +192,13 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     ordered = found.repartitionByRange("suffix", "node", "at").sortWithinPartitions("suffix", "node", "at")
     spots = cut(ordered.mapInArrow(_neighbours, "node binary, at int"), "suffix-repeated")
     drop(found)
-    spots = spots.groupBy("node").agg(F.collect_list("at").alias("spots"))
-    texts = base.select("node", "text").join(spots, "node").groupBy("node").agg(F.first("text").alias("text"), F.first("spots").alias("spots"))
+    spots = spots.groupBy("node").agg(F.collect_list("at").alias("spots")).join(nodes.select("node", "id"), "node")
+    texts = base.select("node", "text").join(spots, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("id", "text", "spots")])
     place = ["at", "char_begin", "char_end"]
-    passages = cut(texts.mapInArrow(_passages, "h long, g long, node binary, " + ", ".join(f"{c} int" for c in place)), "passages")
+    passages = cut(texts.mapInArrow(_passages, "h long, g long, node binary, id long, " + ", ".join(f"{c} int" for c in place)), "passages")
     where = F.struct(F.col("id").isNull().alias("no"), F.col("id").alias("id"), F.col("at").alias("at"))
-    twice = (passages.select("h", "g", "node", "at").join(nodes.select("node", "id"), "node").groupBy("h", "g")
-             .agg(F.count("*").alias("k"), F.min(where).alias("first")).where("k > 1").select("h", "g", "first"))
-    hits = (passages.join(twice, ["h", "g"]).groupBy("node")
+    twice = passages.groupBy("h", "g").agg(F.count("*").alias("k"), F.min(where).alias("first")).where("k > 1").select("h", "g", "first")
+    hits = (passages.drop("id").join(twice, ["h", "g"]).groupBy("node")
             .agg(F.collect_list(F.struct(F.col("first.id").alias("id"), F.col("first.at").alias("first_at"), *place)).alias("repeats")))
     fields = ", ".join(f"{c} long" for c in _PART.names)
     parts_type = f"array<struct<{fields.replace(' long', ': long')}>>"
