@@ -258,7 +258,7 @@ def test_decontamination_against_every_window(spark):
     for i, item in enumerate(items):
         half, k = len(item) // 2, max(len(item) // 12, 1)
         forms = [item[half:] + item[:half], item[k:] + words(k, 700 + i, 10**6), item[:half] + ["in"] + item[half:], item[:-k], item[:half] * 2,
-                 [w if (j + 3) % 17 else "x" for j, w in enumerate(item)], item[:len(item) // 3], item * 2]
+                 [w if (j + 3) % 17 else "x" for j, w in enumerate(item)], item[:len(item) // 3], item * 2, item[:len(item) * 9 // 10]]
         for f, form in enumerate(forms):
             before = words(r.randrange(60), 9000 + 10 * i + f, 10**6)
             texts.append(before + form + words(r.choice([0, 0, 3, 40]), 12000 + 10 * i + f, 10**6))
@@ -274,7 +274,8 @@ def test_decontamination_against_every_window(spark):
                 continue
             last = max(len(t) - len(item), 0)
             near = range(last + 1) if len(t) < 2000 else {min(max(0, i - j), last) for g in grams(item) for i in where.get(g, []) for j in range(len(item))}
-            best = max(similarity(t[b:b + len(item)], item) for b in near)
+            broken = {i - j for j in range(len(item) - 4) for i in where.get(tuple(item[j:j + 5]), []) if i - j > last}
+            best = max(similarity(t[b:b + len(item)], item) for b in [*near, *broken])
             if best >= 0.8:
                 want[(d, k)] = round(best, 9)
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)

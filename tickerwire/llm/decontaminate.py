@@ -19,7 +19,8 @@ DataFrame expression. The benchmark's runs are joined, not collected: Spark
 sends them to every task only while their written table is under its limit.
 
 Defined results: null texts are empty; items of under five words have no run
-and match nothing; a text shorter than an item is one window; equal items are
+and match nothing; a text shorter than an item is one window; an item that a
+text breaks off is compared with what the text has of it; equal items are
 reported each; repeated documents are reported each; empty tables give no rows.
 Of several windows of a text that match an item, the most similar and then
 first is reported.
@@ -62,19 +63,21 @@ def find(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     bench = cut(gram_hashes(items.select(F.col(item_id).alias("item_id"), _words(F.col(item_text)).alias("words")), "words", "runs")
                 .where("size(words) >= 5").select("item_id", F.size("words").alias("n"), "words", "runs"), "bench-items")
     base = docs.select(F.col(doc_id).alias("doc_id"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
-    # the benchmark's runs, by item length
-    runs = cut(bench.select("n", F.explode_outer("runs").alias("run")).distinct(), "bench-runs")
+    # the benchmark's runs with their places, by item length
+    runs = cut(bench.select("n", F.posexplode_outer("runs").alias("q", "run")).groupBy("n", "run").agg(F.collect_set("q").alias("qs")), "bench-runs")
     places = gram_hashes(base.select("key", _words(F.col("text")).alias("words")), "words", "runs").select(
         "key", F.size("runs").alias("total"), F.posexplode_outer("runs").alias("p", "run"))
+    # the last window of a text; an item that the text breaks off begins after it
+    own, last = F.col("n") - 4, F.greatest(F.col("total") - F.col("n") + 4, F.lit(0))
+    broken = F.when(F.col("p") >= last, F.filter(F.transform("qs", lambda q: F.col("p") - q), lambda b: b > last))
     hits = (places.join(runs, "run").groupBy("key", "total", "n")
-            .agg(F.sort_array(F.collect_set("p")).alias("places")))
+            .agg(F.sort_array(F.collect_set("p")).alias("places"), F.array_distinct(F.flatten(F.collect_list(broken))).alias("broken")))
     # a window of M runs needs so many of the item's N for the similarity; the last
     # window of a text stands for those that would begin after it
-    own, last = F.col("n") - 4, F.greatest(F.col("total") - F.col("n") + 4, F.lit(0))
     need = F.ceil(F.lit(least / (1 + least)) * (own + F.least(own, F.col("total"))) - F.lit(1e-6)).cast("int")
     full = F.filter(F.transform("places", lambda p, i: F.when((p < last) & (F.get("places", i + need - 1) < p + own), p)), lambda p: p.isNotNull())
     begins = F.concat(full, F.when(F.get("places", F.size("places") - need) >= last, F.array(last)).otherwise(F.array().cast("array<int>")))
-    windows = cut(hits.select("key", "n", F.explode(begins).alias("begin")), "bench-windows")
+    windows = cut(hits.select("key", "n", F.explode(F.concat(begins, "broken")).alias("begin")), "bench-windows")
     texts = (base.select("key", "text").join(windows.select("key").distinct(), "key", "left_semi")
              .groupBy("key").agg(_words(F.first("text")).alias("words")))
     held = cut(windows.join(texts, "key").select("key", "begin", "n", F.slice("words", F.col("begin") + 1, F.col("n")).alias("words"))
