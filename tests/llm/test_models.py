@@ -108,3 +108,22 @@ def test_thresholds_follow_exact_quantiles(spark):
             assert abs(t[f"{m}_most"] - (q3 + reach)) <= wide + 1e-9, (group, m)
             if both:
                 assert abs(t[f"{m}_least"] - (q1 - reach)) <= wide + 1e-9, (group, m)
+
+
+def test_fit_is_stable_where_words_go_together():
+    """Hundreds of words that occur together: leaving out a few rows must not
+    change who is toxic."""
+    rng = np.random.default_rng(5)
+    topic = rng.integers(0, 4, 1500)
+    lists = [np.unique(np.concatenate([rng.choice(np.arange(200 * t, 200 * t + 200), 120, replace=False), [900 + (t == 3)],
+                                       [950] if t == 3 and rng.random() < 0.9 else []]).astype(int)) for t in topic]
+    y = (topic == 3).astype(float)
+    y[rng.choice(1500, 30, replace=False)] = 1 - y[rng.choice(1500, 30, replace=False)]
+    whole = toxicity._rows(lists)
+    none = np.zeros((1500, 0))
+    full = toxicity.fit_linear(whole, none, y).score(whole, none)
+    for seed in range(3):
+        some = np.sort(np.random.default_rng(seed).choice(1500, 1470, replace=False))
+        part = toxicity.fit_linear(whole.take(some), none[some], y[some]).score(whole, none)
+        assert ((part >= 0.5) != (full >= 0.5)).mean() < 0.01 and np.abs(part - full).mean() < 0.02
+    assert ((full >= 0.5) == (topic == 3)).mean() > 0.98
