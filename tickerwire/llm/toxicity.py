@@ -34,7 +34,7 @@ from tickerwire.llm.common import ship
 
 BITS, KEPT, FOLDS, TRAIN_ROWS = 20, 2000, 5, 20_000
 THRESHOLD = 0.5
-_PENALTY, _STEPS, _INNER, _ENOUGH, _SUPPORT, _SIGNIFICANT = 0.2, 30, 30, 1e-3, 3, 3.5
+_PENALTY, _STEPS, _INNER, _ENOUGH, _SUPPORT, _SIGNIFICANT = 0.2, 30, 30, 5e-3, 3, 3.5
 _BLOCK = 1 << 18   # words worked on at a time
 
 
