@@ -169,3 +169,33 @@ def test_horizon_does_not_depend_on_batch_borders(spark, tmpdir_path):
              .option("checkpointLocation", os.path.join(tmpdir_path, f"ck{k}")).trigger(availableNow=True).start())
         q.awaitTermination()
         assert sorted(x.id for x in spark.read.parquet(out).collect()) == _horizon(rows, 7), borders
+
+
+def test_horizon_state_is_kept_per_bucket(spark, tmpdir_path):
+    """Python and the state store see a few buckets, however many keys there
+    are; keys stay exact beside nulls."""
+    r = random.Random(5)
+    base = dt.datetime(2024, 1, 1)
+    big = 2 ** 60
+    keys = [(user, kind, x) for user in [None, *range(big, big + 60)] for kind in ("a", None) for x in (None, 0.5)]
+    times = sorted(r.choices(range(60 * 24 * 4), k=2000))
+    rows = [(big + i if i % 7 else None, *r.choice(keys), base + dt.timedelta(minutes=m, microseconds=i)) for i, m in enumerate(times)]
+    schema = "id BIGINT, user BIGINT, kind STRING, x DOUBLE, ts TIMESTAMP"
+    land, out = os.path.join(tmpdir_path, "land"), os.path.join(tmpdir_path, "out")
+    state, wanted, last = [], [], {}
+    for row in rows:
+        if row[1:4] not in last or row[4] > last[row[1:4]] + dt.timedelta(hours=30):
+            last[row[1:4]] = row[4]
+            wanted.append(row)
+    for n in range(4):   # a run per arrival, from the checkpoint of the one before
+        part = rows[500 * n:500 * (n + 1)]
+        r.shuffle(part)
+        spark.createDataFrame(part, schema).repartition(3).write.parquet(os.path.join(land, f"f{n}"))
+        s = spark.readStream.schema(schema).parquet(os.path.join(land, "*"))
+        q = (ingest.dedupe_horizon_stream(s, ["user", "kind", "x"], "ts", "30 hours", buckets=8).writeStream.format("parquet").option("path", out)
+             .option("checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start())
+        q.awaitTermination()
+        state += [o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]]
+    got = [tuple(x) for x in spark.read.schema(schema).parquet(out).collect()]
+    assert sorted(got, key=lambda x: x[4]) == wanted
+    assert 0 < max(state) <= 8

@@ -209,32 +209,57 @@ def dedupe_stream(urls: DataFrame, keys: list[str], event_time: str,
             .drop("_event_time"))
 
 
-def _within(horizon: pd.Timedelta):
+# groups that ``dedupe_horizon_stream`` deals its keys to; a checkpoint keeps the number it began with
+HORIZON_BUCKETS = 1024
+
+
+def _key_text(df: DataFrame, keys: list[str]) -> Column:
+    """``keys`` as one text, equal where all are equal (nulls and both zeros
+    of a float too), so that a lookup in Python is exact for every type."""
+    floats = {f.name for f in df.schema if f.dataType.typeName() in ("float", "double")}
+    cols = [F.when(F.col(k) == 0, F.lit(0.0)).otherwise(F.col(k)) if k in floats else F.col(k) for k in keys]
+    return F.to_json(F.struct(*[c.alias(str(i)) for i, c in enumerate(cols)]),
+                     {"ignoreNullFields": "false", "timeZone": "UTC", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+                      "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+
+
+def _within(horizon: int, columns: list[str]):
     def kept(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        if state.hasTimedOut:   # the newest time is past the horizon, so all are
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values("_event_time", kind="stable")
-        last = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+        rows = pd.concat(list(frames), ignore_index=True).sort_values("_micros", kind="stable")
+        watermark = state.getCurrentWatermarkMs()
+        last = {k: t for k, t in state.get[0].items() if t + horizon >= watermark * 1000} if state.exists else {}
         stay = []
-        for t in rows["_event_time"]:
-            stay.append(last is None or t > last + horizon)
-            last = t if stay[-1] else last
-        state.update((last.value // 1000,))
-        state.setTimeoutTimestamp(max(int((last + horizon).timestamp() * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield rows[stay]
+        for k, t in zip(rows["_key"], rows["_micros"].tolist()):
+            stay.append(k not in last or t > last[k] + horizon)
+            if stay[-1]:
+                last[k] = t
+        state.update((last,))
+        state.setTimeoutTimestamp(max((max(last.values()) + horizon) // 1000 + 1, watermark + 1))
+        yield rows.loc[stay, columns]
     return kept
 
 
 def dedupe_horizon_stream(urls: DataFrame, keys: list[str], event_time: str, horizon: str = "1 day",
-                          late: str = "0 seconds") -> DataFrame:
+                          late: str = "0 seconds", buckets: int = HORIZON_BUCKETS) -> DataFrame:
     """T3 by an exact rule: in order of event time a row stays unless a row of
     its key stayed at most ``horizon`` before it. Rows may arrive out of order
     within a micro-batch, and across micro-batches by no more than ``late``;
     then the result does not depend on where batches end. The state is one
-    time per key of the last horizon. Null event times are dropped."""
+    time per key of the last horizon. Keys are dealt to ``buckets`` groups by
+    hash, so that Python is called once per group and micro-batch and not once
+    per key; a group holds 1 / ``buckets`` of a micro-batch in memory. Null
+    event times are dropped."""
     rows = (urls.withColumn("_event_time", F.col(event_time).cast("timestamp")).filter(F.col("_event_time").isNotNull())
             .withWatermark("_event_time", late))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return (rows.groupBy(*keys).applyInPandasWithState(_within(pd.Timedelta(horizon)), out, "last BIGINT", "append",
-                                                       GroupStateTimeout.EventTimeTimeout).drop("_event_time"))
+    # a BIGINT goes to pandas as text: beside a null it would be a float
+    longs = {f.name for f in urls.schema if f.dataType.typeName() == "long"}
+    sent = [F.col(f"`{c}`").cast("string").alias(c) if c in longs else F.col(f"`{c}`") for c in urls.columns]
+    rows = rows.select(*sent, "_event_time", F.unix_micros("_event_time").alias("_micros"), _key_text(rows, keys).alias("_key"))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64("_key"), F.lit(buckets)))
+    out = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in urls.columns)
+    kept = rows.groupBy("_bucket").applyInPandasWithState(
+        _within(pd.Timedelta(horizon).value // 1000, urls.columns), out, "last MAP<STRING, BIGINT>", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(*[F.col(f"`{c}`").cast("bigint").alias(c) if c in longs else F.col(f"`{c}`") for c in urls.columns])
