@@ -70,3 +70,15 @@ def test_fan_out_only_for_large_inputs_in_few_files(spark, tmpdir_path):
     assert fan_out(spark.read.parquet(big), big).rdd.getNumPartitions() == slots
     s = spark.read.parquet(small)
     assert fan_out(s, small) is s
+
+
+def test_constituents_of_one_file_are_read_by_all_slots(spark, tmp_path):
+    from pyspark.sql import functions as F
+    n = 20_000   # one file, one row group, 1 to 4 MB: one task reads it
+    c = spark.range(n).select(F.col("id").alias("c_custkey"), F.sha2(F.col("id").cast("string"), 256).alias("c_name"), F.lit(1).alias("c_nationkey"),
+                              F.lit(0.0).alias("c_acctbal"), F.lit("BUILDING").alias("c_mktsegment"))
+    c.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(1, "N")], "n_nationkey INT, n_name STRING").write.parquet(f"{tmp_path}/nation.parquet")
+    got = catalog.queries()["h6_constituents"](spark, str(tmp_path)).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(got) >= spark.sparkContext.defaultParallelism
+    assert sum(r["count"] for r in got) == n * 6 + n // 4

@@ -253,7 +253,7 @@ def customer_docs(spark: SparkSession, d: str) -> DataFrame:
     """Per customer, small finance pages: constituent tables in the three
     layouts, an earnings-calendar anchor list and a company profile block.
     (c_custkey, constituents, companylist, quotetable, calendar, profile)."""
-    c = table(spark, d, "customer")
+    c = table(spark, d, "customer", True)   # reading a page costs far more than reading its row
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     c = c.join(n, c["c_nationkey"] == n["n_nationkey"], "left")
     t = letters(F.col("c_custkey"))
