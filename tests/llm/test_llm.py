@@ -16,7 +16,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tickerwire.llm import chat, decontaminate, minhash, oracle, packing, pii, quality, queries, suffixes, toxicity, url_filters, warc
+from tickerwire.llm import chat, common, decontaminate, minhash, oracle, packing, pii, quality, queries, suffixes, toxicity, url_filters, warc
 from tickerwire.llm.common import text_key
 
 SMALL = "/root/testdata/sf0.001"
@@ -587,3 +587,46 @@ def test_packing_targets_count_tokens(spark):
     early = [b for b in both if b < max(both)]
     of = lambda bs, s: sum(share[(b, s)] for b in bs)
     assert len(early) > 1 and abs(of(early, "digits") / (of(early, "digits") + of(early, "plain")) - 0.5) < 0.05
+
+
+def test_little_of_many_tasks_is_written_to_few_files(spark, monkeypatch):
+    """Tables of short rows get a file for each task that runs at once, however
+    many partitions their stage has; the rows are those of many files."""
+    base, passage = words(120, 21), words(70, 22)
+    texts = [" ".join(words(40, 100 + i) + passage + words(30, 300 + i)) if i % 2 else " ".join(base[:i] + ["other"] + base[i:]) for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(30)
+    sizes, real = defaultdict(list), common.cut
+
+    def counted(table, name, *args, **kwargs):
+        done = real(table, name, *args, **kwargs)
+        sizes[name].append(len(done.inputFiles()))
+        return done
+    for module in (minhash, suffixes):
+        monkeypatch.setattr(module, "cut", counted)
+    settings = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        near = {r.class_id for r in minhash.classes(df).collect()}
+        spans = {(r.doc_id, r.begin, r.end, r.first_doc_id) for r in suffixes.repeats(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert near == {0, *range(1, 60, 2)}
+    assert {(i, 40, 110, 1) for i in range(1, 60, 2)} <= spans
+    for name in ("suffix-repeated", "suffix-spans"):
+        assert sizes[name] and max(sizes[name]) <= spark.sparkContext.defaultParallelism, (name, sizes[name])
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    known = lambda: tracker.shuffleStatuses().size()
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).agg(F.count("*").alias("n")).repartition(3)
+    held = known()
+    table = common.cut(df, "cleanup")
+    assert known() <= held and spark.conf.get(key, None) == before
+    assert sorted(r.n for r in table.collect()) == [100] * 10
+    assert sorted(r.n for r in df.collect()) == [100] * 10   # the table's rows can still be computed again

@@ -190,7 +190,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     # written before the splitters are sampled: suffixes are cut once
     found = cut(base.select("node", "text").mapInArrow(_suffixes, "suffix long, node binary, at int"), "suffixes")
     ordered = found.repartitionByRange("suffix", "node", "at").sortWithinPartitions("suffix", "node", "at")
-    spots = cut(ordered.mapInArrow(_neighbours, "node binary, at int"), "suffix-repeated")
+    spots = cut(ordered.mapInArrow(_neighbours, "node binary, at int"), "suffix-repeated", few=True)
     drop(found)
     spots = spots.groupBy("node").agg(F.collect_list("at").alias("spots")).join(nodes.select("node", "id"), "node")
     texts = base.select("node", "text").join(spots, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("id", "text", "spots")])
@@ -206,7 +206,7 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     copies = nodes.where(f"n > 1 AND words >= {LEAST}").select(
         "node", F.lit(0).cast("long").alias("begin"), F.col("words").alias("end"), "char_begin", "char_end", F.col("id").alias("first_id"),
         F.lit(0).cast("long").alias("first_at"))
-    spans = cut(spans.unionByName(copies.withColumn("parts", F.array(F.struct(*_PART.names)).cast(parts_type))), "suffix-spans")
+    spans = cut(spans.unionByName(copies.withColumn("parts", F.array(F.struct(*_PART.names)).cast(parts_type))), "suffix-spans", few=True)
     rows = base.select("doc_id", "node").join(spans, "node")
     parts = F.transform("parts", lambda p: F.struct(
         *[p[c].alias(c) for c in ("begin", "end", "char_begin", "char_end")], p["first_id"].alias("first_doc_id"), p["first_at"].alias("first_begin"),
