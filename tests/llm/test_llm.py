@@ -615,7 +615,7 @@ def test_little_of_many_tasks_is_written_to_few_files(spark, monkeypatch):
             spark.conf.set(k, v)
     assert near == {0, *range(1, 60, 2)}
     assert {(i, 40, 110, 1) for i in range(1, 60, 2)} <= spans
-    for name in ("suffix-repeated", "suffix-spans"):
+    for name in ("minhash-buckets", "minhash-links", "suffix-repeated", "suffix-spans"):
         assert sizes[name] and max(sizes[name]) <= spark.sparkContext.defaultParallelism, (name, sizes[name])
 
 

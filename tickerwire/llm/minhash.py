@@ -289,7 +289,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
                      F.first("sketch").alias("sketch")), "minhash-nodes")
     rows = nodes.select("key", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    met = cut(rows.join(shared, "bucket"), "minhash-buckets")
+    met = cut(rows.join(shared, "bucket"), "minhash-buckets", few=True)
     texts = cut(base.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "minhash-texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -301,7 +301,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
         dealt = pairs.join(often, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"))
         right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
         both = dealt.join(left, ["a", "share"]).join(right, "b").select("a", "b", "ta", "tb")
-        return cut(both.mapInArrow(_verify(least), "a binary, b binary"), "minhash-links")
+        return cut(both.mapInArrow(_verify(least), "a binary, b binary"), "minhash-links", few=True)
 
     def compared(open_: DataFrame) -> DataFrame:
         """Links of the buckets' smaller components, by blocks of texts."""
@@ -315,7 +315,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
         units = sized.select("bucket", "key", "root", "block", F.explode(partners).alias("other")).select(
             "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "root")
         laid = units.join(texts, "key").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        return cut(laid.mapInArrow(_units(least), "a binary, b binary"), "minhash-links")
+        return cut(laid.mapInArrow(_units(least), "a binary, b binary"), "minhash-links", few=True)
 
     roots = nodes.limit(0).select(F.col("key").alias("node"), F.col("key").alias("root"))
     tested = nodes.limit(0).select(F.col("key").alias("a"), F.col("key").alias("b"))
