@@ -1,6 +1,8 @@
 """The classifier chain and the quality sketches against plain recomputation."""
 
 import math
+import os
+import pickle
 import random
 
 import numpy as np
@@ -44,6 +46,25 @@ def test_chain_scores_by_brute_force(spark, corpus):
         assert np.allclose(r.p, p, atol=1e-5)
 
 
+def test_chain_is_fitted_in_a_task(spark, corpus, monkeypatch):
+    labels = corpus.select("doc_id", "toxic", "quality")
+    models = toxicity.train(corpus, labels, queries.categories())
+    driver, fit = os.getpid(), toxicity.fit_chain
+
+    def elsewhere(*args):
+        assert os.getpid() != driver, "the rows came to the driver"
+        return fit(*args)
+    monkeypatch.setattr(toxicity, "fit_chain", elsewhere)
+    again = toxicity.train(corpus, labels, queries.categories())
+    for a, b in zip(models, again, strict=True):
+        assert np.array_equal(a.weights, b.weights) and np.array_equal(a.before, b.before) and a.bias == b.bias
+    # what travels is the weights that are not 0
+    sent = pickle.dumps(models)
+    assert len(sent) < 100_000 and models[0].weights.any()
+    for a, b in zip(models, pickle.loads(sent), strict=True):
+        assert a.weights.dtype == b.weights.dtype and np.array_equal(a.weights, b.weights) and np.array_equal(a.before, b.before) and a.bias == b.bias
+
+
 def test_chain_learns_from_predictions_out_of_fold():
     rng = np.random.default_rng(1)
     n, words = 400, 60

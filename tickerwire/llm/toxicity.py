@@ -10,8 +10,10 @@ chance, by 3.5 standard deviations or more, and fits a logistic regression with
 
 The chain is fitted on at most ``TRAIN_ROWS`` labelled rows, those with the
 smallest hash of their id; that bound is a parameter, and the only place where
-rows are left out. Scoring reads every text whole, in tasks, with the fitted
-weights (one vector of ``2**BITS`` per category, whatever the data's size).
+rows are left out. The fit runs in a task, which gives back the kept weights:
+neither the rows nor the fit's vectors reach the driver. Scoring reads every
+text whole, in tasks, with the fitted weights (up to ``KEPT`` per category,
+whatever the data's size, laid out as a vector of ``2**BITS`` in the task).
 
 Defined results: null or empty text: no words, scored by the intercepts;
 labelled rows lacking a label of the chain are not trained on; a document
@@ -22,11 +24,13 @@ table gives no rows; input columns are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +91,16 @@ class Linear:
     before: np.ndarray    # per earlier category
     bias: float
 
+    def __getstate__(self) -> tuple:
+        """Only the weights that are not 0 travel."""
+        kept = np.flatnonzero(self.weights)
+        return len(self.weights), kept.astype(np.int32), self.weights[kept], self.before, self.bias
+
+    def __setstate__(self, state: tuple) -> None:
+        size, kept, weights, self.before, self.bias = state
+        self.weights = np.zeros(size, np.float32)
+        self.weights[kept] = weights
+
     def score(self, rows: Rows, earlier: np.ndarray) -> np.ndarray:
         z = np.zeros(len(rows))
         for a, b in rows.blocks():
@@ -195,10 +209,29 @@ def _rows(lists) -> Rows:
     return Rows(words, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64))
 
 
+def _fit(categories: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(y.., x, h) of all rows, in their order -> the chain's pickled models."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        data = pa.Table.from_batches(held)
+        lists = data.column("x").combine_chunks()
+        # the rows' words as one array, without an object per row
+        rows = Rows(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32),
+                    np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64))
+        y = np.column_stack([data.column(f"y{i}").to_numpy().astype(float) for i in range(categories)])
+        models = fit_chain(rows, y, data.column("h").to_numpy() % FOLDS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(categories), pa.int32()), pa.array(map(pickle.dumps, models), pa.binary())],
+                                         names=["k", "model"])
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc_id: str = "doc_id", text: str = "text",
           most: int = TRAIN_ROWS) -> list[Linear]:
     """Fit the chain of ``categories`` (name -> 0/1 column of ``labels``, in
     this order) on at most ``most`` labelled documents."""
+    ship(docs.sparkSession)
     names = list(categories)
     marked = (labels.select(F.col(doc_id).alias("id"), *[c.cast("int").alias(f"y{i}") for i, c in enumerate(categories.values())])
               .where(F.col("id").isNotNull()).groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))]).dropna())
@@ -207,15 +240,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], doc
     sample = (docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id")
               .select("id", *[f"y{i}" for i in range(len(names))], features(F.col("t")).alias("x"),
                       F.xxhash64(F.coalesce(F.col("t"), F.lit(""))).alias("h")).orderBy("h", "id").limit(most))
-    data = sample.toArrow()
-    if not data.num_rows:
+    # the limit leaves one partition, in its order; the models alone, tens of kilobytes, come back
+    fitted = sorted((r.k, bytes(r.model)) for r in sample.mapInArrow(_fit(len(names)), "k int, model binary").collect())
+    if not fitted:
         return [Linear(np.zeros(1 << BITS, np.float32), np.zeros(i), 0.0) for i in range(len(names))]
-    lists = data.column("x").combine_chunks()
-    # the rows' words as one array, without an object per row
-    rows = Rows(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32),
-                np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64))
-    y = np.column_stack([data.column(f"y{i}").to_numpy().astype(float) for i in range(len(names))])
-    return fit_chain(rows, y, data.column("h").to_numpy() % FOLDS)
+    return [pickle.loads(model) for _, model in fitted]
 
 
 def score(docs: DataFrame, models: list[Linear], text: str = "text") -> DataFrame:
